@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanmark.llm import packing, reading, tokens
+from gleanmark.llm import packing, personal, reading, tokens
 from gleanmark.sources.tables import table
 
 
@@ -26,7 +26,17 @@ def p10_levels(spark: SparkSession, folder: str) -> DataFrame:
     return reading.reading_levels(table(spark, folder, "documents"), table(spark, folder, "reading_samples"))
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return personal.found(table(spark, folder, "content"))
+
+
+def p7_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    return personal.redacted(table(spark, folder, "content"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p7_found": p7_found,
+    "p7_redacted": p7_redacted,
     "p8_ids": p8_ids,
     "p9_packing": p9_packing,
     "p10_found": p10_found,
