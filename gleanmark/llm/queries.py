@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanmark.llm import packing, personal, reading, tokens
+from gleanmark.llm import packing, personal, reading, residue, tokens
 from gleanmark.sources.tables import table
 
 
@@ -26,6 +26,10 @@ def p10_levels(spark: SparkSession, folder: str) -> DataFrame:
     return reading.reading_levels(table(spark, folder, "documents"), table(spark, folder, "reading_samples"))
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return residue.residue(table(spark, folder, "content"))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return personal.found(table(spark, folder, "content"))
 
@@ -35,6 +39,7 @@ def p7_redacted(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
     "p7_found": p7_found,
     "p7_redacted": p7_redacted,
     "p8_ids": p8_ids,
