@@ -141,7 +141,8 @@ def _proposed(rows: DataFrame) -> DataFrame:
 
 def _fields(content: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     value = {"text": F.array("text"), "limitations": F.col("limitations") if "limitations" in content.columns else None, "status": F.array("status") if "status" in content.columns else None}
-    named = [F.transform(value[f], lambda v, f=f: F.struct(F.lit(f).alias("field_name"), v.alias("value"))) for f in fields]
+    tagged = lambda name: lambda v: F.struct(F.lit(name).alias("field_name"), v.alias("value"))
+    named = [F.transform(value[f], tagged(f)) for f in fields]
     empty = F.array().cast("array<struct<field_name:string,value:string>>")
     rows = content.where("content_id is not null").select("content_id", F.inline(F.flatten(F.array(*[F.coalesce(n, empty) for n in named]))))
     return rows.where("value is not null and trim(value) <> ''")
