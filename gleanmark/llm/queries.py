@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanmark.llm import packing, personal, reading, residue, tokens
+from gleanmark.llm import mainbody, packing, personal, reading, residue, tokens
 from gleanmark.sources.tables import table
 
 
@@ -30,6 +30,10 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return residue.residue(table(spark, folder, "content"))
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return mainbody.boilerplate_lines(table(spark, folder, "content"))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return personal.found(table(spark, folder, "content"))
 
@@ -40,6 +44,7 @@ def p7_redacted(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
+    "p4_found": p4_found,
     "p7_found": p7_found,
     "p7_redacted": p7_redacted,
     "p8_ids": p8_ids,
