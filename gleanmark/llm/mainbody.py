@@ -20,10 +20,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from gleanmark.llm.boosting import BINS, Trees, fit
 from gleanmark.llm.residue import real_text
+from gleanmark.session import bounded_sample
 
 #: Pages that the trees are trained on.
 SAMPLE_PAGES = 3_000
@@ -287,7 +287,7 @@ class BodyModel:
 
 def train(content: DataFrame, sample: int = SAMPLE_PAGES) -> BodyModel:
     """Trees trained on the ``sample`` pages that come first by the hash of their id; ``content`` should hold real text."""
-    rows = content.where("content_id is not null and text is not null").select("content_id", "platform", "title", "text").orderBy(F.xxhash64("content_id")).limit(sample).collect()
+    rows = [r for r in bounded_sample(content.select("content_id", "platform", "title", "text"), "content_id", sample) if r.text]
     pages = [read_page(r.text, r.platform, r.title) for r in rows]
     pages = [p for p in pages if p.lines]
     if not pages:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanmark.llm import mainbody, packing, personal, reading, residue, tokens
+from gleanmark.llm import language, mainbody, packing, personal, reading, residue, tokens
 from gleanmark.sources.tables import table
 
 
@@ -30,6 +30,14 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return residue.residue(table(spark, folder, "content"))
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return language.mislabelled(table(spark, folder, "content")).distinct()
+
+
+def p3_languages(spark: SparkSession, folder: str) -> DataFrame:
+    return language.languages(table(spark, folder, "content")).distinct()
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return mainbody.boilerplate_lines(table(spark, folder, "content"))
 
@@ -44,6 +52,8 @@ def p7_redacted(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
+    "p3_found": p3_found,
+    "p3_languages": p3_languages,
     "p4_found": p4_found,
     "p7_found": p7_found,
     "p7_redacted": p7_redacted,

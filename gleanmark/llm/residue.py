@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleanmark.session import staged
+
 #: A weak notice must be found in so many records.
 LEAST_REPEATS = 3
 SLOT = "␀"
@@ -154,7 +156,8 @@ def residue(content: DataFrame, fields: tuple[str, ...] = ("text", "limitations"
     Null, empty and blank fields and entries are no cases, nor are other spellings of a status. Records that arrived
     twice count once for the repeats of a template. Extra columns are ignored.
     """
-    found = _proposed(_fields(content, fields)).distinct()
+    # Few passages are suspicious; written once, they aren't looked for again by each of the three reads below.
+    found = staged(_proposed(_fields(content, fields)).distinct(), "passages")
     strong = found.where("strength = 'strong'").select("content_id", "field_name")
     # Only templates of weak candidates are looked up; all candidates say what their slots hold.
     slots = (
@@ -169,5 +172,6 @@ def residue(content: DataFrame, fields: tuple[str, ...] = ("text", "limitations"
 
 def real_text(content: DataFrame) -> DataFrame:
     """The records whose text is neither null nor blank and no case of ``residue``."""
-    cases = residue(content.select("content_id", "text"), ("text",)).select("content_id")
+    # A written table has a known size: Spark broadcasts it only below its threshold and shuffles beyond.
+    cases = staged(residue(content.select("content_id", "text"), ("text",)).select("content_id"), "residue")
     return content.where("text is not null and trim(regexp_replace(text, '[\\\\s\\u00a0\\u3000]+', ' ')) <> ''").join(cases, "content_id", "left_anti")
