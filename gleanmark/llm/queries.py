@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanmark.llm import language, mainbody, packing, personal, reading, residue, tokens, truncation
+from gleanmark.llm import history, language, mainbody, packing, personal, reading, residue, tokens, truncation
 from gleanmark.sources.tables import table
 
 
@@ -42,6 +42,10 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return mainbody.boilerplate_lines(table(spark, folder, "content"))
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return history.repeats(table(spark, folder, "content"), table(spark, folder, "manifest"), table(spark, folder, "sites"))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return truncation.cut_values(table(spark, folder, "content"))
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p3_languages": p3_languages,
     "p4_found": p4_found,
+    "p5_found": p5_found,
     "p6_found": p6_found,
     "p6_shares": p6_shares,
     "p7_found": p7_found,
