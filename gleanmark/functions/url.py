@@ -21,6 +21,11 @@ SEARCH_ENGINES = ("bing.com", "google.com", "sogou.com", "so.com", "duckduckgo.c
 _PARTS = r"^(?i:(https?)):\/\/([^\/?#@\\\s]+)([^?#\s]*)(\?[^#\s]*)?(#\S*)?$"
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _part(url: Column, k: int) -> Column:
     return F.regexp_extract(F.trim(url), _PARTS, k)
 
@@ -72,17 +77,17 @@ def _joined(base: Column, parameters: Column, route: Column) -> Column:
     return F.concat(base, F.when(parameters != "", F.concat(F.lit("?"), parameters)).otherwise(F.lit("")), route)
 
 
-def _route_without_secrets(url: Column) -> Column:
-    route = app_route(url)
+def _without_secrets(route: Column) -> Column:
     head, rest = F.regexp_extract(route, "^([^?]*)", 1), F.regexp_extract(route, "\\?(.*)$", 1)
-    return F.when(route.contains("?"), _joined(head, without_keys(rest, SECRET_KEYS, True), F.lit(""))).otherwise(route)
+    return F.when(route.contains("?"), _let(without_keys(rest, SECRET_KEYS, True), lambda q: _joined(head, q, F.lit("")))).otherwise(route)
 
 
 def sanitized(url: Column) -> Column:
     """Address without ordinary fragment, campaign keys and secrets; null where it isn't a page address."""
     bare_path = F.when(path(url) == "", F.lit("/")).otherwise(path(url))
     base = F.concat(scheme(url), F.lit("://"), authority(url), bare_path)
-    return F.when(is_page(url), _joined(base, without_keys(query(url), CAMPAIGN_KEYS + SECRET_KEYS, True), _route_without_secrets(url)))
+    kept = without_keys(query(url), CAMPAIGN_KEYS + SECRET_KEYS, True)
+    return F.when(is_page(url), _let(kept, lambda q: _joined(base, q, _let(app_route(url), _without_secrets))))
 
 
 def _id_form(url: Column, sites: str, pattern: str, form: str, source: Column) -> tuple[Column, Column]:
@@ -92,7 +97,10 @@ def _id_form(url: Column, sites: str, pattern: str, form: str, source: Column) -
 
 def canonical(url: Column) -> Column:
     """One address per page: sanitised, video and post pages by their id, without keys of shared links and closing slash."""
-    clean = sanitized(url)
+    return _let(sanitized(url), _canonical)
+
+
+def _canonical(clean: Column) -> Column:
     video_id = F.regexp_extract(query(clean), "(?:^|&)v=([^&]+)", 1)
     rules = [
         _id_form(clean, "x\\.com|twitter\\.com", "/status/(\\d+)", "https://x.com/i/status/", path(clean)),
@@ -108,7 +116,7 @@ def canonical(url: Column) -> Column:
     out = F.when(clean.isNull(), F.lit(None).cast("string"))
     for condition, form in rules:
         out = out.when(condition, form)
-    return out.otherwise(_joined(base, without_keys(query(clean), SHARE_KEYS, False), app_route(clean)))
+    return out.otherwise(_let(without_keys(query(clean), SHARE_KEYS, False), lambda q: _joined(base, q, app_route(clean))))
 
 
 def redirect_target(url: Column) -> Column:
@@ -123,7 +131,7 @@ def redirect_target(url: Column) -> Column:
         .when(google, F.try_url_decode(F.when(one("q") != "", one("q")).otherwise(one("url"))))
         .when(host(url).rlike("(^|\\.)duckduckgo\\.com$"), F.try_url_decode(one("uddg")))
     )
-    return F.when(is_page(target), target).otherwise(F.when(is_page(url), url))
+    return _let(target, lambda t: F.when(is_page(t), t).otherwise(F.when(is_page(url), url)))
 
 
 def search_address(template: Column, words: Column, domain: Column | None = None) -> Column:
@@ -148,4 +156,4 @@ def with_page_address(df: DataFrame, column: str, sites: DataFrame, name: str =
     place = df.withColumn("_host", F.regexp_replace(host(url), "^www\\.", "")).join(known, "_host", "left")
     parameters = F.array_join(F.array_sort(F.split(without_keys(query(url), PAGE_NEUTRAL_KEYS, True), "&")), "&")
     base = F.concat(F.coalesce(F.col("site_id"), F.regexp_replace(authority(url), "^www\\.", "")), F.regexp_replace(path(url), "/+$", ""))
-    return place.withColumn(name, F.when(is_page(url), _joined(base, parameters, app_route(url)))).drop("_host", "site_id")
+    return place.withColumn(name, F.when(is_page(url), _let(parameters, lambda q: _joined(base, q, app_route(url))))).drop("_host", "site_id")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from gleanmark.plans import capture
+from gleanmark.plans import archives, capture, flows, pages
 
-_MODULES = (capture,)
+_MODULES = (capture, pages, flows, archives)
 
 
 def queries() -> dict:
