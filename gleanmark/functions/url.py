@@ -18,7 +18,7 @@ PAGE_NEUTRAL_KEYS = (*CAMPAIGN_KEYS, *SECRET_KEYS, "spm", "share_token", "share_
 # Search engines whose own pages are no results.
 SEARCH_ENGINES = ("bing.com", "google.com", "sogou.com", "so.com", "duckduckgo.com")
 
-_PARTS = r"^(?i:(https?)):\/\/([^\/?#@\\\s]+)([^?#\s]*)(\?[^#\s]*)?(#\S*)?$"
+_PARTS = r"^(?i:(https?)):\/\/([^\/?#@\\\s]+)(\/[^?#\s]*)?(\?[^#\s]*)?(#\S*)?$"
 
 
 def _let(value: Column, use) -> Column:

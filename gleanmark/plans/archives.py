@@ -146,7 +146,7 @@ _N = "case when coalesce(observations, 0) = 0 then 1 else observations end"
 _READ = "coalesce(lower(trim(status)) in ('captured', 'completed', 'partial') and valid_content, false)"
 _DUP = f"""with f as (select distinct content_id::varchar || '/' || file_path as path, bytes, sha256 from manifest), r as (select path, bytes, {_DIG} as sha256 from f where bytes is not null and path is not null),
         o as (select *, row_number() over (partition by bytes, sha256 order by regexp_matches(lower(path), '(^|/)(?:[^/]*[._-])?(?:backup|backups|bak|copy|old)(?:[._-][^/]*)?(/|$)')::int, len(string_split(path, '/')), lower(path), path) as n from r where sha256 is not null"""
-_PAGE = r"'(?i)https?://[^/?#@\\\s]+[^?#\s]*(\?[^#\s]*)?(#\S*)?'"
+_PAGE = r"'(?i)https?://[^/?#@\\\s]+(/[^?#\s]*)?(\?[^#\s]*)?(#\S*)?'"
 SQL = {
     "manifest_failures": f"""with r as (select distinct content_id, file_path, sha256 from manifest), w as (select distinct content_id, file_path, {_DIG} as sha256 from r), f as (select content_id, file_path from w where sha256 is null group by all)
         select content_id, count(distinct file_path) as n_files, coalesce(any_value(k.n), 0) as n_failed, coalesce(any_value(k.n), 0) = 0 as ok from r left join (select content_id as c, count(*) as n from f group by 1) k on k.c = r.content_id group by content_id""",
@@ -184,7 +184,7 @@ SQL = {
     "newest_per_host": rf"""with p as (select *, case when regexp_full_match(trim(resolved_url), {_PAGE}) then resolved_url when regexp_full_match(trim(canonical_url), {_PAGE}) then canonical_url when regexp_full_match(trim(requested_url), {_PAGE}) then requested_url end as url from {_ONCE}),
         h as (select content_id, {_HOST} as host, captured_at from p where url is not null)
         select host, n::int as rank, content_id from (select *, row_number() over (partition by host order by captured_at desc nulls last, content_id) as n from h) where n <= 3""",
-    "summary_states": rf"""with p as (select *, regexp_full_match(trim(resolved_url), '(?i)https?://[^/?#@\\\s]+[^?#\s]*(\?[^#\s]*)?(#\S*)?') as a, regexp_full_match(trim(canonical_url), '(?i)https?://[^/?#@\\\s]+[^?#\s]*(\?[^#\s]*)?(#\S*)?') as b, regexp_full_match(trim(requested_url), '(?i)https?://[^/?#@\\\s]+[^?#\s]*(\?[^#\s]*)?(#\S*)?') as c from {_ONCE}),
+    "summary_states": rf"""with p as (select *, regexp_full_match(trim(resolved_url), '(?i)https?://[^/?#@\\\s]+(/[^?#\s]*)?(\?[^#\s]*)?(#\S*)?') as a, regexp_full_match(trim(canonical_url), '(?i)https?://[^/?#@\\\s]+(/[^?#\s]*)?(\?[^#\s]*)?(#\S*)?') as b, regexp_full_match(trim(requested_url), '(?i)https?://[^/?#@\\\s]+(/[^?#\s]*)?(\?[^#\s]*)?(#\S*)?') as c from {_ONCE}),
         u as (select *, case when a then resolved_url when b then canonical_url when c then requested_url end as url from p)
         select {_HOST} as host, case when lower(trim(status)) in ('captured', 'completed', 'partial', 'awaiting_user', 'blocked', 'failed', 'skipped') then lower(trim(status)) else 'partial' end as status, count(*) as n, sum(coalesce(length(text), 0))::bigint as chars, count(*) filter (text is not null or items is not null) as observed, max(captured_at) as newest from u where url is not null group by 1, 2""",
 }

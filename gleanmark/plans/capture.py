@@ -1,4 +1,4 @@
-"""Queries over the tables of the web-capture archive."""
+"""The flat tables of nested capture records."""
 
 from __future__ import annotations
 
@@ -13,4 +13,35 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found}
-SQL: dict[str, str] = {}
+
+
+def _entries(value: str, source: str) -> str:
+    """Rows (content_id, parent, id, node) of the lists of comments in ``value`` of ``source``."""
+    listed = f"case when json_type({value}->'items') = 'ARRAY' then ({value}->'items') when json_type({value}->'loaded') = 'ARRAY' then ({value}->'loaded') else {value} end"
+    return f"""select content_id, parent, coalesce(nullif(node->>'id', ''), k) as id, node from (select content_id, parent,
+          unnest(case when json_type(w) = 'ARRAY' then w::json[] when json_type(w) = 'OBJECT' then list_transform(json_keys(w), lambda x: json_extract(w, '$."' || x || '"')) else [] end) as node,
+          unnest(case when json_type(w) = 'ARRAY' then list_transform(w::json[], lambda x: null::varchar) when json_type(w) = 'OBJECT' then json_keys(w) else [] end) as k
+          from (select content_id, parent, {listed} as w from {source})) where json_type(node) = 'OBJECT' and coalesce(nullif(node->>'id', ''), k) is not null"""
+
+
+_MEDIA = "unnest(case when json_type({n}->{k}) = 'ARRAY' then ({n}->{k})::json[] when json_type({n}->{k}) <> 'NULL' then [({n}->{k})] else [] end)"
+_ANSWERS = "coalesce(" + ", ".join(f"case when json_type(node->'{k}') <> 'NULL' then (node->'{k}') end" for k in nested.ANSWER_KEYS) + ")"
+_ADDRESS = "case when json_type(m) = 'VARCHAR' then (m->>'$') else (m->>'url') end"
+SQL = {
+    "p2_found": f"""with recursive c as (select content_id, post, comments, items, url_check from content where content_id is not null),
+        j as (select content_id, case when json_type(p) = 'VARCHAR' then case when json_valid(p->>'$') then (p->>'$')::json end else p end as p, case when json_type(t) = 'VARCHAR' then case when json_valid(t->>'$') then (t->>'$')::json end else t end as t
+          from (select distinct content_id, case when json_valid(post) then post::json end as p, case when json_valid(comments) then comments::json end as t from c)),
+        posts as (select content_id, p, p->>'id' as id from (select content_id, case when json_type(p->'post') = 'OBJECT' then (p->'post') else p end as p from j) where coalesce(p->>'id', '') <> ''),
+        comments as ({_entries('v', '(select content_id, content_id::varchar as parent, t as v from j where t is not null)')}
+          union all {_entries('v', f"(select content_id, id as parent, {_ANSWERS} as v from comments)")}),
+        media as (select content_id, e, id, {_MEDIA.format(n='p', k='k')} as m from posts, (values ('image', 'images'), ('video', 'videos')) v(e, k)
+          union all select content_id, 'image', id, {_MEDIA.format(n='node', k="'images'")} from comments),
+        its as (select content_id, coalesce(nullif(i.id, ''), nullif(i.url, '')) as id, i.media as media from (select content_id, unnest(items) as i from c) where i is not null)
+        select distinct * from (select content_id, 'post' as entity, id as child_id, content_id::varchar as parent_id from posts
+          union all select content_id, 'comment', id, parent from comments
+          union all select content_id, e, {_ADDRESS}, id from media
+          union all select content_id, 'item', id, content_id::varchar from its where id is not null
+          union all select content_id, 'media', m.url, id from (select content_id, id, unnest(media) as m from its where id is not null) where m is not null
+          union all select content_id, 'redirect', r.url, content_id::varchar from (select content_id, unnest(url_check.redirects) as r from c) where r is not null)
+        where coalesce(child_id, '') <> ''""",
+}

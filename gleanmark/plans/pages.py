@@ -10,12 +10,11 @@ from gleanmark.operators import report, search, sites
 from gleanmark.sources.tables import table
 
 # SQL of the parts of an address, for a column named u.
-_URL = r"^(?:(?i)(https?))://([^/?#@\\\s]+)([^?#\s]*)(\?[^#\s]*)?(#\S*)?$"
-_IS = rf"coalesce(regexp_full_match(trim(u), '(?i)https?://[^/?#@\\\s]+[^?#\s]*(\?[^#\s]*)?(#\S*)?'), false)"
+_IS = rf"coalesce(regexp_full_match(trim(u), '(?i)https?://[^/?#@\\\s]+(/[^?#\s]*)?(\?[^#\s]*)?(#\S*)?'), false)"
 
 
 def _ex(k: int) -> str:
-    return rf"coalesce(regexp_extract(trim(u), '(?i)^(https?)://([^/?#@\\\s]+)([^?#\s]*)(\?[^#\s]*)?(#\S*)?$', {k}), '')"
+    return rf"coalesce(regexp_extract(trim(u), '(?i)^(https?)://([^/?#@\\\s]+)(/[^?#\s]*)?(\?[^#\s]*)?(#\S*)?$', {k}), '')"
 
 
 _SCHEME, _PATH, _QUERY, _FRAGMENT = f"lower({_ex(1)})", _ex(3), f"regexp_replace({_ex(4)}, '^\\?', '')", _ex(5)
