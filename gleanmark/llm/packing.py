@@ -4,7 +4,8 @@ Conflict-constrained best-fit: items come longest first; the open bins are order
 from the tightest residual that holds the item the successor search goes on until it meets a bin whose source and
 duplicate-cluster bitmaps allow it. A bit is set when the bin holds its quota of that source or cluster. Quotas are
 the share that an even spread over the least number of containers would give (a cluster) or that with a slack (a
-source), so that a source or a text with a third of all rows can't leave containers empty.
+source). Where no bin is compatible and the least number is open already, an item goes to the tightest bin in spite of its
+source, then of its cluster, so that a source or a text with a third of all rows can't leave containers empty.
 
 Each shard of a bounded number of items is packed on its own; bins that stay underfull are opened again and packed
 together with those of ``MERGE`` other shards, level by level, so that no task sees more than a bounded number of items.
@@ -108,35 +109,42 @@ def best_fit(sizes: list[int], sources: list, clusters: list, capacity: int, sla
         size, source, cluster = key[0], number[key[1]], repeated.get(key[2], -1)
         source_quota = 1 + math.ceil(slack * n_source[key[1]] / least)
         cluster_quota = math.ceil(n_cluster[key[2]] / least) if cluster >= 0 else len(sizes)
-        chosen, waiting = [], list(items)
-
-        def room(b: int, size=size, source=source, cluster=cluster, source_quota=source_quota, cluster_quota=cluster_quota, bins=bins) -> int:
-            fits = bins.left[b] // size if size else len(sizes)
-            free = min(fits, source_quota - bins.counts[b].get(source, 0))
-            return min(free, cluster_quota - bins.counts[b].get(~cluster, 0)) if cluster >= 0 else free
-
-        if size == 0:
-            chosen.append((next(bins.successors(0), None), waiting))
-            waiting = []
-            if chosen[0][0] is None:
-                chosen[0] = (bins.open(), chosen[0][1])
-        else:
+        waiting = list(items)
+
+        def put(b: int, most: int, size=size, source=source, cluster=cluster, source_quota=source_quota, cluster_quota=cluster_quota) -> None:
+            nonlocal waiting
+            own, waiting = waiting[:most], waiting[most:]
+            bins.put(b, own, size, source, cluster, source_quota, cluster_quota)
+
+        def fill(any_source: bool, any_cluster: bool, size=size, source=source, cluster=cluster, source_quota=source_quota, cluster_quota=cluster_quota) -> None:
+            """One pass over the successors, tightest first; each takes as many of the equal items as it may."""
+            chosen, left = [], len(waiting)
             for b in bins.successors(size):
-                if bins.full_source[b] >> source & 1 or (cluster >= 0 and bins.full_cluster[b] >> cluster & 1):
-                    continue
-                take = room(b)
-                if take > 0:
-                    chosen.append((b, waiting[:take]))
-                    waiting = waiting[take:]
-                if not waiting:
+                if not left:
                     break
-        for b, own in chosen:
-            bins.put(b, own, size, source, cluster, source_quota, cluster_quota)
+                if (bins.full_source[b] >> source & 1 and not any_source) or (cluster >= 0 and bins.full_cluster[b] >> cluster & 1 and not any_cluster):
+                    continue
+                room = bins.left[b] // size if size else left
+                if not any_source:
+                    room = min(room, source_quota - bins.counts[b].get(source, 0))
+                if cluster >= 0 and not any_cluster:
+                    room = min(room, cluster_quota - bins.counts[b].get(~cluster, 0))
+                if room > 0:
+                    chosen.append((b, min(room, left)))
+                    left -= min(room, left)
+            for b, n in chosen:
+                put(b, n)
+
+        fill(False, False)
+        # Containers up to the least number cost nothing; beyond it a conflict is better than another container.
+        while waiting and len(bins.left) < least:
+            put(bins.open(), min(source_quota, cluster_quota, capacity // size if size else len(waiting)))
+        if waiting:
+            fill(True, False)
+        if waiting:
+            fill(True, True)
         while waiting:
-            b = bins.open()
-            take = max(1, room(b))
-            bins.put(b, waiting[:take], size, source, cluster, source_quota, cluster_quota)
-            waiting = waiting[take:]
+            put(bins.open(), min(source_quota, cluster_quota, capacity // size if size else len(waiting)))
     for b, own in enumerate(bins.held):
         for i in own:
             where[i] = b

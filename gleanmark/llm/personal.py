@@ -39,7 +39,7 @@ WORD = r"[A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ]{1,}(?:[-’'][A-ZÀ-ÖØ-Þ]?[a-zà-öø
 _EMAIL = re.compile(
     r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*(?:@| ?[\[({] ?(?:at|arroba|ät|chez|bei) ?[\])}] ?)[A-Za-z0-9-]+(?:(?:\.| ?[\[({] ?(?:dot|punkt|punto|point|ponto) ?[\])}] ?)[A-Za-z0-9-]+)+", re.I
 )
-_NUMBERS = re.compile(r"(?<![A-Za-z0-9_./,:=&?#-])(?:[A-Z]{1,2} ?)?[+(]?\d(?:[\d]|[ .\-/()]{1,2}(?=[\d(])|[A-Z](?=[0-9A-Z])){3,26}[\dA-Z]?(?:[ -][A-Z])?(?![A-Za-z0-9])|(?<![A-Za-z0-9])[A-Z]\d{2}[A-Z]\d{2}[A-Z]\d{2}(?![A-Za-z0-9])|(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])")
+_NUMBERS = re.compile(r"(?<![A-Za-z0-9_./,:=&?#-])\d{2} ?\d{6} ?[A-Z] ?\d{3}(?![A-Za-z0-9])|(?<![A-Za-z0-9_./,:=&?#-])(?:[A-Z]{1,2} ?)?[+(]?\d(?:[\d]|[ .\-/()]{1,2}(?=[\d(])|[A-Z](?=[0-9A-Z])){3,26}[\dA-Z]?(?:[ -][A-Z])?(?![A-Za-z0-9])|(?<![A-Za-z0-9])[A-Z]\d{2}[A-Z]\d{2}[A-Z]\d{2}(?![A-Za-z0-9])|(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])")
 _ADDRESS = re.compile(
     rf"\b\d{{1,4}}[a-zA-Z]?,? (?:{CAP} ){{1,3}}(?:Street|Road|Lane|Row|Crescent|Avenue|Drive|Close|Court|Terrace|Way|Square|Boulevard|Place|Gardens|Grove|Hill|Mews|Walk|Parade|Quay|St|Rd|Ave|Ln|Dr|Blvd)\b"
     rf"|\b(?:(?:{CAP}-?)*[A-ZÄÖÜ]?[a-zäöüß]+(?:straße|strasse|str\.|weg|platz|gasse|allee|ufer|ring|damm|markt|stieg|steig|hof|chaussee|pfad|kamp|graben)|(?:Am|An der|Auf der|Auf dem|Im|In der|Zum|Zur|Unter den|Alte|Alter|Neue|Lange|Große|Kleine) (?:{WORD})(?: {WORD})?|{WORD}(?:er|er )?(?: Straße| Weg| Platz| Allee| Ring| Ufer| Gasse| Damm| Markt| Chaussee)) \d{{1,4}} ?[a-h]?\b"
@@ -137,6 +137,8 @@ def _id_shape(raw: str) -> float:
         return 0.8
     if 13 <= len(digits) <= 19 and bare == digits and luhn(digits):
         return 0.7
+    if re.fullmatch(r"\d{8}[A-Z]\d{3}", bare):
+        return 1.0
     if re.fullmatch(r"[A-Z]\d{2}[A-Z]\d{2}[A-Z]\d{2}|[A-Z]\d{8}|\d{2}[A-Z]{2}\d{5}|\d{2}/\d{3}/\d{5}", raw):
         return 0.7
     return 0.3 if len(digits) >= 7 else 0.0
@@ -159,24 +161,28 @@ def _phone_shape(raw: str) -> float:
 
 def _numbers(text: str, author: bool = False) -> Iterator[Span]:
     for m in _NUMBERS.finditer(text):
-        raw = m.group().strip()
-        if re.fullmatch(r"[\d.,]+", raw) and re.match(r"\s?(?:€|元|reais|\$|£|%|km|kg|cm|mm)", text[m.end() :]):
+        start, raw = m.start(), m.group().rstrip()
+        if raw[0] == "(" and ")" not in raw:  # a bracket around the number, not around its prefix
+            start, raw = start + 1, raw[1:]
+        stop = start + len(raw)
+        if re.fullmatch(r"[\d.,]+", raw) and re.match(r"\s?(?:€|元|reais|\$|£|%|km|kg|cm|mm)", text[stop:]):
             continue
-        if re.search(r"[$£€R]\s?$", text[: m.start()][-2:]) or re.fullmatch(r"\d{4}[-/.]\d{1,2}[-/.]\d{1,2}", raw):
+        if re.search(r"[$£€R]\s?$", text[:start][-2:]) or re.fullmatch(r"\d{4}[-/.]\d{1,2}[-/.]\d{1,2}", raw):
             continue
-        before, after = text[max(0, m.start() - WINDOW) : m.start()], text[m.end() : m.end() + WINDOW]
         # Only the words of the same sentence count.
-        before, after = re.split(r"[.!?。！？]\s", before)[-1], re.split(r"[.!?。！？](?:\s|$)", after)[0]
+        before = re.split(r"[.!?。！？]\s", text[max(0, start - WINDOW) : start])[-1]
+        after = re.split(r"[.!?。！？](?:\s|$)", text[stop : stop + WINDOW])[0]
         around = before + " # " + after
         against = 1.5 if _AGAINST.search(before[-24:]) else 0.0
-        id_score = _id_shape(raw) + 0.8 * bool(_ID.search(around)) - against
+        shape = _id_shape(raw)
+        id_score = shape + 0.8 * bool(_ID.search(around)) - against
         phone_score = _phone_shape(raw) + 0.6 * bool(_PHONE.search(around)) - against
         if author and before.endswith("(") and after.startswith(")"):
             id_score += 0.8  # a number in brackets after a name
-        elif _id_shape(raw) < 0.7 and not _ID.search(around):
+        elif shape < 0.7 and not _ID.search(around):
             id_score = min(id_score, 0.5)
         kind, score = ("id_number", id_score) if id_score >= phone_score else ("phone", phone_score)
-        yield Span(m.start(), m.start() + len(m.group().rstrip()), kind, score)
+        yield Span(start, stop, kind, score)
 
 
 def _names(text: str, alone: bool) -> Iterator[Span]:

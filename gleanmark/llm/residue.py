@@ -28,12 +28,12 @@ SLOT = "␀"
 # The syntaxes of unfilled slots.
 _STRONG = (
     r"\{\{\{?[^{}\n]{0,60}\}?\}\}|\{%[^%{}\n]{1,60}%\}|<%=?[^%\n]{1,60}%>|[$#]\{[\w.\- ]{1,40}\}|\{[a-zA-Z_]\w*(?:\.\w+)*\}|\[\[[^\[\]\n]{1,40}\]\]|%[A-Z][A-Z_]{2,30}%|%\d\$[sd]"
-    r"|__[A-Z][A-Z_]{1,30}__|@@\w{2,30}@@|\$\$[a-zA-Z_]{2,30}\$\$|\[(?:INSERT|ENTER|YOUR|ADD|PLACEHOLDER|TITLE|NAME|DATE)\b[A-Z0-9 _-]{0,40}\]|<(?:YOUR|INSERT|ENTER)[A-Z0-9 _-]{1,30}>|\[object \w+\]|\b(?:TODO|FIXME|TBD): ?\w+(?: \w+)?|\b[A-Z]{3,}_HERE\b|<!-- ?\w+ ?-->"
+    r"|__[A-Za-z][A-Za-z_]{1,30}__|@@\w{2,30}@@|\$\$[a-zA-Z_]{2,30}\$\$|\[(?:INSERT|ENTER|YOUR|ADD|PLACEHOLDER|TITLE|NAME|DATE)\b[A-Z0-9 _-]{0,40}\]|<(?:YOUR|INSERT|ENTER)[A-Z0-9 _-]{1,30}>|\[object \w+\]|\b(?:TODO|FIXME|TBD): ?\w+(?: \w+)?|\b[A-Z]{3,}_HERE\b|<!-- ?\w+ ?-->"
 )
 _WEAK = r"«[A-Z][A-Za-z_]{1,20}»|‹[A-Z][A-Za-z_]{1,20}›|<[a-zA-Z_]{3,20}>|\{\d{1,2}\}|%[sd](?![A-Za-z0-9_%])|(?<![A-Za-z0-9_])(?:undefined|NaN|null|None|nil)(?![A-Za-z0-9_])|#(?:REF|VALUE|NAME|N/A)[!?]?|\.\.\.loading\.\.\.|…loading…"
 # Filler, in en, de, fr, es, pt and zh.
 _FILLER = (
-    r"lorem ipsum dolor|dolor sit amet|consectetur adipisci|(?:placeholder|dummy|filler) (?:paragraph|text|copy|content)|your (?:text|content|headline|title) (?:goes )?here|sample (?:headline|title|text)[^.]{0,24}(?:demo|purposes)|enter (?:a )?description|(?:type|insert|add) (?:your )?text here|replace before publishing"
+    r"lorem ipsum dolor|dolor sit amet|consectetur adipisci|(?:placeholder|dummy|filler) (?:paragraph|text|copy|content)|your (?:text|content|headline|title) (?:goes )?here|sample (?:headline|title|text)[^.]{0,24}(?:demo|purposes)|enter (?:a )?description|describe (?:the|your) \w+ here|(?:type|insert|add) (?:your )?text here|replace before publishing"
     r"|hier steht ihr text|blindtext|platzhaltertext|beispielüberschrift|beschreibung eingeben|ihr text hier|texte? de remplissage|faux[- ]texte|votre texte ici|titre d.exemple|saisir la description|saisissez"
     r"|texto de relleno|su texto aquí|titular de muestra|escriba la descripción|texto de preenchimento|seu texto aqui|título de amostra|digite a descrição|占位文字|此处填写|示例标题|请输入描述|在此输入"
     r"|\b(?:asdf ?){2,}|\b(?:qwerty ?){2,}|^(\w{2,12})(?: \1){2,}\W*$|\b(?:test ){2,}\d*|\bx{4,}(?: x{4,})*\b|\bfoo bar baz\b|\bnull null\b"
@@ -62,7 +62,7 @@ _SPLIT = re.compile(r"\n|(?<=[.!?])\s+(?=[A-ZÀ-Þ¿¡\[{<$%#_@«])|(?<=[。！
 # A passage without one of these (in lower case) holds no candidate.
 HINTS = (
     "{ [[ <% <! <your < [insert [enter [your [add [title [name [date [placeholder [object @@ $$ ${ #{ __ % « ‹ undefined nan null none nil #ref #value #name ...loading …loading todo fixme tbd _here "
-    "lorem dolor consectetur adipisc eiusmod incididunt placeholder dummy filler goes sample description publishing steht blindtext platzhalter beispielüberschrift eingeben remplissage faux votre exemple saisir saisissez relleno texto muestra escriba preenchimento amostra digite "
+    "lorem dolor consectetur adipisc eiusmod incididunt placeholder dummy filler goes describe&the describe&your sample description publishing steht blindtext platzhalter beispielüberschrift eingeben remplissage faux votre exemple saisir saisissez relleno texto muestra escriba preenchimento amostra digite "
     "占位文字 此处填写 示例标题 请输入描述 在此输入 asdf qwerty xxxx test&test text&text foo&bar "
     "not&found bad&gateway bad&request server&error unavailable gateway&time forbidden unauthor too&many&requests gefunden serverfehler introuvable encontrad page&you page&does longer&available not&available access&denied permission went&wrong notified fatal&error uncaught upstream connection maintenance traceback "
     "angeforderte verfügbar verweigert anfragen schiefgelaufen technik&wurde demandée disponible refusé requêtes erreur solicitada disponible denegado demasiadas salido&mal error&interno pedida disponível negado muitas errado erro&interno "
