@@ -157,3 +157,18 @@ def with_page_address(df: DataFrame, column: str, sites: DataFrame, name: str =
     parameters = F.array_join(F.array_sort(F.split(without_keys(query(url), PAGE_NEUTRAL_KEYS, True), "&")), "&")
     base = F.concat(F.coalesce(F.col("site_id"), F.regexp_replace(authority(url), "^www\\.", "")), F.regexp_replace(path(url), "/+$", ""))
     return place.withColumn(name, F.when(is_page(url), _let(parameters, lambda q: _joined(base, q, app_route(url))))).drop("_host", "site_id")
+
+
+def public_alternate(url: Column) -> Column:
+    """Another public address of the same content, for the few hosts that have one; null for others."""
+    video = F.regexp_extract(path(url), "/video/(\\d+)", 1)
+    return (
+        F.when((host(url) == "jingxuan.douyin.com") & (video != ""), F.concat(F.lit("https://www.douyin.com/video/"), video))
+        .when((host(url) == "apps.weibo.com") & path(url).rlike("^/\\d+/(?i:[a-z0-9]+)$"), F.concat(scheme(url), F.lit("://weibo.com"), path(url)))
+        .when((host(url) == "www.reddit.com") & path(url).contains("/comments/"), F.concat(scheme(url), F.lit("://old.reddit.com"), path(url)))
+    )
+
+
+def file_link(file_path: Column) -> Column:
+    """A relative file path as a link: every part percent-encoded."""
+    return F.array_join(F.transform(F.split(file_path, "/"), lambda p: F.replace(F.url_encode(p), F.lit("+"), F.lit("%20"))), "/")

@@ -121,3 +121,29 @@ def flat_entities(content: DataFrame) -> DataFrame:
     ]
     rows = F.array_distinct(F.flatten(F.array(*map(_or_none, groups))))
     return base.where(F.col("content_id").isNotNull()).select("content_id", F.inline(rows)).distinct()
+
+
+def objects_in(tree: Column, raw: Column) -> Column:
+    """``array<variant>`` of all objects at any depth of a JSON value: the walk of a document without a schema.
+
+    Each round opens one level; the number of brackets in the text bounds the depth, and an empty frontier ends the work.
+    """
+    empty = F.array().cast("array<variant>")
+    inner = lambda v: F.concat(F.coalesce(F.try_variant_get(v, "$", "array<variant>"), empty), F.coalesce(F.map_values(F.try_variant_get(v, "$", "map<string,variant>")), empty))
+    start = F.struct(F.when(tree.isNotNull(), F.array(tree)).otherwise(empty).alias("open"), empty.alias("done"))
+
+    def step(state: Column, _: Column) -> Column:
+        opened = F.filter(F.flatten(F.transform(state["open"], inner)), lambda v: v.isNotNull())
+        objects = F.filter(state["open"], lambda v: F.schema_of_variant(v).startswith("OBJECT"))
+        return F.when(F.size(state["open"]) > 0, F.struct(opened.alias("open"), F.concat(state["done"], objects).alias("done"))).otherwise(state)
+
+    return F.aggregate(F.sequence(F.lit(0), F.coalesce(F.regexp_count(raw, F.lit(r"[\[{]")), F.lit(0)) + 1), start, step, lambda s: s["done"])
+
+
+def post_of(content: DataFrame) -> DataFrame:
+    """``content_id, post``: the post of each record as VARIANT, unwrapped; records without one are left out."""
+    outer = parsed_json(F.col("post"))
+    rows = content.where("content_id is not null").select("content_id", outer.alias("_o")).where("_o is not null")
+    wrapped = F.try_variant_get(F.col("_o"), "$.post", "variant")
+    post = F.coalesce(F.when(F.schema_of_variant(wrapped).startswith("OBJECT"), wrapped), F.col("_o"))
+    return rows.select("content_id", post.alias("post")).where(F.schema_of_variant("post").startswith("OBJECT"))

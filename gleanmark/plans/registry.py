@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from gleanmark.plans import archives, capture, flows, pages
+from gleanmark.plans import archives, capture, flows, pages, posts
 
-_MODULES = (capture, pages, flows, archives)
+_MODULES = (capture, pages, posts, flows, archives)
 
 
 def queries() -> dict:
