@@ -72,7 +72,7 @@ SQL = {
         u as (select content_id, place, {_LINK} as url from v)
         select content_id, min(place)::int as place, arg_min(url, place) as url from u where url <> '' and not regexp_matches(url, '(?i)(avatar|profile[_-]?images?|user[_-]?icon|/emoji/)') group by content_id, regexp_extract(url, '([^/?#]+)(?:[?#].*)?$', 1)""",
     "content_roots": f"""with a as (select content_id, text, search_query, array_to_string(list_filter(list_transform(items, lambda i: i.text), lambda t: t is not null), chr(10)) as article from {_ONCE})
-        select content_id, length(case when coalesce(search_query <> '', false) or length(coalesce(article, '')) * 2 < length(coalesce(text, '')) then text else article end) as n_chars from a""",
+        select content_id, length(case when coalesce(search_query <> '', false) or length(coalesce(article, '')) * 2 < length(coalesce(text, '')) then text else article end)::int as n_chars from a""",
     "public_alternates": "select * from (values (0, 'https://www.douyin.com/video/123'), (1, 'https://weibo.com/12/aB3'), (2, 'https://old.reddit.com/r/x/comments/1/'), (3, null), (4, null)) v(case_no, alternate)",
     "file_links": "select distinct file_path, array_to_string(list_transform(string_split(file_path, '/'), lambda p: url_encode(p)), '/') as link from manifest",
     "observed_streams": f"select content_id, case when content_id + 1 > 1 then 'high' else 'low' end as url, greatest(content_id + 1, 1) as bitrate from {_ONCE}",
