@@ -122,3 +122,19 @@ def changed_files(before: DataFrame, after: DataFrame) -> DataFrame:
 def rank_copies(files: DataFrame, sha: str, size: str, path: str) -> DataFrame:
     """``files`` with ``copy_no`` within their group of equal files, the canonical one first."""
     return files.withColumn("copy_no", F.row_number().over(W.partitionBy(size, sha).orderBy(*canonical_order(F.col(path)))))
+
+
+def is_inside(folder: Column, path: Column) -> Column:
+    """Whether a relative path stays in its folder: no absolute path, no step up."""
+    return ~path.rlike("^(/|[A-Za-z]:|\\\\)") & ~F.exists(F.split(path, "[/\\\\]"), lambda p: p == "..") & folder.isNotNull()
+
+
+def still_valid(plan: DataFrame, actual: DataFrame, path: str, sha: str) -> DataFrame:
+    """The planned files that are there with the planned hash; a plan may be applied only if none is missing here."""
+    return plan.withColumn("_d", digest(F.col(sha))).join(actual.select(path, digest(F.col(sha)).alias("_d")).distinct(), [path, "_d"], "left_semi").drop("_d")
+
+
+def with_downloads(images: DataFrame, downloads: DataFrame, owner: str, name: str) -> DataFrame:
+    """``images`` with the first download of the same name and media class: ``file_path``, null where there is none."""
+    first = downloads.groupBy(owner, name, "kind").agg(F.min("file_path").alias("file_path"))
+    return images.join(first, [owner, name, "kind"], "left")

@@ -87,3 +87,21 @@ def last_writer(df: DataFrame, key: str, updated: str) -> DataFrame:
     """The row of each key with the latest update."""
     rest = [c for c in df.columns if c != key]
     return df.groupBy(key).agg(F.max_by(F.struct(*rest), updated).alias("_row")).select(key, "_row.*")
+
+
+def refreshed(results: DataFrame, audits: DataFrame, key: str, status: str = "status") -> DataFrame:
+    """Results of tasks with those of later audits in place of them, where an audit no longer waits for the user."""
+    columns = [c for c in results.columns if c != key]
+    done = audits.where(F.col(status) != "awaiting_user").select(key, F.lit(True).alias("_done"), *[F.col(c).alias(f"_{c}") for c in columns])
+    joined = results.join(done.dropDuplicates([key]), key, "left")
+    return joined.select(key, *[F.when(F.col("_done"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in columns])
+
+
+def without_answers(items: Column) -> Column:
+    """Items of a thread without the answers of others."""
+    return F.filter(items, lambda i: i.isNotNull() & (F.coalesce(i["kind"], F.lit("")) != "reply"))
+
+
+def last_matching(values: Column, matches) -> Column:
+    """The last element for which ``matches`` holds; null where there is none."""
+    return F.try_element_at(F.filter(values, matches), F.lit(-1))

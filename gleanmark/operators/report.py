@@ -16,7 +16,7 @@ ANSWER_KINDS = ("comment", "reply", "thread_or_reply")
 
 def completeness(items: Column) -> Column:
     """``struct<n_items, chars, media_assets>`` of an array of items, shells left out of the characters."""
-    real = F.filter(F.coalesce(items, F.array().cast("array<struct<kind:string,text:string,media:array<struct<kind:string>>>>") if False else items), lambda i: i.isNotNull())
+    real = F.filter(items, lambda i: i.isNotNull())
     chars = F.aggregate(F.filter(real, lambda i: ~F.coalesce(i["kind"].isin(*SHELL_KINDS), F.lit(False))), F.lit(0).cast("long"), lambda a, i: a + F.coalesce(F.length(i["text"]), F.lit(0)))
     media = F.aggregate(real, F.lit(0).cast("long"), lambda a, i: a + F.coalesce(F.size(F.filter(i["media"], lambda m: m.isNotNull() & (F.coalesce(m["kind"], F.lit("")) != "media_viewer"))), F.lit(0)))
     return F.struct(F.coalesce(F.size(real), F.lit(0)).cast("long").alias("n_items"), F.coalesce(chars, F.lit(0)).cast("long").alias("chars"), F.coalesce(media, F.lit(0)).cast("long").alias("media_assets"))
@@ -79,3 +79,47 @@ def comment_coverage(loaded: DataFrame, totals: DataFrame, key: str) -> DataFram
     """``key, loaded, displayed_total, all_verified``: comments that were loaded against those a page displays."""
     out = totals.join(loaded.groupBy(key).agg(F.count("*").alias("_n")), key, "left").withColumn("loaded", F.coalesce("_n", F.lit(0)))
     return out.select(key, "loaded", "displayed_total", (F.coalesce(F.col("displayed_total") <= F.col("loaded"), F.lit(False))).alias("all_verified"))
+
+
+# Limitations of a capture in the tool's own words.
+LIMITATIONS = {
+    "folded": "some text is still folded",
+    "budget": "scroll budget reached, later content unconfirmed",
+    "unconfirmed": "body not confirmed, the page shell is no evidence",
+    "restricted": "page restriction: ",
+}
+
+
+def capture_checks(content: DataFrame) -> DataFrame:
+    """``content_id, limitations, target_confirmed, valid_content``: what a capture lacks and whether it reached its page.
+
+    Limitations are listed in a fixed order: a gate, folded items, a spent scroll budget, an unconfirmed body.
+    """
+    from gleanmark.functions.status import gate
+
+    found = gate(url.path(F.col("resolved_url")), F.col("title"), F.col("text"))
+    folded = F.coalesce(F.exists("items", lambda i: F.coalesce(i["truncated"], F.lit(False))), F.lit(False))
+    present = F.coalesce(F.col("completeness.target_present"), F.lit(False))
+    listed = F.array(
+        F.concat(F.lit(LIMITATIONS["restricted"]), found),
+        F.when(folded, LIMITATIONS["folded"]),
+        F.when(F.col("stop_reason") == "scroll_budget", LIMITATIONS["budget"]),
+        F.when(~present, LIMITATIONS["unconfirmed"]),
+    )
+    same = F.coalesce(url.canonical(F.col("requested_url")) == url.canonical(F.col("resolved_url")), F.lit(False))
+    valid = found.isNull() & present & (F.coalesce(F.length("text"), F.lit(0)) > 0)
+    return content.select("content_id", F.filter(listed, lambda x: x.isNotNull()).alias("limitations"), same.alias("target_confirmed"), valid.alias("valid_content"))
+
+
+def all_entries(*frames: DataFrame) -> DataFrame:
+    """Records of several kinds of sources under each other; columns that one lacks are null."""
+    whole = frames[0]
+    for f in frames[1:]:
+        whole = whole.unionByName(f, allowMissingColumns=True)
+    return whole
+
+
+def collection_states(results: DataFrame, collection: str, status: str, download_status: str) -> DataFrame:
+    """``collection, status``: completed if every source was captured and every download is whole."""
+    done = F.coalesce(F.lower(F.trim(status)).isin("captured", "completed"), F.lit(False)) & F.coalesce(F.col(download_status).isin("downloaded", "no_media"), F.lit(True))
+    return results.groupBy(collection).agg(F.when(F.bool_and(done), "completed").otherwise("partial").alias("status"))
