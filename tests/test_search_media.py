@@ -76,3 +76,20 @@ def test_reports(spark):
     assert got[9].endswith("<p>only &amp; body</p></section>") and "href" not in got[9]
     pages = report.report_pages(sections, df.select("content_id", "platform"), "platform", 2).collect()
     assert sorted((p.platform, p.page_no, p.n_sources) for p in pages) == [("p", 1, 2), ("p", 2, 2), ("p", 3, 1), ("q", 1, 1)]
+
+
+def test_small_helpers(spark):
+    from gleanmark.operators import archive, merge
+
+    paths = spark.createDataFrame([("a/b",), ("/a",), ("a/../b",), ("C:\\x",)], "p string").select("p", archive.is_inside(F.lit("root"), F.col("p")).alias("ok"))
+    assert {r.p for r in paths.where("ok").collect()} == {"a/b"}
+    results = spark.createDataFrame([("t", "awaiting_user", 0), ("u", "partial", 1)], "task string, status string, n int")
+    audits = spark.createDataFrame([("t", "captured", 5), ("u", "awaiting_user", 9)], "task string, status string, n int")
+    assert {tuple(r) for r in merge.refreshed(results, audits, "task").collect()} == {("t", "captured", 5), ("u", "partial", 1)}
+    plan = spark.createDataFrame([("x", "a" * 64), ("y", "b" * 64)], "path string, sha string")
+    assert [r.path for r in archive.still_valid(plan, spark.createDataFrame([("x", "A" * 64), ("y", "c" * 64)], "path string, sha string"), "path", "sha").collect()] == ["x"]
+    images = spark.createDataFrame([("o", "i.png", "image"), ("o", "j.png", "image")], "owner string, name string, kind string")
+    got = archive.with_downloads(images, spark.createDataFrame([("o", "i.png", "image", "raw/2"), ("o", "i.png", "image", "raw/1"), ("o", "j.png", "video", "raw/3")], "owner string, name string, kind string, file_path string"), "owner", "name")
+    assert {r.name: r.file_path for r in got.collect()} == {"i.png": "raw/1", "j.png": None}
+    items = spark.createDataFrame([(1, [("reply", "a"), ("article", "b"), None])], "k int, items array<struct<kind:string,text:string>>")
+    assert [len(r.i) for r in items.select(merge.without_answers(F.col("items")).alias("i")).collect()] == [1]
