@@ -38,6 +38,10 @@ def p3_languages(spark: SparkSession, folder: str) -> DataFrame:
     return language.languages(table(spark, folder, "content")).distinct()
 
 
+def p3_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return language.passages(table(spark, folder, "content")).distinct()
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return mainbody.boilerplate_lines(table(spark, folder, "content"))
 
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p3_found": p3_found,
     "p3_languages": p3_languages,
+    "p3_passages": p3_passages,
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p6_found": p6_found,
