@@ -23,6 +23,12 @@ FOUND = [
     ("It was Nora Dornesco who sold me the bike.", {"name"}),
     ("Mein Nachbar Diego Haspbury sagt das auch.", {"name"}),
     ("Danke, Frau Ostenko", {"name"}),
+    ("Thanks, Mr Tolstedt Our team cut the tree.", {"name"}),
+    ("Gracias, Louis Pellovar El ayuntamiento evita la línea.", {"name"}),
+    ("Meu número: (00) 90000-0370 A moça joga aqui.", {"phone"}),
+    ("Mon numéro fiscal 9 59 13 99 483 923 80 figure dessus.", {"id_number"}),
+    ("Mi número: 600000890 Mi DNI X0003418R se quedó allí.", {"phone", "id_number"}),
+    ("型号为XB-3225。登记时填了990101197706165682这个证件号。", {"id_number"}),
     ("可以问邻居罗雨棠。", {"name"}),
     ("是吴星野卖给我的。", {"name"}),
     ("Pediram o meu CPF, 000.348.224-14.", {"id_number"}),
@@ -84,6 +90,11 @@ def test_rest_stays_as_it_was():
     assert personal.redact(text) == "Hello,\n call [PHONE] — or mail [EMAIL] ; bye\t"
 
 
+def test_names_end_where_they_end():
+    assert personal.redact("Thanks, Mr Felix Tolstedt Our team") == "Thanks, [NAME] Our team"
+    assert personal.redact("Danke, Clara Quillwyn Das Team") == "Danke, [NAME] Das Team"
+
+
 def test_very_long_text():
     text = "The ferry follows the tram line. " * 20_000 + "Mail x.y@z.example now."
     assert personal.redact(text).endswith("Mail [EMAIL] now.")
