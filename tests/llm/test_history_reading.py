@@ -1,6 +1,7 @@
 """Repeats against a sequential brute force, graphs against exhaustive search, and reading levels on held-out texts."""
 
 import random
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -84,6 +85,34 @@ def test_hot_copies(spark):
     assert {tuple(x) for x in got} == {(0, k) for k in range(6, 300, 3)}
 
 
+def test_hot_keys_lose_no_pair(spark, monkeypatch):
+    """Near copies of one page, by hot keys: each pair that shares a key and has a body of a new batch is found."""
+    r = random.Random(10)
+    old, w = body(r, 100).split(" "), shingles.Words()
+    rows, hashed = [], []
+    for k in range(160):
+        words = list(old)
+        for at in r.sample(range(100), 5):
+            words[at] = f"other{k}x{at}"
+        text = " ".join(words)
+        hashed.append(w.hashes(text))
+        parts = shingles.shingles(hashed[k])
+        sig = shingles.signature(parts, history.KEYS * 4).reshape(-1, 4)
+        # The last ones are the finer keys that took the place of hot ones before; they are not read any more.
+        rows.append((k, 0 if k < 80 else 1, k, bytearray(history.sketch(parts)), shingles.bands(sig[:, :2].ravel(), 2).tolist(), shingles.bands(sig.ravel(), 4).tolist(), "s", None, text))
+    df = spark.createDataFrame(rows, "content_id long, batch_no int, body long, vector binary, keys array<long>, finer array<long>, platform string, title string, text string")
+    x = np.array([np.frombuffer(bytes(row[3]), np.int8).astype(float) for row in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= history.FLOOR
+    want = {(a, b) for b in range(80, 160) for a in range(b) if set(rows[a][4]) & set(rows[b][4]) and near[a, b] and history.same_wording(hashed[a], hashed[b])}
+    model = SimpleNamespace(value=SimpleNamespace(bodies=lambda texts, platforms, titles: [[t] for t in texts]))
+    monkeypatch.setattr(history, "HOT_KEY", 15)
+    monkeypatch.setattr(history, "SHARD_NODES", 30)
+    got = {(p.body_a, p.body_b) for p in history.near_bodies(df, df, model).collect()}
+    assert len(want) > 5_000
+    assert len(want - got) <= 0.005 * len(want)
+
+
 def test_graphs_find_what_an_exhaustive_search_finds():
     r = np.random.default_rng(3)
     centres = r.normal(size=(300, 64))
