@@ -32,8 +32,8 @@ class Words:
         return np.array(out, dtype=np.uint64)
 
 
-def shingles(words: np.ndarray, width: int = WIDTH) -> np.ndarray:
-    """Distinct shingles of ``width`` words; a shorter text is one shingle."""
+def runs(words: np.ndarray, width: int = WIDTH) -> np.ndarray:
+    """Hash of each run of ``width`` words, in order; a shorter text is one run."""
     if len(words) == 0:
         return words
     if len(words) < width:
@@ -42,7 +42,12 @@ def shingles(words: np.ndarray, width: int = WIDTH) -> np.ndarray:
     for k in range(width):
         total = total * np.uint64(0x100000001B3) + words[k : len(words) - width + 1 + k]
     total ^= total >> np.uint64(29)
-    return np.unique(total * np.uint64(0xBF58476D1CE4E5B9))
+    return total * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def shingles(words: np.ndarray, width: int = WIDTH) -> np.ndarray:
+    """Distinct shingles of ``width`` words; a shorter text is one shingle."""
+    return np.unique(runs(words, width))
 
 
 def signature(parts: np.ndarray, size: int) -> np.ndarray:
