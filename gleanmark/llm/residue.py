@@ -12,6 +12,8 @@ quote such words aren't cases.
 from __future__ import annotations
 
 import functools
+import itertools
+import operator
 import re
 from collections.abc import Iterator
 
@@ -58,15 +60,17 @@ _STRONG_RE, _WEAK_RE = re.compile(_STRONG), re.compile(_WEAK)
 _SLOT_RE = re.compile(f"{_STRONG}|{_WEAK}")
 _NOTICE_RE = re.compile(f"(?:{_ERROR}|{_SCRIPT})", re.I)
 _FILLER_RE = re.compile(_FILLER, re.I)
+_REPEATED_RE = re.compile(r"(\w{2,12})(?: \1){2,}\W*$", re.I)
 _SPLIT = re.compile(r"\n|(?<=[.!?])\s+(?=[A-ZÀ-Þ¿¡\[{<$%#_@«])|(?<=[。！？])")
-# A passage without one of these (in lower case) holds no candidate.
+# A passage without one of these or of LOREM (in lower case) and without a repeated word holds no candidate.
+# Each alternative of the patterns above needs one.
 HINTS = (
-    "{ [[ <% <! <your < [insert [enter [your [add [title [name [date [placeholder [object @@ $$ ${ #{ __ % « ‹ undefined nan null none nil #ref #value #name ...loading …loading todo fixme tbd _here "
+    "{ [[ <% <! <your < [insert [enter [your [add [title [name [date [placeholder [object @@ $$ ${ #{ __ % « ‹ undefined nan null none nil #ref #value #name #n/a ...loading …loading todo fixme tbd _here "
     "lorem dolor consectetur adipisc eiusmod incididunt placeholder dummy filler goes describe&the describe&your sample description publishing steht blindtext platzhalter beispielüberschrift eingeben remplissage faux votre exemple saisir saisissez relleno texto muestra escriba preenchimento amostra digite "
-    "占位文字 此处填写 示例标题 请输入描述 在此输入 asdf qwerty xxxx test&test text&text foo&bar "
-    "not&found bad&gateway bad&request server&error unavailable gateway&time forbidden unauthor too&many&requests gefunden serverfehler introuvable encontrad page&you page&does longer&available not&available access&denied permission went&wrong notified fatal&error uncaught upstream connection maintenance traceback "
+    "占位文字 此处填写 示例标题 请输入描述 在此输入 asdf qwerty xxxx test&test text&text foo&bar text&here content&here headline&here title&here text&hier "
+    "not&found bad&gateway bad&request server&error unavailable gateway&time forbidden unauthor too&many&requests gefunden serverfehler introuvable encontrad page&you page&requested page&does gone available access&denied permission went&wrong notified fatal&error uncaught upstream connection maintenance traceback "
     "angeforderte verfügbar verweigert anfragen schiefgelaufen technik&wurde demandée disponible refusé requêtes erreur solicitada disponible denegado demasiadas salido&mal error&interno pedida disponível negado muitas errado erro&interno "
-    "您访问的页面 找不到 不存在 未找到 不可用 拒绝访问 请求过多 系统出错 服务器内部 没有权限 javascript script skript 脚本"
+    "您访问的页面 找不到 不存在 未找到 不可用 拒绝访问 请求过多 系统出错 服务器内部 没有权限 javascript script &js skript 脚本"
 )
 # Words of the Latin filler that no other language here has.
 LOREM = frozenset("lorem ipsum dolor dolore amet consectetur adipiscing elit eiusmod tempor incididunt labore aliqua veniam nostrud exercitation ullamco laboris nisi aliquip commodo consequat duis aute irure reprehenderit voluptate velit cillum fugiat nulla pariatur excepteur sint occaecat cupidatat proident sunt culpa officia deserunt mollit laborum magna minim".split())
@@ -77,7 +81,7 @@ def _hints():
     import ahocorasick
 
     automaton = ahocorasick.Automaton()
-    for h in HINTS.split():
+    for h in (*HINTS.split(), *LOREM):
         automaton.add_word(h.replace("&", " "), 1)
     automaton.make_automaton()
     return automaton
@@ -87,6 +91,12 @@ def _hinted(text: str) -> bool:
     return next(_hints().iter(text.lower()), None) is not None
 
 
+def _doubled(text: str) -> bool:
+    """Whether a word follows itself, as at the start of filler that repeats one word."""
+    words = text.lower().replace("。", " ").replace("！", " ").replace("？", " ").split()
+    return any(map(operator.eq, words, itertools.islice(words, 1, None)))
+
+
 def passages(text: str, field: str) -> list[str]:
     return [p for p in (s.strip() for s in (_SPLIT.split(text) if field == "text" else [text])) if p]
 
@@ -118,9 +128,9 @@ def judge(passage: str) -> tuple[str, str, bool] | None:
 
 
 def candidates(text: str, field: str) -> list[tuple[str, str, bool]]:
-    if not _hinted(text):
+    if not _hinted(text) and not _doubled(text):
         return []
-    return [j for p in passages(text, field) if _hinted(p) and (j := judge(p))]
+    return [j for p in passages(text, field) if (_hinted(p) or _REPEATED_RE.match(p)) and (j := judge(p))]
 
 
 def _proposed(rows: DataFrame) -> DataFrame:
