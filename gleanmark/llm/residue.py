@@ -1,8 +1,9 @@
 """Template residue, filler and error pages in the fields of captured records.
 
 Each passage of a field is turned into its template: spans that look like a slot (a variable's name in some
-template syntax, a value that failed to render, a default, a number) become slot marks. Records with the same
-template are aligned by grouping, which induces its slots and what they hold across the corpus. A passage is a case if
+template syntax, a value that failed to render, a default, a number) become slot marks. Only passages that a pattern
+finds are grouped by their template, filled records of it are not: blank slots and defaults without a known form aren't
+found. A passage is a case if
 a slot retains a variable's name, if a slot that holds a weak filler (one that ordinary text may hold too) is seen
 with others in the same template, or if the passage is filler or an error or script notice; weak notices must repeat as
 a template over several records. Spans in quotes or backticks are examples, not slots, and passages that explain or
@@ -60,6 +61,8 @@ _STRONG_RE, _WEAK_RE = re.compile(_STRONG), re.compile(_WEAK)
 _SLOT_RE = re.compile(f"{_STRONG}|{_WEAK}")
 _NOTICE_RE = re.compile(f"(?:{_ERROR}|{_SCRIPT})", re.I)
 _FILLER_RE = re.compile(_FILLER, re.I)
+# Addresses, hosts and paths of a notice, which vary between records of one template.
+_ADDRESS_RE = re.compile(r"\b\w+://[^\s<>\"]+|\b[\w-]+(?:\.[\w-]+)+(?::\d+)?(?:/[^\s<>\"]*)?|(?<!\w)/[\w./%?=&-]+")
 _REPEATED_RE = re.compile(r"(\w{2,12})(?: \1){2,}\W*$", re.I)
 _SPLIT = re.compile(r"\n|(?<=[.!?])\s+(?=[A-ZÀ-Þ¿¡\[{<$%#_@«])|(?<=[。！？])")
 # A passage without one of these or of LOREM (in lower case) and without a repeated word holds no candidate.
@@ -119,11 +122,12 @@ def judge(passage: str) -> tuple[str, str, bool] | None:
     notice = _NOTICE_RE.search(bare)
     filler = _FILLER_RE.search(bare) or _latin_filler(bare)
     if notice or filler:
-        if _EXPLAINS.search(bare) and len(bare) > 40:
+        masked = _ADDRESS_RE.sub("0", bare)
+        if _EXPLAINS.search(masked) and len(bare) > 40:
             return None
         # Notices are short; the same words in a long sentence must repeat as a template.
         strength = "strong" if len(bare) <= 160 else "weak"
-        return re.sub(r"\d+", "0", bare), strength, False
+        return re.sub(r"\d+", "0", masked), strength, False
     return None
 
 
