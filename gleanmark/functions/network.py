@@ -7,19 +7,19 @@ from pyspark.sql import functions as F
 
 # Media types by kind, and the most bytes of a file.
 MEDIA_TYPES = {
-    "image": ("image/jpeg", "image/png", "image/webp", "image/gif", "image/avif", "image/bmp"),
-    "video": ("video/mp4", "video/webm", "video/quicktime", "video/x-matroska"),
-    "audio": ("audio/mpeg", "audio/mp4", "audio/aac", "audio/ogg", "audio/wav"),
+    "image": ("image/jpeg", "image/png", "image/webp", "image/avif", "image/gif", "image/svg+xml"),
+    "video": ("video/mp4", "video/webm"),
+    "audio": ("audio/mp4", "audio/mpeg", "audio/aac", "audio/ogg", "audio/wav", "audio/webm", "audio/flac"),
 }
 MIB = 1 << 20
 MOST_BYTES = {"image": 25 * MIB, "video": 250 * MIB, "audio": 250 * MIB}
 
 
 def is_private_address(address: Column) -> Column:
-    """Whether an IP address isn't public: private, loopback, link-local, shared, documentation, multicast and reserved
+    """Whether an IP address isn't public: private, loopback, link-local, shared, benchmark, multicast and reserved
     ranges of IPv4, and IPv6 outside 2000::/3. Text that is no address counts as private."""
     octets = F.transform(F.split(address, "\\."), lambda o: o.try_cast("int"))
-    a, b, c = (F.get(octets, F.lit(k)) for k in range(3))
+    a, b = (F.get(octets, F.lit(k)) for k in range(2))
     is_v4 = address.rlike("^\\d{1,3}(\\.\\d{1,3}){3}$") & F.forall(octets, lambda o: o <= 255)
     private = (
         a.isin(0, 10, 127)
@@ -27,9 +27,8 @@ def is_private_address(address: Column) -> Column:
         | ((a == 100) & b.between(64, 127))
         | ((a == 169) & (b == 254))
         | ((a == 172) & b.between(16, 31))
-        | ((a == 192) & ((b == 168) | ((b == 0) & c.isin(0, 2))))
-        | ((a == 198) & (b.isin(18, 19) | ((b == 51) & (c == 100))))
-        | ((a == 203) & (b == 0) & (c == 113))
+        | ((a == 192) & b.isin(0, 168))
+        | ((a == 198) & b.isin(18, 19))
     )
     return F.when(is_v4, private).when(address.contains(":"), ~F.lower(address).rlike("^[23][0-9a-f]{3}:")).otherwise(True)
 

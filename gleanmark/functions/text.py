@@ -14,7 +14,7 @@ TITLE_LENGTH, UNTITLED = 64, "untitled page"
 
 def clean(value: Column) -> Column:
     """Without addresses, white space collapsed; '' for null."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(value, F.lit("")), "https?://\\S+", " "), "\\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(value, F.lit("")), "https?://[^\\s<>\"）)]+", ""), "\\s+", " "))
 
 
 def escape_html(value: Column) -> Column:
@@ -109,7 +109,7 @@ def addresses_in(text: Column) -> Column:
 def excerpt(title: Column, text: Column, length: int = 125) -> Column:
     """A telling line of ``text``: one with the beginning of the title, else a long one, else the first; addresses and
     copyright lines don't count. '' where there is none."""
-    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\\n"), clean), lambda s: (F.length(s) >= 8) & ~s.rlike("(?i)^(©|copyright)"))
+    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "[\\r\\n]+"), clean), lambda s: (F.length(s) >= 8) & ~s.rlike("(?i)^Copyright|^版权所有"))
     head = F.substring(clean(title), 1, 15)
     with_title = F.filter(lines, lambda s: (head != "") & F.contains(s, head))
     long = F.filter(lines, lambda s: F.length(s) >= 50)

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 #: Files from this size on are worth pruning.
 PRUNE_BYTES = 256 * 1024
+# Marks of a backup in a name, and the layout whose files may be pruned.
+BACKUP_MARKERS = ("对比", "备份", "旧版", "copy", "backup", "duplicate")
+PRUNE_LAYOUT = "html_and_raw_v1"
 
 
 def digest(value: Column) -> Column:
@@ -32,9 +35,9 @@ def verification(expected: DataFrame, actual: DataFrame, archive: str, path: str
 
 
 def canonical_order(path: Column) -> list[Column]:
-    """Order in which copies are preferred: not below a backup folder, less deep, then by path in lower case."""
+    """Order in which copies are preferred: without a backup marker in any part, less deep, then by path in lower case."""
     parts = F.split(F.lower(path), "/")
-    backup = F.exists(parts, lambda p: p.rlike("^(?:.*[._-])?(?:backup|backups|bak|copy|old)(?:[._-].*)?$"))
+    backup = F.lower(path).rlike("|".join(BACKUP_MARKERS))
     return [backup.cast("int"), F.size(parts), F.lower(path), path]
 
 
@@ -55,14 +58,22 @@ def image_files(files: DataFrame, path: str) -> DataFrame:
 
 
 def prunable(files: DataFrame, content: DataFrame, least: int = PRUNE_BYTES) -> DataFrame:
-    """Files that can be fetched again and are large: ``content_id, file_path, bytes``.
+    """Files that stand in an archive's delivery as well and are large: ``content_id, file_path, bytes``.
 
-    The archive was captured, its target was there, its address is known, and the file is a screenshot, a snapshot or media
-    of at least ``least`` bytes, but not its primary file.
+    The archive has the layout of deliveries and was captured, its target was there, one of its addresses is known, it
+    lists ``raw/content.json`` and its delivered page has a valid hash. Of its files, the screenshot ``raw/page.png`` and the
+    ``.json`` and ``.html`` snapshots of at least ``least`` bytes with a valid hash are offered. Rows with nulls in these give
+    none; repeated rows count once.
     """
-    kept = content.where((F.lower(F.trim("status")) == "captured") & F.col("completeness.target_present") & (F.coalesce("canonical_url", "resolved_url") != "")).select("content_id").distinct()
-    wanted = files.where((F.col("bytes") >= least) & F.col("file_path").rlike("(^|/)(page\\.png|snapshots?/.*|media/.*)$") & ~F.coalesce(F.endswith("file_path", "primary_file"), F.lit(False)))
-    return wanted.join(kept, "content_id", "left_semi").select("content_id", "file_path", "bytes").distinct()
+    known = F.coalesce("resolved_url", "canonical_url", "requested_url", F.lit("")) != ""
+    kept = content.where(F.col("completeness.target_present") & known).select("content_id").distinct()
+    archive = files.where((F.col("output_layout") == PRUNE_LAYOUT) & (F.col("status") == "captured"))
+    listed = F.max(F.col("file_path") == "raw/content.json")
+    delivered = F.max(F.endswith("file_path", "primary_file") & (F.col("primary_file") != "") & digest(F.col("sha256")).isNotNull())
+    whole = archive.groupBy("content_id").agg(listed.alias("_listed"), delivered.alias("_delivered")).where("_listed and _delivered").select("content_id")
+    low = F.lower("file_path")
+    offered = ((F.startswith(low, F.lit("raw/snapshots/")) & low.rlike("\\.(json|html)$")) | (low == "raw/page.png")) & (F.col("bytes") >= least) & digest(F.col("sha256")).isNotNull()
+    return archive.where(offered).join(kept, "content_id", "left_semi").join(whole, "content_id", "left_semi").select("content_id", "file_path", "bytes").distinct()
 
 
 def path_ancestors(path: Column) -> Column:

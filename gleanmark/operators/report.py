@@ -97,7 +97,8 @@ def capture_checks(content: DataFrame) -> DataFrame:
     """
     from gleanmark.functions.status import gate
 
-    found = gate(url.path(F.col("resolved_url")), F.col("title"), F.col("text"))
+    article = F.exists("items", lambda i: i["kind"] == "article")
+    found = gate(url.path(F.col("resolved_url")), F.col("title"), F.col("text"), article, fragment=url.fragment(F.col("resolved_url")), platform=F.col("platform"), query=url.query(F.col("resolved_url")))
     folded = F.coalesce(F.exists("items", lambda i: F.coalesce(i["truncated"], F.lit(False))), F.lit(False))
     present = F.coalesce(F.col("completeness.target_present"), F.lit(False))
     listed = F.array(

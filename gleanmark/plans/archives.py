@@ -30,7 +30,7 @@ def duplicate_images(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def retention_plan(spark: SparkSession, folder: str) -> DataFrame:
-    return archive.prunable(table(spark, folder, "manifest").distinct(), _content(spark, folder), 100_000)
+    return archive.prunable(table(spark, folder, "manifest"), _content(spark, folder))
 
 
 def outer_folders(spark: SparkSession, folder: str) -> DataFrame:
@@ -145,15 +145,17 @@ _HOST = r"regexp_replace(lower(regexp_extract(trim(url), '(?i)^https?://([^/?#@\
 _N = "case when coalesce(observations, 0) = 0 then 1 else observations end"
 _READ = "coalesce(lower(trim(status)) in ('captured', 'completed', 'partial') and valid_content, false)"
 _DUP = f"""with f as (select distinct content_id::varchar || '/' || file_path as path, bytes, sha256 from manifest), r as (select path, bytes, {_DIG} as sha256 from f where bytes is not null and path is not null),
-        o as (select *, row_number() over (partition by bytes, sha256 order by regexp_matches(lower(path), '(^|/)(?:[^/]*[._-])?(?:backup|backups|bak|copy|old)(?:[._-][^/]*)?(/|$)')::int, len(string_split(path, '/')), lower(path), path) as n from r where sha256 is not null"""
+        o as (select *, row_number() over (partition by bytes, sha256 order by regexp_matches(lower(path), '(对比|备份|旧版|copy|backup|duplicate)')::int, len(string_split(path, '/')), lower(path), path) as n from r where sha256 is not null"""
 _PAGE = r"'(?i)https?://[^/?#@\\\s]+(/[^?#\s]*)?(\?[^#\s]*)?(#\S*)?'"
 SQL = {
     "manifest_failures": f"""with r as (select distinct content_id, file_path, sha256 from manifest), w as (select distinct content_id, file_path, {_DIG} as sha256 from r), f as (select content_id, file_path from w where sha256 is null group by all)
         select content_id, count(distinct file_path) as n_files, coalesce(any_value(k.n), 0) as n_failed, coalesce(any_value(k.n), 0) = 0 as ok from r left join (select content_id as c, count(*) as n from f group by 1) k on k.c = r.content_id group by content_id""",
     "duplicate_files": _DUP + ") select bytes, sha256, count(*) as n_files, (count(*) - 1) * bytes as reclaimable, min(path) filter (n = 1) as canonical_path from o group by 1, 2 having count(*) > 1",
     "duplicate_images": _DUP + " and regexp_matches(lower(path), '\\.(png|jpe?g|webp)$')) select count(*) as n_groups, sum(reclaimable)::bigint as reclaimable from (select (count(*) - 1) * bytes as reclaimable from o group by bytes, sha256 having count(*) > 1)",
-    "retention_plan": f"""select distinct m.content_id, file_path, bytes from manifest m where bytes >= 100000 and regexp_matches(file_path, '(^|/)(page\\.png|snapshots?/.*|media/.*)$') and not coalesce(ends_with(file_path, primary_file), false)
-        and m.content_id in (select content_id from {_ONCE} where lower(trim(status)) = 'captured' and completeness.target_present and coalesce(canonical_url, resolved_url) <> '')""",
+    "retention_plan": f"""with m as (select distinct content_id, primary_file, file_path, bytes, {_DIG} as sha from manifest where output_layout = 'html_and_raw_v1' and status = 'captured'),
+        w as (select content_id from m group by 1 having bool_or(file_path = 'raw/content.json') and bool_or(primary_file <> '' and ends_with(file_path, primary_file) and sha is not null))
+        select distinct content_id, file_path, bytes from m where bytes >= 262144 and sha is not null and (regexp_full_match(lower(file_path), 'raw/snapshots/.*\\.(json|html)') or lower(file_path) = 'raw/page.png') and content_id in (select content_id from w)
+          and content_id in (select content_id from {_ONCE} where completeness.target_present and coalesce(resolved_url, canonical_url, requested_url, '') <> '')""",
     "outer_folders": """with p as (select distinct regexp_replace(file_path, '/[^/]+$', '') as path from manifest union select * from (values ('a'), ('a/b'), ('a/b/c'), ('ab/c'), ('d/e')))
         select path from p where not exists (select 1 from p q where starts_with(p.path, q.path || '/'))""",
     "ambiguous_addresses": "select canonical_url, count(distinct content_id) as n_archives from manifest where canonical_url is not null group by 1 having count(distinct content_id) > 1",
@@ -164,9 +166,9 @@ SQL = {
         select platform, arg_min(route_kind, n) as route_kind from n where n <= 20 and valid_content and lower(trim(status)) in ('captured', 'partial') and route_kind is not null group by 1""",
     "search_routes": """with e as (select distinct on (event_id) * from experience_log order by event_id), n as (select *, row_number() over (partition by platform order by happened_at desc nulls last, event_id) as n from e),
         b as (select platform, arg_min(route_kind, n) as best from n where n <= 20 and valid_content and lower(trim(status)) in ('captured', 'partial') and route_kind is not null group by 1),
-        r as (select site_id, 0 as o, 'native' as route_kind from sites where search_template is not null union all select site_id, 1, 'public_alternate' from sites where len(domains) > 1
-          union all select site_id, 2, 'public_index' from sites where public_index and category not in ('search', 'analytics', 'creator', 'company', 'commerce', 'procurement'))
-        select r.site_id, row_number() over (partition by r.site_id order by coalesce(route_kind = best and route_kind <> 'public_index', false) desc, o)::int as route_no, route_kind from r left join b on b.platform = r.site_id""",
+        r as (select site_id, 0 as o, 'native' as route_kind from sites union all select site_id, i, 'public_alternate' from sites, range(1, 100) t(i) where i < len(domains)
+          union all select site_id, 999, 'public_index' from sites where public_index and category not in ('procurement', 'company', 'commerce', 'analytics', 'creator', 'custom'))
+        select r.site_id, row_number() over (partition by r.site_id order by coalesce(route_kind = best and route_kind <> 'public_index', false) desc, o)::int as route_no, route_kind from r left join b on b.platform = r.site_id qualify route_no <= 3""",
     "verified_hosts": "select distinct source_host, verified_host from experience_log where route_kind = 'source_url_correction' and valid_content and verified_host is not null",
     "search_plan": f"""with base as (select site_id from sites where category = 'social' and site_id <> 'murmel'),
         learned as (select platform as site_id, max(happened_at) as seen_at from {_LOG} where search_performed and valid_content and candidates > 0 and lower(trim(status)) in ('captured', 'partial') and platform in (select site_id from sites) and platform not in (select site_id from base) and platform <> 'murmel' group by 1 order by seen_at desc, site_id limit 3),

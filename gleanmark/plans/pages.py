@@ -130,10 +130,44 @@ _QUERIES = ("ferry", "ferry bakery", "price list", "渡轮", "")
 
 def page_gates(spark: SparkSession, folder: str) -> DataFrame:
     rows = _content(spark, folder)
-    found = status.gate(url.path(F.col("resolved_url")), F.col("title"), F.col("text"))
+    found = status.gate(
+        url.path(F.col("resolved_url")), F.col("title"), F.col("text"), fragment=url.fragment(F.col("resolved_url")), platform=F.col("platform"), query=url.query(F.col("resolved_url")),
+        has_article=F.exists("items", lambda i: i["kind"] == "article"),
+    )
     return rows.select("content_id", found.alias("gate")).where("gate is not null")
 
 
+# What a page may show, to be tried on every record: path, title and text before its own, dialog, password field, puzzle.
+_SHOWN = (
+    ("/404", "", "", "", False, False), ("/a", "410 - page", "", "", False, False), ("/a", "404页面", "", "", False, False), ("/a", "你访问的页面不见了", "", "", False, False), ("/a", "Just a moment...", "", "", False, False),
+    ("/a", "", "Checking your browser", "", False, False), ("/a", "", "", "", False, True), ("/nocaptcha/x", "", "", "", False, False), ("/i/flow/login", "", "", "", False, False), ("/a#/login", "", "", "", False, False),
+    ("/a", "", "", "Please sign in", False, False), ("/a", "", "", "", True, False), ("/a", "", "请先登录后查看", "", False, False), ("/a", "", "too many requests", "", False, False), ("/a", "HTTP ERROR 403", "", "", False, False),
+    ("/a", "403 ERROR", "", "", False, False), ("/a", "503 Service Unavailable", "", "", False, False), ("/a", "", "该内容无法查看", "", False, False), ("/a", "", "请打开小红书App扫码查看", "", False, False), ("/a", "", "", "", False, False),
+)
+
+
+def _shown(spark: SparkSession, folder: str) -> DataFrame:
+    cases = F.array(*[F.struct(F.lit(k).alias("case_no"), *[F.lit(v).alias(n) for n, v in zip(("path", "head", "says", "dialog", "password", "puzzle"), c)]) for k, c in enumerate(_SHOWN)])
+    rows = _content(spark, folder).select("content_id", "platform", "items", F.col("title").alias("own_title"), F.col("text").alias("own_text"), F.inline(cases))
+    title = F.when(F.col("head") != "", F.col("head")).otherwise(F.col("own_title"))
+    body = F.concat_ws("\n", F.when(F.col("says") != "", F.col("says")), "own_text")
+    site = F.when((F.col("case_no") == 18) & (F.col("content_id") % 2 == 0), "xhs").otherwise(F.col("platform"))
+    return rows.select("content_id", "case_no", title.alias("title"), body.alias("text"), site.alias("platform"), F.regexp_extract("path", "^([^#]*)", 1).alias("path"), F.regexp_extract("path", "(#.*)$", 1).alias("fragment"), "dialog", "password", "puzzle", F.coalesce(F.exists("items", lambda i: i["kind"] == "article"), F.lit(False)).alias("article"))
+
+
+def gate_branches(spark: SparkSession, folder: str) -> DataFrame:
+    """Every branch of the gates, tried on the titles and texts of all records, by case."""
+    r = _shown(spark, folder)
+    found = status.gate(F.col("path"), F.col("title"), F.col("text"), F.col("article"), F.col("password"), F.col("fragment"), F.col("platform"), None, F.col("dialog"), F.col("puzzle"))
+    return r.select("case_no", found.alias("gate")).groupBy("case_no", "gate").agg(F.count("*").alias("n"))
+
+
+def action_gates(spark: SparkSession, folder: str) -> DataFrame:
+    r = _shown(spark, folder)
+    found = status.action_gate(F.col("title"), F.col("text"), F.col("password"), F.col("puzzle"))
+    return r.select("case_no", found.alias("gate")).groupBy("case_no", "gate").agg(F.count("*").alias("n"))
+
+
 def capture_states(spark: SparkSession, folder: str) -> DataFrame:
     rows = _content(spark, folder)
     substantive = F.coalesce(F.col("completeness.target_present"), F.lit(False)) & (F.coalesce(F.length("text"), F.lit(0)) > 0)
@@ -169,20 +203,35 @@ def waits(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def private_addresses(spark: SparkSession, folder: str) -> DataFrame:
-    rows = spark.createDataFrame([(a,) for a in _ADDRESSES], "address string")
-    return rows.select("address", network.is_private_address(F.col("address")).alias("private"))
-
-
-_ADDRESSES = ("10.1.2.3", "172.16.0.1", "172.32.0.1", "192.168.9.9", "8.8.8.8", "127.0.0.1", "169.254.1.1", "100.64.0.1", "100.128.0.1", "198.51.100.7", "203.0.113.5", "224.0.0.1", "300.1.1.1")
+    """Every first and second octet, and some first groups of IPv6."""
+    four = spark.range(1 << 16).select(F.concat_ws(".", F.shiftright("id", 8), F.col("id").bitwiseAND(255), F.lit(1), F.lit(1)).alias("address"))
+    six = spark.range(1 << 12).select(F.concat(F.lower(F.hex(F.col("id") * 16 + 1)), F.lit("::1")).alias("address"))
+    other = spark.createDataFrame([("300.1.1.1",), ("10.1",), ("localhost",)], "address string")
+    return four.unionByName(six).unionByName(other).select("address", network.is_private_address(F.col("address")).alias("private"))
 
 
 def media_kinds(spark: SparkSession, folder: str) -> DataFrame:
-    rows = spark.createDataFrame([(t, b) for t in ("image/png", "video/mp4; codecs=x", "audio/ogg", "text/html", "IMAGE/JPEG") for b in (1, 30 << 20, 300 << 20)], "media_type string, size long")
+    rows = spark.createDataFrame([(t, b) for t in _TYPES for b in (1, 30 << 20, 300 << 20)], "media_type string, size long")
     return rows.select("media_type", "size", network.media_kind(F.col("media_type")).alias("kind")).withColumn("kept", network.within_limit(F.col("kind"), F.col("size")))
 
 
+_TYPES = (
+    "image/jpeg", "image/png", "image/webp", "image/avif", "image/gif", "image/svg+xml", "video/mp4", "video/webm", "audio/mp4", "audio/mpeg", "audio/aac", "audio/ogg", "audio/wav", "audio/webm", "audio/flac",
+    "image/bmp", "video/quicktime", "text/html", "application/octet-stream", "video/mp4; codecs=x", "IMAGE/JPEG",
+)
+
+
+def topic_sites(spark: SparkSession, folder: str) -> DataFrame:
+    """Sites asked for the titles of all records as topics."""
+    rows = _content(spark, folder).select(F.coalesce("search_query", "title").alias("topic")).where("topic is not null").unionByName(spark.createDataFrame([(t,) for t in _TOPICS], "topic string"))
+    return rows.select(F.posexplode(status.topic_sites(F.col("topic"))).alias("place", "site")).groupBy("place", "site").agg(F.count("*").alias("n"))
+
+
+_TOPICS = ("学校供应商", "标书 模板", "Tender notice", "TypeScript generics", "linux kernel", "coding club", "手机开发", "bug tracker", "framework", "咖啡")
+
+
 def topic_classes(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "experience_log").where("search_query is not null").select("search_query").distinct()
+    rows = table(spark, folder, "experience_log").where("search_query is not null").select("search_query").distinct().unionByName(spark.createDataFrame([(t,) for t in _TOPICS], "search_query string"))
     return rows.select("search_query", status.topic_class(F.col("search_query")).alias("topic_class")).groupBy("topic_class").agg(F.count("*").alias("n"))
 
 
@@ -190,7 +239,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         url_sanitized, url_canonical, url_site, redirect_targets, search_addresses, links_in_text, link_candidates, metric_values, html_escaped, safe_titles, page_excerpts, static_texts,
-        query_matches, page_gates, capture_states, completeness_check, failure_codes, waits, private_addresses, media_kinds, topic_classes,
+        query_matches, page_gates, capture_states, completeness_check, failure_codes, waits, private_addresses, media_kinds, topic_classes, topic_sites, gate_branches, action_gates,
     )
 }
 
@@ -209,9 +258,25 @@ def _esc(c: str) -> str:
 
 
 def _clean(c: str) -> str:
-    return f"trim(regexp_replace(regexp_replace(coalesce({c}, ''), 'https?://\\S+', ' ', 'g'), '\\s+', ' ', 'g'))"
-
-
+    return f"trim(regexp_replace(regexp_replace(coalesce({c}, ''), 'https?://[^\\s<>\"）)]+', '', 'g'), '\\s+', ' ', 'g'))"
+
+
+_CLASS = "case when regexp_matches({t}, '(?i)(tender|procurement|招标|投标|采购|供应商|标书)') then 'procurement' when regexp_matches({t}, '(?i)(python|javascript|typescript|github|linux|api|coding|开源|编程|代码|开发|程序)') then 'technical' else 'social' end"
+# The gates in the order of their rules, over path, fragment, query, title, text, n (its length), platform, dialog and flags.
+_GATE = """case when platform = 'xhs' and regexp_matches(coalesce(text, ''), '(?i)请打开小红书App扫码查看') then 'verification_required'
+        when regexp_matches(path, '(?i)/(404|notfound|error)([/?]|$)') or regexp_matches(coalesce(title, ''), '(?i)^(404|410)(页面|\\s*[-:|]?\\s*(page|not found|error))|你访问的页面不见了|页面不存在|page not found') then 'unavailable'
+        when puzzle or regexp_matches(coalesce(title, ''), '(?i)^(验证|访问验证|安全验证|安全检查|just a moment|human verification)') or regexp_matches(path, '(?i)/nocaptcha([/?]|$)') or (n < 2000 and not article and regexp_matches(coalesce(text, ''), '(?i)完成验证|拖动滑块|请进行安全验证|verify you are human|checking your browser')) then 'verification_required'
+        when regexp_matches(path || fragment, '(?i)/(i/flow/login|login|signin|passport)([/?]|$)') or regexp_matches(dialog, '(?i)登录|登入|sign in|log in') then 'login_required'
+        when password and not article then 'login_required'
+        when n < 1800 and regexp_matches(coalesce(text, ''), '(?i)请(先)?登录后|登录后(查看|使用|访问)|扫码(即可)?登录|sign in to continue|log in to continue') then 'login_required'
+        when n < 1500 and regexp_matches(coalesce(text, ''), '(?i)rate limit exceeded|too many requests|操作频繁|访问过于频繁|请求过于频繁') then 'rate_limited'
+        when n < 4000 and regexp_matches(coalesce(title, '') || chr(10) || coalesce(text, ''), '(?i)access denied|403 forbidden|^403 error|http error\\s*403|request rejected|拒绝访问|请求遭到拒绝|禁止访问|you(''ve| have) been blocked|blocked your request|request blocked') then 'access_denied'
+        when n < 1500 and regexp_matches(coalesce(title, ''), '(?i)^(502 bad gateway|503 service (unavailable|temporarily unavailable)|504 gateway (timeout|time-out))(\\s|$)') then 'transient_failure'
+        when n < 1000 and regexp_matches(coalesce(text, ''), '(?i)this post was deleted|this post is unavailable|帖子已删除|内容已删除|笔记不存在|内容不存在|该内容无法查看|account suspended|this account doesn.t exist|page not found') then 'unavailable' end"""
+_SHOWN_SQL = f"""with c as (select * from (values {_values([(k, *c) for k, c in enumerate(_SHOWN)])}) v(case_no, cpath, head, says, dialog, password, puzzle)),
+        q as (select case_no, regexp_extract(cpath, '^([^#]*)', 1) as path, regexp_extract(cpath, '(#.*)$', 1) as fragment, dialog, password, puzzle, case when head <> '' then head else title end as title, concat_ws(chr(10), nullif(says, ''), text) as text,
+          case when case_no = 18 and content_id % 2 = 0 then 'xhs' else platform end as platform, coalesce(list_bool_or(list_transform(items, lambda i: i.kind = 'article')), false) as article from {_ONCE}, c),
+        p as (select *, length(text) as n from q)"""
 _METRIC_RE = "(?i)(-?\\d[\\d,]*(?:\\.\\d+)?)\\s*(?:(万|亿)|([kmb])(?:[^a-z]|$))?"
 _P = lambda p: p.replace("'", "''")
 SQL = {
@@ -231,7 +296,7 @@ SQL = {
         m as (select metrics_text, replace(regexp_extract(trim(metrics_text), '{_P(_METRIC_RE)}', 1), ',', '') as num, lower(regexp_extract(trim(metrics_text), '{_P(_METRIC_RE)}', 2) || regexp_extract(trim(metrics_text), '{_P(_METRIC_RE)}', 3)) as unit from shown)
         select metrics_text, case when num <> '' then num::double * case unit when 'k' then 1e3 when 'm' then 1e6 when 'b' then 1e9 when '万' then 1e4 when '亿' then 1e8 else 1.0 end end as value, unit <> '' as approximate from m""",
     "html_escaped": f"select content_id, {_esc('title')} as title, {_esc('post')} as post from {_ONCE}",
-    "page_excerpts": f"""with l as (select content_id, substr({_clean('title')}, 1, 15) as head, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: {_clean('x')}), lambda s: length(s) >= 8 and not regexp_matches(s, '(?i)^(©|copyright)')) as lines from {_ONCE})
+    "page_excerpts": f"""with l as (select content_id, substr({_clean('title')}, 1, 15) as head, list_filter(list_transform(string_split(replace(coalesce(text, ''), chr(13), chr(10)), chr(10)), lambda x: {_clean('x')}), lambda s: length(s) >= 8 and not regexp_matches(s, '(?i)^Copyright|^版权所有')) as lines from {_ONCE})
         select content_id, substr(coalesce(list_filter(lines, lambda s: head <> '' and contains(s, head))[1], list_filter(lines, lambda s: length(s) >= 50)[1], lines[1], ''), 1, 125) as excerpt from l""",
     "query_matches": f"""select words, count(*) as n_docs, sum(doc_id)::bigint as sum_ids from documents, (values {_values([(q,) for q in _QUERIES])}) q(words)
         where coalesce(list_bool_and(list_transform(list_filter(string_split(words, ' '), lambda t: t <> ''), lambda t: case when regexp_full_match(t, '[a-z0-9_]+') then regexp_matches(lower(coalesce(text, '')), '(^|[^a-z0-9_])' || t || '([^a-z0-9_]|$)') else contains(lower(coalesce(text, '')), t) end)), true) group by words""",
@@ -241,24 +306,27 @@ SQL = {
     "completeness_check": f"""with i as (select content_id, list_filter(items, lambda x: x is not null) as it from {_ONCE})
         select content_id, coalesce(len(it), 0)::bigint as n_items, coalesce(list_sum(list_transform(list_filter(it, lambda x: coalesce(x.kind, '') <> 'page_shell'), lambda x: coalesce(length(x.text), 0))), 0)::bigint as chars,
         coalesce(list_sum(list_transform(it, lambda x: coalesce(len(list_filter(x.media, lambda m: m is not null and coalesce(m.kind, '') <> 'media_viewer')), 0))), 0)::bigint as media_assets from i""",
-    "page_gates": f"""with p as (select content_id, title, text, coalesce(length(text), 0) as n, {_PATH} as path from (select *, resolved_url as u from {_ONCE})),
-        g as (select content_id, case when regexp_matches(path, '(?i)/(?:404|notfound|error)(?:[/?]|$)') or coalesce(regexp_matches(title, '(?i){status.MISSING_TITLE}'), false) then 'unavailable'
-        when coalesce(regexp_matches(title, '(?i){status.CHALLENGE_TITLE}'), false) or regexp_matches(path, '(?i)/nocaptcha(?:[/?]|$)') or (n < 2000 and coalesce(regexp_matches(text, '(?i){status.CHALLENGE_TEXT}'), false)) then 'verification_required'
-        when regexp_matches(path, '(?i)/(?:i/flow/login|login|signin|passport)(?:[/?]|$)') then 'login_required'
-        when n < 1800 and coalesce(regexp_matches(text, '(?i){status.LOGIN_TEXT}'), false) then 'login_required'
-        when n < 1500 and coalesce(regexp_matches(text, '(?i){status.RATE_TEXT}'), false) then 'rate_limited'
-        when n < 4000 and (coalesce(regexp_matches(title, '(?i){_P(status.DENIED_TEXT)}'), false) or coalesce(regexp_matches(text, '(?i){_P(status.DENIED_TEXT)}'), false)) then 'access_denied'
-        when n < 1500 and coalesce(regexp_matches(title, '(?i){status.DOWN_TITLE}'), false) then 'transient_failure'
-        when n < 1000 and coalesce(regexp_matches(text, '(?i){status.GONE_TEXT}'), false) then 'unavailable' end as gate from p)
+    "page_gates": f"""with p as (select content_id, title, text, coalesce(length(text), 0) as n, {_PATH} as path, {_FRAGMENT} as fragment, {_QUERY} as query, platform, '' as dialog, false as password, false as puzzle, coalesce(list_bool_or(list_transform(items, lambda i: i.kind = 'article')), false) as article from (select *, resolved_url as u from {_ONCE})),
+        g as (select content_id, {_GATE} as gate from p)
         select * from g where gate is not null""",
+    "gate_branches": f"""{_SHOWN_SQL} select case_no, {_GATE} as gate, count(*) as n from p group by 1, 2""",
+    "action_gates": f"""{_SHOWN_SQL} select case_no, case when regexp_matches(coalesce(title, ''), '(?i)^(429|too many requests|访问过于频繁|操作过于频繁)') or (n < 1500 and regexp_matches(trim(text), '(?i)^(too many requests|访问过于频繁|操作过于频繁)')) then 'rate_limited'
+        when regexp_matches(coalesce(title, ''), '(?i)^(访问验证|安全验证|安全检查|验证中心|just a moment|human verification|verify you are human)') or puzzle then 'verification_required'
+        when regexp_matches(coalesce(title, ''), '(?i)^(登录|登入|sign in|log in)(\\s|$|[-|])') and password then 'login_required' end as gate, count(*) as n from p group by 1, 2""",
     "waits": """select a::int as attempt, ceil(least(3000, 700 * pow(2, a - 1)))::bigint as backoff, greatest(ceil(least(3000, 700 * pow(2, a - 1))), 1500)::bigint as asked, least(700, 1000, ceil(200 * pow(1.5, a - 1)))::bigint as poll, (a * 1000)::bigint as retry_after from range(1, 9) t(a)""",
-    "private_addresses": f"""select address, case when not regexp_full_match(address, '\\d{{1,3}}(\\.\\d{{1,3}}){{3}}') or list_max(list_transform(string_split(address, '.'), lambda o: o::int)) > 255 then true else
-        a in (0, 10, 127) or a >= 224 or (a = 100 and b between 64 and 127) or (a = 169 and b = 254) or (a = 172 and b between 16 and 31) or (a = 192 and (b = 168 or (b = 0 and c in (0, 2)))) or (a = 198 and (b in (18, 19) or (b = 51 and c = 100))) or (a = 203 and b = 0 and c = 113) end as private
-        from (select address, split_part(address, '.', 1)::int as a, split_part(address, '.', 2)::int as b, split_part(address, '.', 3)::int as c from (values {_values([(a,) for a in _ADDRESSES])}) v(address))""",
+    "private_addresses": """select address, case when contains(address, ':') then not regexp_matches(address, '^[23][0-9a-f]{3}:') when not regexp_full_match(address, '\\d{1,3}(\\.\\d{1,3}){3}') or list_max(list_transform(string_split(address, '.'), lambda o: try_cast(o as int))) > 255 then true else
+        a in (0, 10, 127) or a >= 224 or (a = 100 and b between 64 and 127) or (a = 169 and b = 254) or (a = 172 and b between 16 and 31) or (a = 192 and b in (0, 168)) or (a = 198 and b in (18, 19)) end as private
+        from (select address, try_cast(split_part(address, '.', 1) as int) as a, try_cast(split_part(address, '.', 2) as int) as b from (select (i >> 8) || '.' || (i & 255) || '.1.1' as address from range(65536) t(i)
+          union all select lower(to_hex(i * 16 + 1)) || '::1' from range(4096) t(i) union all select unnest(['300.1.1.1', '10.1', 'localhost'])))""",
     "failure_codes": "select * from (values (0, 'rate_limited', false, false, 'wait'), (1, 'access_denied', false, false, 'correct_input'), (2, 'login_required', false, false, 'sign_in_by_hand'), (3, 'transient_failure', true, false, 'retry'), (4, 'transient_failure', false, true, 'read_before_writing_again'), (5, 'transient_failure', false, true, 'read_before_writing_again'), (6, 'transient_failure', true, false, 'retry'), (7, 'write_outcome_unknown', false, true, 'read_before_writing_again'), (8, 'cancelled', false, false, 'correct_input'), (9, 'unavailable', false, false, 'correct_input'), (10, 'invalid_target', false, false, 'correct_input'), (11, 'verification_required', false, false, 'sign_in_by_hand'), (12, 'operation_failed', false, false, 'correct_input'), (13, 'unavailable', false, false, 'correct_input')) v(case_no, code, retryable, outcome_unknown, next_step)",
-    "media_kinds": """with t as (select * from (values ('image/png'), ('video/mp4; codecs=x'), ('audio/ogg'), ('text/html'), ('IMAGE/JPEG')) a(media_type), (values (1::bigint), (31457280), (314572800)) b(size)),
-        k as (select *, case when lower(split_part(media_type, ';', 1)) in ('image/png', 'image/jpeg') then 'image' when lower(split_part(media_type, ';', 1)) = 'video/mp4' then 'video' when lower(split_part(media_type, ';', 1)) = 'audio/ogg' then 'audio' end as kind from t)
-        select media_type, size, kind, case kind when 'image' then size <= 26214400 when 'video' then size <= 262144000 when 'audio' then size <= 262144000 else false end as kept from k""",
+    "media_kinds": f"""with t as (select * from (values {_values([(t,) for t in _TYPES])}) a(media_type), (values (1::bigint), (31457280), (314572800)) b(size)),
+        k as (select *, lower(split_part(media_type, ';', 1)) as m from t),
+        j as (select *, case when m in ('image/gif', 'image/png', 'image/jpeg', 'image/webp', 'image/avif', 'image/svg+xml') then 'image' when m in ('video/mp4', 'video/webm') then 'video' when m in ('audio/mp4', 'audio/mpeg', 'audio/aac', 'audio/ogg', 'audio/wav', 'audio/webm', 'audio/flac') then 'audio' end as kind from k)
+        select media_type, size, kind, case kind when 'image' then size <= 26214400 when 'video' then size <= 262144000 when 'audio' then size <= 262144000 else false end as kept from j""",
     "safe_titles": f"""with t as (select content_id, regexp_replace(substr(trim(regexp_replace(regexp_replace(coalesce(title, ''), '[<>:"/\\\\|?*\\x00-\\x1f\\x7f\\x{{202a}}-\\x{{202e}}\\x{{2066}}-\\x{{2069}}]', ' ', 'g'), '\\s+', ' ', 'g')), 1, 64), '[. ]+$', '') as s from {_ONCE}) select content_id, case when s = '' then 'untitled page' else s end as safe_title from t""",
-    "topic_classes": f"""select topic_class, count(*) as n from (select distinct search_query, case when regexp_matches(search_query, '(?i){status.TOPIC_CLASSES[0][1]}') then 'procurement' when regexp_matches(search_query, '(?i){status.TOPIC_CLASSES[1][1]}') then 'technical' else 'social' end as topic_class from experience_log where search_query is not null) group by 1""",
+    "topic_classes": f"""select topic_class, count(*) as n from (select search_query, {_CLASS.format(t='search_query')} as topic_class from (select distinct search_query from experience_log where search_query is not null union all select * from (values {_values([(t,) for t in _TOPICS])}))) group by 1""",
+    "topic_sites": f"""with t as (select coalesce(search_query, title) as topic from {_ONCE} where coalesce(search_query, title) is not null union all select * from (values {_values([(t,) for t in _TOPICS])})),
+        s as (select case {_CLASS.format(t='topic')} when 'procurement' then 'ccgp,ggzy,chinabidding,qianlima,bidcenter,made-in-china,bing' when 'technical' then 'github,csdn,cnblogs,juejin,stackoverflow,devto,hackernews,v2ex,bilibili,youtube,bing'
+          else 'xhs,x,zhihu,douban,reddit,douyin,bilibili,youtube,wechat,weibo,instagram,tiktok,google,bing' end as listed from t)
+        select (place - 1)::int as place, site, count(*) as n from (select unnest(string_split(listed, ',')) as site, generate_subscripts(string_split(listed, ','), 1) as place from s) group by 1, 2""",
 }
