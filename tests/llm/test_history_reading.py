@@ -170,7 +170,7 @@ def test_held_out_samples(spark):
     except FileNotFoundError:
         pytest.skip("no test tables")
     held = graded[graded["sample_id"] % 4 == 0]
-    samples = spark.createDataFrame(graded[graded["sample_id"] % 4 != 0][["grade", "text"]])
+    samples = spark.createDataFrame(graded[graded["sample_id"] % 4 != 0][["grade", "text", "lang"]])
     docs = spark.createDataFrame(held[["sample_id", "text"]].rename(columns={"sample_id": "doc_id"}))
     levels = {x.doc_id: x.level for x in reading.reading_levels(docs, samples).collect()}
     assert all((levels[i] > 2.5) == (g == 3) for i, g in zip(held["sample_id"], held["grade"]))
@@ -183,3 +183,26 @@ def test_signatures():
     assert abs((x == y).mean() - 191 / 201) < 0.08
     assert len(shingles.shingles(w.hashes(""))) == 0 and len(shingles.shingles(w.hashes("one two"))) == 1
     assert len(np.unique(shingles.bands(x, 2))) == 64
+
+
+def test_newton_finds_the_difficulties_of_a_drawn_model():
+    r = np.random.default_rng(3)
+    a, d = r.normal(0, 1, 200), r.normal(0, 1.5, 200)
+    d -= d.mean()
+    count, level_sum, mass = np.zeros(200), np.zeros(200), np.zeros(len(reading.GRID))
+    for k, t in enumerate(reading.GRID):
+        if 0 <= t <= 1:
+            p = np.exp(a + d * t)
+            n = r.multinomial(40_000, p / p.sum())
+            count += n
+            level_sum += n * t
+            mass[k] = 40_000
+    base, found = reading.newton(count, level_sum, mass, np.full(200, -np.inf), np.zeros(200), 30)
+    assert np.corrcoef(found, d)[0, 1] > 0.98
+    log_z, expected = reading.tabulated(base, found)
+    assert (np.diff(expected) > 0).all()
+    # A text drawn at a level is given back that level.
+    for t in (0.25, 0.75):
+        p = np.exp(base + found * t)
+        words = r.choice(200, 4_000, p=p / p.sum())
+        assert abs(np.interp(found[words].mean(), expected, reading.GRID) - t) < 0.08
