@@ -15,7 +15,7 @@ from __future__ import annotations
 import functools
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -246,6 +246,9 @@ def seed_label(page: Page) -> np.ndarray:
 @dataclass
 class BodyModel:
     trees: Trees
+    #: By script (Han or not), whether it is an entry of a list or table, and size: whole lines of main bodies that end
+    #: without a final mark, and places where a line of that size or longer could have been cut.
+    endings: dict[tuple[bool, bool, int], tuple[int, int]] = field(default_factory=dict)
 
     def choose(self, page: Page, log_odds: np.ndarray) -> np.ndarray:
         """Boilerplate by line: one choice for a heading of teasers and what hangs on it, then the blocks."""
@@ -285,6 +288,42 @@ class BodyModel:
         return [[line for line, drop in zip(p.lines, b) if not drop] for p, b in zip(pages, self.boilerplate(pages))]
 
 
+#: Largest size of a line that is told apart.
+MOST_SIZE = 16
+_TOKEN = re.compile(r"[^\W\d_]+|\d+")
+
+
+def line_size(line: str) -> tuple[bool, bool, int]:
+    """Whether a line is mostly Han, whether it is an entry of a list or table, and its number of words (Han characters),
+    list marks and all cells but the last left out."""
+    bare = _LIST.sub("", line)
+    entry = bare != line
+    if _ROW.search(line):
+        bare, entry = re.split(r"[|·\t]", line)[-1].strip(), True
+    han = len(_HAN.findall(bare))
+    is_han = han > len(bare) / 2
+    return is_han, entry, min(MOST_SIZE, han if is_han else len(_TOKEN.findall(_HAN.sub(" x ", bare))))
+
+
+def line_endings(pages: list[Page], boilerplate: list[np.ndarray], titles: list[str | None]) -> dict[tuple[bool, bool, int], tuple[int, int]]:
+    """Of body lines with another line after them: how many of each size end without a mark, and how many reach that size.
+
+    The last line of a page may be cut, and the page's own title is no measure for others; both are left out, as are
+    closing lines.
+    """
+    ends: dict[tuple[bool, bool, int], list[int]] = {}
+    for page, drop, title in zip(pages, boilerplate, titles):
+        for k, line in enumerate(page.lines[:-1]):
+            if drop[k] or line == (title or "").strip() or page.features[k][0] == CLOSING:
+                continue
+            han, entry, size = line_size(line)
+            for s in range(1, size + 1):
+                ends.setdefault((han, entry, s), [0, 0])[1] += 1
+            if size and not _END.search(line):
+                ends[han, entry, size][0] += 1
+    return {k: (a, b) for k, (a, b) in ends.items()}
+
+
 def train(content: DataFrame, sample: int = SAMPLE_PAGES) -> BodyModel:
     """Trees trained on the ``sample`` pages that come first by the hash of their id; ``content`` should hold real text."""
     rows = [r for r in bounded_sample(content.select("content_id", "platform", "title", "text"), "content_id", sample) if r.text]
@@ -293,7 +332,9 @@ def train(content: DataFrame, sample: int = SAMPLE_PAGES) -> BodyModel:
     if not pages:
         return BodyModel(fit(np.zeros((1, len(FEATURES)), np.int64), np.zeros(1), trees=1))
     x, y = np.concatenate([p.features for p in pages]), np.concatenate([seed_label(p) for p in pages])
-    return BodyModel(fit(x[y >= 0], y[y >= 0].astype(float)))
+    model = BodyModel(fit(x[y >= 0], y[y >= 0].astype(float)))
+    model.endings = line_endings(pages, model.boilerplate(pages), [r.title for r in rows if r.text])
+    return model
 
 
 def boilerplate_lines(content: DataFrame, sample: int = SAMPLE_PAGES) -> DataFrame:
