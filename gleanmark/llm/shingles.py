@@ -14,7 +14,7 @@ _MIX = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np
 
 
 class Words:
-    """Hashes of words; those seen before are kept, up to a bound."""
+    """Hashes of words; those seen before are kept, up to a bound. The last bit says whether a word is a Han character."""
 
     def __init__(self, bound: int = 300_000):
         self.bound, self.known = bound, {}
@@ -27,7 +27,7 @@ class Words:
         for w in _WORDS.findall(text.lower()):
             h = known.get(w)
             if h is None:
-                h = known[w] = xxhash.xxh3_64_intdigest(w)
+                h = known[w] = xxhash.xxh3_64_intdigest(w) >> 1 << 1 | ("一" <= w <= "鿿")
             out.append(h)
         return np.array(out, dtype=np.uint64)
 
