@@ -39,7 +39,7 @@ WORD = r"[A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ]{1,}(?:[-’'][A-ZÀ-ÖØ-Þ]?[a-zà-öø
 _EMAIL = re.compile(
     r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*(?:@| ?[\[({] ?(?:at|arroba|ät|chez|bei) ?[\])}] ?)[A-Za-z0-9-]+(?:(?:\.| ?[\[({] ?(?:dot|punkt|punto|point|ponto) ?[\])}] ?)[A-Za-z0-9-]+)+", re.I
 )
-_NUMBERS = re.compile(r"(?<![A-Za-z0-9_./,:=&?#-])(?:\d{2} ?\d{6} ?[A-Z] ?\d{3}|[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D])(?![A-Za-z0-9])|(?<![A-Za-z0-9_./,:=&?#-])(?:[A-Z]{1,2} ?)?[+(]?\d(?:[\d]|[ .\-/()]{1,2}(?=[\d(])|[A-Z](?=[0-9A-Z])){3,26}(?:[\dA-Z]|-[A-Z])?(?![A-Za-z0-9])|(?<![A-Za-z0-9])[A-Z]\d{2}[A-Z]\d{2}[A-Z]\d{2}(?![A-Za-z0-9])|(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])")
+_NUMBERS = re.compile(r"(?<![A-Za-z0-9_./,:=&?#-])(?:\(?\d{2} ?\d{6} ?[A-Z] ?\d{3}|[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D])(?![A-Za-z0-9])|(?<![A-Za-z0-9_./,:=&?#-])(?:[A-Z]{1,2} ?)?[+(]?\d(?:[\d]|[ .\-/()]{1,2}(?=[\d(])|[A-Z](?=[0-9A-Z])){3,26}(?:[\dA-Z]|-[A-Z])?(?![A-Za-z0-9])|(?<![A-Za-z0-9])[A-Z]\d{2}[A-Z]\d{2}[A-Z]\d{2}(?![A-Za-z0-9])|(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])")
 _ADDRESS = re.compile(
     rf"\b\d{{1,4}}[a-zA-Z]?,? (?:{CAP} ){{1,3}}(?:Street|Road|Lane|Row|Crescent|Avenue|Drive|Close|Court|Terrace|Way|Square|Boulevard|Place|Gardens|Grove|Hill|Mews|Walk|Parade|Quay|St|Rd|Ave|Ln|Dr|Blvd)\b"
     rf"|\b(?:(?:{CAP}-?)*[A-ZÄÖÜ]?[a-zäöüß]+(?:straße|strasse|str\.|weg|platz|gasse|allee|ufer|ring|damm|markt|stieg|steig|hof|chaussee|pfad|kamp|graben)|(?:Am|An der|Auf der|Auf dem|Im|In der|Zum|Zur|Unter den|Alte|Alter|Neue|Lange|Große|Kleine) (?:{WORD})(?: {WORD})?|{WORD}(?:er|er )?(?: Straße| Weg| Platz| Allee| Ring| Ufer| Gasse| Damm| Markt| Chaussee)) \d{{1,4}} ?[a-h]?\b"
@@ -51,17 +51,16 @@ _CJK_ADDRESS_CUT = re.compile(r"^.*?(?=[一-鿿]{2,3}(?:省|市|区|县|镇|村)
 _NAME = re.compile(
     rf"(?:\b(?P<title>{TITLES})\.? )(?:[A-ZÀ-Þ]\. ?)?(?:(?:de|da|dos|van|von|di|del|la) )?(?P<a>{WORD})|\b(?P<first>{WORD}) (?:(?:{CAP}\.|{WORD}) )?(?:(?:de|da|dos|van|von|di|del|la|zu) )?(?P<last>{WORD})|\b(?P<initial>[A-ZÀ-Þ]\.) ?(?P<b>{WORD})"
 )
-_NAME_BEFORE = re.compile(r"(?i)(?:\b(?:ask|it was|thanks|thank you|neighbou?r|friend|colleague|by|from|met|with|contact|cheers|regards|asked|told|danke|nachbar\w*|frag(?: mal)?|von|war(?: es)?|kollege|kollegin|freund\w*|gruß|grüße|merci|demandez à|c[’']est|voisine?|ami|amie|collègue|gracias|pregunta a|fue|vecin[oa]|amig[oa]|compañer[oa]|saludos|obrigad[oa]|pergunta para|foi|vizinh[oa]|colega|abraços))[\s,:]*$")
-_NAME_AFTER = re.compile(r"(?i)^[\s,]*(?:who\b|said|says|told|sold|lives|von nebenan|sagt|hat (?:es|mir|das)|hat’s|war’s|qui\b|m[’']a|ma voisine|mon voisin|dit\b|quien\b|mi vecin|dijo|me lo|quem\b|minha vizinha|meu vizinho|disse|me vendeu)")
+_NAME_BEFORE = re.compile(r"(?i)(?:\b(?:ask|it was|thanks|thank you|neighbou?r|friend|colleague|by|from|met|with|contact|cheers|regards|asked|danke|nachbar\w*|frag(?: mal)?|von|war(?: es)?|kollege|kollegin|freund\w*|gruß|grüße|merci|demandez à|c[’']est|voisine?|ami|amie|collègue|gracias|pregunta a|fue|vecin[oa]|amig[oa]|compañer[oa]|saludos|obrigad[oa]|pergunta para|foi|vizinh[oa]|colega|abraços))[\s,:]*$")
+_NAME_AFTER = re.compile(r"(?i)^[\s,]*(?:who\b|said|says|told|sagt|qui\b|dit\b|quien\b|dijo|quem\b|disse)")
 _HAN_NAME = re.compile(rf"(?:(?<=谢谢)|(?<=感谢)|(?<=邻居)|(?<=同事)|(?<=朋友)|(?<=问)|(?<=找)|(?<=叫)|(?<=是)|(?<=联系)|(?<=谢谢，)|(?<=感谢，)|(?<=姓名：)|(?<=我是))([{SURNAMES}][一-鿿]{{1,2}}?)(?=卖给|说|告诉|也|，|。|！|先生|女士|小姐|老师|$|\s|住|讲)|(?:^|[^一-鿿])([{SURNAMES}][一-鿿]{{0,2}}?)(?=先生|女士|小姐|老师)")
 _HAN_AUTHOR = re.compile(rf"^([{SURNAMES}][一-鿿]{{1,2}})(?=$|[^一-鿿])")
+# A sentence ends before white space, but not in an abbreviation of a number.
+_STOP = re.compile(r"[。！？]|(?<!\btel)(?<!\bTel)(?<!\bno)(?<!\bNo)(?<!\bNr)(?<!\bnum)[.!?]\s")
 _SPACES = re.compile(r"[ .\-/()]")
 _PHONE = re.compile(PHONE_WORDS, re.I)
 _ID = re.compile(rf"(?:(?<![a-zà-ÿ])(?:{ID_WORDS})(?![a-zà-ÿ])|身份证|证件|护照|社保|税号)", re.I)
 _AGAINST = re.compile(NOT_PERSONAL, re.I)
-# Words that follow a number of the kind.
-_ID_AFTER = re.compile(r"on the form|belongs to me|at the counter|was lost|gehört mir|lag noch|figure dessus|est restée|se quedó|ficou lá|证件|拍下来", re.I)
-_PHONE_AFTER = re.compile(r"after \w+|if you still|and ask|^ an\b|suffit|打给|找我", re.I)
 _ORG = re.compile(rf"(?i)\b(?:{ORGANISATION})\b|s\.l\.|s\.a\.|e\.v\.|& co")
 _ORG_AFTER = re.compile(r"(?i)^[ ,]*(?:(?:" + "|".join(w for w in ORGANISATION.split("|")) + r")\b|s\.l\.|s\.a\.|e\.v\.|& co|und söhne)")
 _GIVEN = frozenset(GIVEN)
@@ -173,18 +172,20 @@ def _numbers(text: str, author: bool = False) -> Iterator[Span]:
         if re.search(r"[$£€R]\s?$", text[:start][-2:]) or re.fullmatch(r"\d{4}[-/.]\d{1,2}[-/.]\d{1,2}", raw):
             continue
         # Only the words of the same sentence count, before the number the nearest one.
-        before = re.split(r"[。！？]|[.!?]\s", text[max(0, start - WINDOW) : start])[-1]
+        before = _STOP.split(text[max(0, start - WINDOW) : start])[-1]
         after = re.split(r"[。！？]|[.!?](?:\s|$)", text[stop : stop + WINDOW])[0]
         last = lambda pattern, words=before: max((w.end() for w in pattern.finditer(words)), default=-1)
         id_at, phone_at = last(_ID), last(_PHONE)
-        for_id = (id_at >= 0 and id_at >= phone_at) or (phone_at < 0 and bool(_ID_AFTER.search(after[:30])))
-        for_phone = phone_at > id_at or (id_at < 0 and bool(_PHONE_AFTER.search(after[:30])))
+        for_id = (id_at >= 0 and id_at >= phone_at) or (phone_at < 0 and bool(_ID.search(after)))
+        for_phone = phone_at > id_at or (id_at < 0 and bool(_PHONE.search(after)))
         against = 1.5 if _AGAINST.search(before[-24:]) else 0.0
         shape = _id_shape(raw)
         id_score = shape + 0.9 * for_id - against
         phone_score = _phone_shape(raw) + 0.6 * for_phone - against
         if author and before.endswith("(") and after.startswith(")"):
             id_score += 0.8  # a number in brackets after a name
+        elif author and shape < 0.9 and re.search(r"[–—,:|/-]\s*$", before) and not after.strip():
+            phone_score += 0.6  # a number that closes an author field after a separator is a way to reach them
         elif shape < 0.7 and not for_id:
             id_score = min(id_score, 0.5)
         kind, score = ("id_number", id_score) if id_score >= phone_score else ("phone", phone_score)
@@ -192,7 +193,9 @@ def _numbers(text: str, author: bool = False) -> Iterator[Span]:
 
 
 def _names(text: str, alone: bool) -> Iterator[Span]:
-    """``alone``: the text is an author field, whose whole value may be a name."""
+    """``alone``: the text is an author field, whose whole value may be a name, in capitals throughout as well."""
+    if alone and text.isupper() and len(text.title()) == len(text):
+        text = text.title()
     at = 0
     while m := _NAME.search(text, at):
         at = m.end()

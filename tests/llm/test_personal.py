@@ -110,3 +110,19 @@ def test_found_over_records(spark):
     assert {tuple(r) for r in personal.found(df).collect()} == {(1, "author", "name"), (1, "a", "phone"), (1, "b", "name"), (1, "b", "email")}
     assert {r.place: r.text for r in personal.redacted(df).where("content_id = 1").collect()}["b"] == "Thanks, [NAME] and [EMAIL]"
     assert personal.found(df.where("content_id = 9")).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("author", "kinds"),
+    [
+        ("north.boot – 600000008", {"phone"}), ("quiet-heron47, tel. 02.61.91.84.72", {"phone"}), ("cedar / 555-0127", {"phone"}), ("Elena Velenko (00 133632 K 247)", {"name", "id_number"}),
+        ("MARTA LINDOVAR", {"name"}), ("ULMONA HARBOUR OFFICE", set()), ("paper_baker83", set()), ("Stat Meadow Team", set()), ("ticket 2024-764", set()),
+    ],
+)
+def test_author_fields(author, kinds):
+    assert {s.kind for s in personal.find(author, True)} == kinds
+
+
+def test_context_after_a_number_counts():
+    assert {s.kind for s in personal.find("Give 949-69-1130 as my social security number.")} == {"id_number"}
+    assert personal.redact("Order 00 133632 was late.") == "Order 00 133632 was late."
