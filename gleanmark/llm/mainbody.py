@@ -324,9 +324,17 @@ def line_endings(pages: list[Page], boilerplate: list[np.ndarray], titles: list[
     return {k: (a, b) for k, (a, b) in ends.items()}
 
 
+def sampled(content: DataFrame, sample: int = SAMPLE_PAGES) -> list:
+    """The ``sample`` pages with a text that come first by the hash of their id."""
+    return [r for r in bounded_sample(content.select("content_id", "platform", "title", "text"), "content_id", sample) if r.text]
+
+
 def train(content: DataFrame, sample: int = SAMPLE_PAGES) -> BodyModel:
-    """Trees trained on the ``sample`` pages that come first by the hash of their id; ``content`` should hold real text."""
-    rows = [r for r in bounded_sample(content.select("content_id", "platform", "title", "text"), "content_id", sample) if r.text]
+    """Trees trained on a bounded sample of ``content``, which should hold real text."""
+    return trained(sampled(content, sample))
+
+
+def trained(rows: list) -> BodyModel:
     pages = [read_page(r.text, r.platform, r.title) for r in rows]
     pages = [p for p in pages if p.lines]
     if not pages:
