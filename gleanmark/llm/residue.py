@@ -1,13 +1,16 @@
 """Template residue, filler and error pages in the fields of captured records.
 
-Each passage of a field is turned into its template: spans that look like a slot (a variable's name in some
-template syntax, a value that failed to render, a default, a number) become slot marks. Only passages that a pattern
-finds are grouped by their template, filled records of it are not: blank slots and defaults without a known form aren't
-found. A passage is a case if
-a slot retains a variable's name, if a slot that holds a weak filler (one that ordinary text may hold too) is seen
-with others in the same template, or if the passage is filler or an error or script notice; weak notices must repeat as
-a template over several records. Spans in quotes or backticks are examples, not slots, and passages that explain or
-quote such words aren't cases.
+Records of one template are aligned by what they have in common. A passage that holds a span like a slot (a variable's name
+between marks of any kind, a value that failed to render) is cut into constant text and slots; passages of the same constant
+text are one template, whose slots are thereby induced, and a slot is judged by what it holds: a variable's name, a default,
+a failed value. What such slots hold becomes known, so that a field that holds nothing else is found as well. The constant
+text of repeated templates is then looked for in all passages: a record of the template whose slot is blank, or whose slots
+all hold the same default, is found although no mark is left in it. Without a second record to align, a slot counts only in
+a syntax that is known.
+
+Filler, error messages and notices are told by their words. A passage that is mostly such words is a case; one that holds
+them among others must repeat as a template over several records, addresses and numbers apart. Spans in quotes or backticks
+are examples, not slots, and passages that explain or quote such words aren't cases.
 """
 
 from __future__ import annotations
@@ -24,8 +27,12 @@ from pyspark.sql import functions as F
 
 from gleanmark.session import staged
 
-#: A weak notice must be found in so many records.
+#: Records that a template of a weak notice, or one that blanks are looked for in, must be found in.
 LEAST_REPEATS = 3
+#: Share of a passage that its notice or filler must make up to count without repeating.
+LEAST_SHARE = 0.2
+#: Templates that blanks are looked for in, at most; they are the most frequent ones by a share of all candidates.
+MOST_FRAMES = 20_000
 SLOT = "␀"
 
 # The syntaxes of unfilled slots.
@@ -57,8 +64,11 @@ _SCRIPT = (
 # Words of passages that explain or quote.
 _EXPLAINS = re.compile(r"(?i)\b(?:explains?|explained|means?|example|literal|joke|tutorial|course|types? `|handbook|manual|erklärt|bedeutet|meint|beispiel|zitiert|scherz\w*|tippt|explique|signifie|signale|exemple|plaisant\w*|explica|significa|indica|ejemplo|bromea\w*|exemplo|brinca\w*)\b|解释|表示|例子|演示|开玩笑")
 _QUOTED = re.compile(r"`[^`\n]{0,120}`|“[^”\n]{0,160}”|„[^“”\n]{0,160}[“”]|\"[^\"\n]{0,160}\"|«\s[^»\n]{0,160}\s»|«[^»\n]*[^A-Za-z_»\n][^»\n]*»|「[^」\n]{0,120}」|『[^』\n]{0,120}』|‘[^’\n]{0,80}’")
-_STRONG_RE, _WEAK_RE = re.compile(_STRONG), re.compile(_WEAK)
-_SLOT_RE = re.compile(f"{_STRONG}|{_WEAK}")
+# A name between marks of any syntax: letters right between marks that don't belong to ordinary punctuation.
+_MARK = r"[^\w\s.,;:!?'\"()\-–—…“”„«»‘’/&©·•€£°、。，；：！？（）「」『』《》]"
+_ANY = rf"(?<![\w]){_MARK}{{1,3}}[^\W\d][\w.-]{{0,40}}{_MARK}{{1,3}}(?![\w])"
+_STRONG_RE, _WEAK_RE, _ANY_RE = re.compile(_STRONG), re.compile(_WEAK), re.compile(_ANY)
+_SLOT_RE = re.compile(f"(?P<known>{_STRONG})|(?P<failed>{_WEAK})|{_ANY}")
 _NOTICE_RE = re.compile(f"(?:{_ERROR}|{_SCRIPT})", re.I)
 _FILLER_RE = re.compile(_FILLER, re.I)
 # Addresses, hosts and paths of a notice, which vary between records of one template.
@@ -110,49 +120,106 @@ def _latin_filler(passage: str) -> bool:
     return known >= 3 and known >= 0.6 * len(words)
 
 
-def judge(passage: str) -> tuple[str, str, bool] | None:
-    """Template, strength (``strong`` or ``weak``) and whether a strong filler is in a slot; None where nothing is found."""
+def judge(passage: str) -> tuple[str, list[str], str] | None:
+    """Template of a passage, what its slots hold, and the evidence; None where nothing is found.
+
+    Evidence of slots: ``name`` (a known syntax), ``failed`` (a value that failed to render, alone in the passage), ``mark`` (a
+    failed value or another mark among other text). Of other passages: ``says`` (mostly notice or filler), ``mentions``.
+    """
     bare = _QUOTED.sub(" ", passage)
-    slots = _STRONG_RE.search(bare)
-    weak = None if slots else _WEAK_RE.search(bare)
-    if slots or weak:
-        template = re.sub(r"\d+", "0", _SLOT_RE.sub(SLOT, bare))
-        alone = not re.search(r"\w", template.replace(SLOT, "")) or (weak and weak.group().strip(".…") == bare.strip(" .…"))
-        return template, "strong" if slots or alone else "weak", bool(slots)
-    notice = _NOTICE_RE.search(bare)
-    filler = _FILLER_RE.search(bare) or _latin_filler(bare)
-    if notice or filler:
+    slots = list(_SLOT_RE.finditer(bare))
+    if slots:
+        template = re.sub(r"\d+", "0", _SLOT_RE.sub(SLOT, bare)).strip()
+        if any(m["known"] for m in slots):
+            evidence = "name"
+        elif any(m["failed"] for m in slots) and (not re.search(r"\w", template) or slots[0].group().strip(".…") == bare.strip(" .…")):
+            evidence = "failed"
+        else:
+            evidence = "mark"
+        return template, [m.group() for m in slots], evidence
+    spoken = [m.end() - m.start() for m in (*_NOTICE_RE.finditer(bare), *_FILLER_RE.finditer(bare))]
+    latin = _latin_filler(bare)
+    if spoken or latin:
         masked = _ADDRESS_RE.sub("0", bare)
-        if _EXPLAINS.search(masked) and len(bare) > 40:
+        share = 1.0 if latin else sum(spoken) / len(bare)
+        if share < 0.5 and _EXPLAINS.search(masked):
             return None
-        # Notices are short; the same words in a long sentence must repeat as a template.
-        strength = "strong" if len(bare) <= 160 else "weak"
-        return re.sub(r"\d+", "0", masked), strength, False
+        says = share >= LEAST_SHARE
+        return re.sub(r"\d+", "0", masked), [], "says" if says else "mentions"
     return None
 
 
-def candidates(text: str, field: str) -> list[tuple[str, str, bool]]:
-    if not _hinted(text) and not _doubled(text):
+def candidates(text: str, field: str) -> list[tuple[str, tuple[str, ...], str]]:
+    if not _hinted(text) and not _doubled(text) and not _ANY_RE.search(text):
         return []
-    return [j for p in passages(text, field) if (_hinted(p) or _REPEATED_RE.match(p)) and (j := judge(p))]
+    found = (judge(p) for p in passages(text, field) if _hinted(p) or _REPEATED_RE.match(p) or _ANY_RE.search(p))
+    return [(t, tuple(held), e) for t, held, e in filter(None, found)]
 
 
 def _proposed(rows: DataFrame) -> DataFrame:
-    """``content_id, field_name, template, strength, named`` of the suspicious passages of ``content_id, field_name, value``."""
+    """``content_id, field_name, template, held, evidence`` of the suspicious passages of ``content_id, field_name, value``."""
     kind = dict(rows.dtypes)["content_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["content_id", "field_name", "template", "strength", "named"]
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             ids, fields = batch.column(0), batch.column(1).to_pylist()
             for k, value in enumerate(batch.column(2).to_pylist()):
-                for template, strength, named in dict.fromkeys(candidates(value, fields[k])):
-                    for column, x in zip(out, (ids[k].as_py(), fields[k], template, strength, named)):
+                for template, held, evidence in dict.fromkeys(candidates(value, fields[k])):
+                    for column, x in zip(out, (ids[k].as_py(), fields[k], template, list(held), evidence)):
                         column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], batch.schema.field(0).type), pa.array(out[1], pa.string()), pa.array(out[2], pa.string()), pa.array(out[3], pa.string()), pa.array(out[4], pa.bool_())], names=names)
+            kinds = (batch.schema.field(0).type, pa.string(), pa.string(), pa.list_(pa.string()), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["content_id", "field_name", "template", "held", "evidence"])
+
+    return rows.mapInArrow(run, f"content_id {kind}, field_name string, template string, held array<string>, evidence string")
+
+
+def frame(template: str) -> tuple[str, re.Pattern] | None:
+    """The longest constant piece of a template and the pattern of its records; None if it has too little constant text."""
+    pieces = template.split(SLOT)
+    longest = max(pieces, key=len).strip()
+    han = len(re.findall(r"[一-鿿]", longest))
+    if len(pieces) < 2 or (len(longest.split()) < 2 and han < 2) or "0" in longest:
+        return None
+    words = [r"\s+".join(re.sub(r"0+", r"\\d+", re.escape(w)) for w in p.split()) for p in pieces]
+    return longest, re.compile(r"^\s*" + r"\s*(.*?)\s*".join(words) + r"\s*$")
 
-    return rows.mapInArrow(run, f"content_id {kind}, field_name string, template string, strength string, named boolean")
+
+def _looks_blank(held: tuple[str, ...]) -> bool:
+    """Whether the slots of an aligned record hold nothing, or all of several the same default."""
+    values = [h.strip(" .,;:!?，。；：！？") for h in held]
+    return not all(values) or (len(values) > 1 and len({v.lower() for v in values}) == 1)
+
+
+def _blank(rows: DataFrame, frames: list[str]) -> DataFrame:
+    """``content_id, field_name`` of the records of templates whose slots are blank or hold a default."""
+    kind = dict(rows.dtypes)["content_id"]
+    shared = rows.sparkSession.sparkContext.broadcast(frames)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        known = [f for f in map(frame, shared.value) if f]
+        automaton = ahocorasick.Automaton()
+        of: dict[str, list[re.Pattern]] = {}
+        for constant, pattern in known:
+            of.setdefault(constant, []).append(pattern)
+        for constant in of:
+            automaton.add_word(constant, constant)
+        automaton.make_automaton()
+
+        def blank(value: str, field: str) -> bool:
+            met = {c for _, c in automaton.iter(value)}
+            return bool(met) and any(m and _looks_blank(m.groups()) for p in passages(value, field) for c in met if c in p for q in of[c] for m in [q.match(p)])
+
+        for batch in batches:
+            if not known:
+                continue
+            fields = batch.column(1).to_pylist()
+            keep = pa.array([blank(v, f) for v, f in zip(batch.column(2).to_pylist(), fields)], pa.bool_())
+            yield batch.select([0, 1]).filter(keep)
+
+    return rows.mapInArrow(run, f"content_id {kind}, field_name string")
 
 
 def _fields(content: DataFrame, fields: tuple[str, ...]) -> DataFrame:
@@ -164,24 +231,48 @@ def _fields(content: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     return rows.where("value is not null and trim(value) <> ''")
 
 
+def evidence(content: DataFrame, fields: tuple[str, ...] = ("text", "limitations", "status")) -> DataFrame:
+    """``content_id, field_name, evidence``: what showed each case: ``aligned`` (a slot of a template that several records
+    have), ``held`` (nothing but what such slots hold), ``blank`` (a slot left empty or at its default), ``syntax`` (a slot
+    of a known syntax in a single record), ``notice`` (filler, an error message or a script notice).
+    """
+    rows = _fields(content, fields)
+    # Few passages are suspicious; written once, they aren't looked for again by each of the reads below.
+    found = staged(_proposed(rows).distinct(), "passages")
+    slots = found.where("evidence in ('name', 'failed', 'mark')")
+    constant = F.regexp_replace("template", SLOT, "").rlike("\\w")
+    per = slots.where(constant).groupBy("template").agg(F.countDistinct("content_id").alias("n"), F.max(F.col("evidence") == "name").alias("named"))
+    # A template holds slots if one of its records has a known one, or if it repeats as a notice must.
+    templates = staged(per.where(f"n > 1 and (named or n >= {LEAST_REPEATS})"), "templates")
+    aligned = slots.join(templates.select("template"), "template", "left_semi")
+    # Values that slots of several templates hold are no text.
+    held = aligned.select("template", F.explode("held").alias("value")).groupBy("value").agg(F.countDistinct("template").alias("n")).where("n > 1").select("value")
+    alone = slots.where(~constant).select("content_id", "field_name", "evidence", F.explode("held").alias("value")).join(held.withColumn("is_held", F.lit(True)), "value", "left")
+    single = slots.where("evidence = 'name'").join(templates.select("template"), "template", "left_anti")
+    notices = found.where("evidence in ('says', 'mentions')")
+    repeated = notices.where("evidence = 'mentions'").groupBy("template").agg(F.countDistinct("content_id").alias("n")).where(F.col("n") >= LEAST_REPEATS).select("template")
+    tagged = lambda df, name: df.select("content_id", "field_name", F.lit(name).alias("evidence"))
+    parts = [
+        tagged(aligned, "aligned"),
+        tagged(alone.where("is_held or evidence = 'failed'"), "held"),
+        tagged(single, "syntax"),
+        tagged(notices.where("evidence = 'says'"), "notice"),
+        tagged(notices.where("evidence = 'mentions'").join(repeated, "template", "left_semi"), "notice"),
+    ]
+    total = templates.agg(F.sum("n").alias("n")).first().n or 0
+    frames = [r.template for r in templates.where(F.col("n") >= max(LEAST_REPEATS, total / MOST_FRAMES)).select("template").collect()]
+    if any(map(frame, frames)):
+        parts.append(tagged(_blank(rows, frames), "blank"))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def residue(content: DataFrame, fields: tuple[str, ...] = ("text", "limitations", "status")) -> DataFrame:
     """``content_id, field_name``: the fields that hold residue, filler, error messages or script notices, each once.
 
     Null, empty and blank fields and entries are no cases, nor are other spellings of a status. Records that arrived
     twice count once for the repeats of a template. Extra columns are ignored.
     """
-    # Few passages are suspicious; written once, they aren't looked for again by each of the three reads below.
-    found = staged(_proposed(_fields(content, fields)).distinct(), "passages")
-    strong = found.where("strength = 'strong'").select("content_id", "field_name")
-    # Only templates of weak candidates are looked up; all candidates say what their slots hold.
-    slots = (
-        found.groupBy("template")
-        .agg(F.max("named").alias("named"), F.count_if(F.col("strength") == "weak").alias("weak"), F.count("*").alias("n"))
-        .where((F.col("weak") > 0) & (F.col("named") | (F.col("n") >= LEAST_REPEATS)))
-        .select("template")
-    )
-    weak = found.where("strength = 'weak'").join(slots, "template", "left_semi").select("content_id", "field_name")
-    return strong.unionByName(weak).distinct()
+    return evidence(content, fields).select("content_id", "field_name").distinct()
 
 
 def real_text(content: DataFrame) -> DataFrame:
