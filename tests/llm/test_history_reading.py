@@ -149,7 +149,7 @@ def test_hot_keys_lose_no_pair(spark, monkeypatch, tmp_path):
     rows = []
     for k in range(160):
         words = list(old)
-        for at in r.sample(range(100), 5):
+        for at in r.sample(range(100), 3):
             words[at] = f"other{k}x{at}"
         rows.append((k, 0 if k < 80 else 1, f"https://s.example/{k}", "s", None, " ".join(words)))
     monkeypatch.setattr(history, "HOT_KEY", 15)
@@ -166,7 +166,7 @@ def test_hot_keys_lose_no_pair(spark, monkeypatch, tmp_path):
     # All 160 ask among the 80 of the first segment; every word that differs is a rare one, which is the worst case.
     first = {x.body for x in spark.read.parquet(f"{index.folder}/{stem}/nodes").collect()}
     expected = {frozenset((a, b)) for a in hashed for b in first if a != b and history.same_wording(hashed[a], hashed[b])}
-    assert len(hashed) == 160 and len(expected) > 5_000 and pairs <= expected and len(pairs) >= 0.8 * len(expected)
+    assert len(hashed) == 160 and len(expected) > 5_000 and pairs <= expected and len(pairs) >= 0.9 * len(expected)
 
 
 def test_graphs_find_what_an_exhaustive_search_finds():
