@@ -1,19 +1,25 @@
 """The main body of captured pages, told from navigation, notices, teasers and footers.
 
 Captured text has no markup left, so the tree is read from its layout: the page, its blocks (lines between blank
-lines, and the lines that hang on a heading of teasers), the lines. Each line is a node with features of its own
-(length, endings, separators), attribute tokens (cues found by one automaton scan of the page), depth (position in page
-and block), the density of sentences and of cues in its block, and the same of its siblings before and after. Gradient-
-boosted trees give each node the log-odds of boilerplate. They are trained in the run on a bounded sample of pages
-whose lines are labelled by ``seed_label``, which knows only clear cases. Decoding is by subtrees: a heading of teasers
-and the titles that hang on it get one choice, and a line can't stay in the body of a block whose other lines all left
-it unless its own evidence is strong.
+lines), its runs (lines that aren't sentences, between those that are), the lines. Each line is a node with features of its
+own (length, endings, separators), attribute tokens (its words and units, by how much oftener boilerplate has them), depth
+(position in page, block and run), the density of sentences and of such tokens in its subtrees, and the same of its
+siblings before and after. Gradient-boosted trees give each node the log-odds of boilerplate.
+
+They are trained in the run on a bounded sample of pages. Labels come from what no feature shows: lines, and units of lines,
+that recur on many pages are boilerplate, as are lines without a sentence that hang on one; sentences that don't recur are
+body, as are the runs among them that hold nothing that recurs. Other lines stay open. The attribute tokens are weighted on
+one half of the sample and the trees are grown on the other, so that no line vouches for itself.
+
+Decoding is top-down over page, run, head and line: a line that carries attribute tokens is a head, the neutral lines below
+it in its run are its subtree, and a head and its subtree get one choice, that with the greater sum of log-odds.
 """
 
 from __future__ import annotations
 
 import functools
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -27,149 +33,113 @@ from gleanmark.session import bounded_sample
 
 #: Pages that the trees are trained on.
 SAMPLE_PAGES = 3_000
+#: Pages of one site, and pages of the sample, that a line must recur on to be boilerplate (the fewer for a line long enough
+#: for a sentence or title, which recurs less by chance); and those for a unit of a line.
+SITE_REPEATS, LINE_REPEATS, LONG_REPEATS, UNIT_REPEATS = 5, 15, 6, 8
+#: Attribute tokens that are kept, the most frequent ones, and the lines of the sample that one must be in.
+MOST_TOKENS, LEAST_LINES = 100_000, 3
 
-# Attribute tokens by class, in lower case, for en, de, fr, es, pt and zh.
-CUES = {
-    "consent": "use cookies|set cookies|sets cookies|cookies and similar|similar techniques|small files on your device|withdraw your consent|by browsing on|you agree.|privacy matters to us|cookies ein |verwenden cookies|nutzen cookies|wir cookies|setzen cookies|kleine dateien|einwilligung|weiteren nutzung|privatsphäre ist|utilisons des cookies|posent des cookies|des cookies|petits fichiers|retirer votre accord|donnez votre accord|vie privée nous|usamos cookies|instalan cookies|pequeños archivos|retirar el consentimiento|continúa navegando|privacidad nos|su privacidad|instalam cookies|usamos os cookies|pequenos arquivos|retirar o consentimento|continuar navegando|ao continuar|concorda com o uso|sua privacidade|使用cookie|设置cookie|保存小文件|撤回同意|继续浏览|即表示同意|您的隐私|重视您",
-    "button": "accept all|reject  |manage choices|alle akzeptieren|alles akzeptieren|ablehnen  |auswahl verwalten|einstellungen|tout accepter|refuser  |réglages|gérer |aceptar todo|rechazar  |ajustes|gestionar |aceitar tudo|recusar  |gerenciar |全部接受|拒绝  |设置|管理选项",
-    "rule": "rule in |must explain|neue regel|verlangt, dass|règle nouvelle|veut que les|norma nueva|pide que las|regra nova|nova regra|exige que|规定要求|说明使用哪些",
-    "legal": "©|copyright|all rights reserved|rights reserved|alle rechte|tous droits|derechos reservados|direitos reservados|版权所有|reproduction only|nachdruck|reproduction interdite|prohibida la repro|proibida a repro|书面许可|不得转载|imprint|impressum|mentions légales|aviso legal|privacidad –|privacidade –|privacy –|datenschutz –|confidentialité –|terms of use|– agb|– cgu|法律声明|隐私政策|使用条款",
-    "liability": "takes no liability|no liability|keine haftung|décline toute|se hace responsable|se responsabiliza|不承担责任",
-    "share": "share   print|share  print|teilen   drucken|teilen  |partager   imprimer|partager  |compartir   imprimir|compartir  |compartilhar   imprimir|compartilhar  |分享   打印|分享  ",
-    "count": " comments ·| shares| kommentare ·|mal geteilt| commentaires ·| partages| comentarios ·|compartidos| comentários ·|compartilhamentos|条评论|次转发",
-    "follow": "on all channels|auf allen kanälen|sur tous les réseaux|en todos los canales|em todos os canais|在各平台关注|folgen sie|suivez ",
-    "subscribe": "subscribe to our|newsletter and never|den rundbrief bestellen|rundbrief bestellen|abonnez-vous|suscríbase|assine o nosso|nosso boletim|订阅我们",
-    "teaser_head": "most read|more from this section|meistgelesen|mehr aus diesem|les plus lus|plus dans cette|dans cette rubrique|lo más leído|más de esta|mais lidas|mais desta|本周热门|更多内容|本栏目",
-    "related": "read also:|related:|you may also like|you might also|see also:|lesen sie auch|zum thema:|das könnte sie auch|à lire aussi|lire aussi|sur le même sujet|vous aimerez|lea también|relacionado:|también le puede|le puede interesar|leia também|veja também|você também pode|pode gostar|相关阅读|延伸阅读|猜你喜欢",
-    "tags": "tags:|schlagworte:|schlagwörter:|stichwörter:|themen:|mots-clés|etiquetas:|marcadores:|palavras-chave:|标签：|关键词：",
-    "advert": "advertisement|sponsored|anzeige|werbung\n|publicité|publicidad|publicidade|广告",
-    "jump": "skip to |back to top|zum hauptinhalt|hauptinhalt springen|nach oben|aller au contenu|haut de page|saltar al|volver arriba|ir para o conte|voltar ao topo|跳到正文|返回顶部",
-    "site": "made with care|accessibility|sitemap|barrierefreiheit|mit sorgfalt|accessibilité|plan du site|accesibilidad|mapa del sitio|acessibilidade|mapa do site|无障碍|网站地图|hecho con|feito com|fait avec|用心制作",
-}
-# Entries of menus.
-NAV = frozenset(
-    "home,news,newsletter,forum,archive,video,videos,podcasts,topics,sport,sports,culture,weather,contact,about us,login,log in,jobs,shop,tickets,help,search,menu,start,blog,events,"
-    "startseite,aktuelles,rundbrief,archiv,themen,kultur,wetter,kontakt,über uns,anmelden,stellen,laden,karten,hilfe,suche,"
-    "accueil,actualités,infolettre,archives,vidéo,vidéos,rubriques,météo,qui sommes-nous,connexion,emploi,boutique,billets,aide,recherche,"
-    "inicio,noticias,boletín,foro,archivo,vídeo,vídeos,temas,deportes,cultura,el tiempo,contacto,quiénes somos,acceder,empleo,tienda,entradas,ayuda,buscar,"
-    "início,notícias,boletim,fórum,arquivo,esportes,previsão,contato,quem somos,entrar,vagas,loja,ingressos,ajuda,"
-    "首页,新闻,订阅,论坛,档案,视频,播客,专题,体育,文化,天气,联系方式,关于我们,登录,招聘,商城,票务,帮助,搜索".split(",")
-)
-_CLASSES = tuple(CUES)
-_SEPARATORS = re.compile(r"\s*[|｜/·•>»›→]\s*|\s{2,}|\s+–\s+")
+_SEPARATORS = re.compile(r"\s*[|｜/·•>»›→]\s*|\s{2,}|\s+–\s+|\t")
 _END = re.compile(r"[.!?。！？…][\"'”’»)）]*$")
+_AFTER = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])")
 _LIST = re.compile(r"^(?:\d{1,2}[.)、]|[-*•–])\s*")
 _ROW = re.compile(r"\b[A-Z]{2}-\d{2,}|\d[\d.,]* ?(?:€|元|reais|kg|%)|[$£€¥]\s?\d")
 _CLOSING = re.compile(r"^(?:#\w|https?://|www\.|— ?\w|[:;]-?[)(D]|[^\w\s]{1,4}$)")
 _HAN = re.compile(r"[一-鿿]")
+_NUMBER = re.compile(r"(?<!\w)\d+(?!\w)")
+_WORDS = re.compile(r"[一-鿿]|[^\W\d_一-鿿]+|\d+")
+_INVISIBLE = str.maketrans("", "", "​﻿⁠‌‍  ")
 
+#: Categories of a line by its form, as its siblings see it.
+SENTENCE, TITLE, NOUN, ROW, CLOSING, NOTHING = range(6)
+#: Log-odds of attribute tokens as a feature: bins of a fifth from -6 to 6.
+_MIDDLE = 30
 
-@functools.lru_cache(maxsize=1)
-def _automaton():
-    import ahocorasick
 
-    automaton = ahocorasick.Automaton()
-    marks: dict[str, int] = {}
-    for k, words in enumerate(CUES.values()):
-        for w in words.split("|"):
-            marks[w] = marks.get(w, 0) | 1 << k
-    for w, bits in marks.items():
-        automaton.add_word(w, bits)
-    automaton.make_automaton()
-    return automaton
+def units(line: str) -> list[str]:
+    """The parts of a line in lower case: between separators, and what stands before a colon, with it."""
+    out = []
+    for unit in _SEPARATORS.split(line.lower()):
+        head, colon, rest = unit.partition("：") if "：" in unit else unit.partition(":")
+        if unit := head.strip() + ":" if colon and rest.strip() else unit.strip():
+            out.append(unit)
+    return out
 
 
-#: Categories of a line by its form, as its siblings see it.
-SENTENCE, TITLE, NOUN, CUE, MENU, ROW, CLOSING = range(7)
-_SOFT = sum(1 << _CLASSES.index(c) for c in ("rule",))
-_HEAD = 1 << _CLASSES.index("teaser_head")
-_CHROME = sum(1 << k for k in range(len(_CLASSES))) & ~_SOFT
+def spoken(line: str) -> list[str]:
+    """The sentences of a line."""
+    return [s for s in _AFTER.split(line) if s]
+
+
+def normal(line: str, site: str | None) -> str:
+    """A line in lower case with numbers and the name of its site masked."""
+    low = line.lower()
+    if site and len(site) > 2:
+        low = _named(site.lower()).sub("§", low)
+    return _NUMBER.sub("0", low)
+
+
+@functools.lru_cache(maxsize=10_000)
+def _named(site: str) -> re.Pattern:
+    """The name of a site, written with or without spaces."""
+    return re.compile(r"\s?".join(map(re.escape, site)))
 
 
-@functools.lru_cache(maxsize=200_000)
-def _form(line: str, bits: int) -> tuple[int, ...]:
-    """Features of a line by itself: the category first, then small numbers."""
+@functools.lru_cache(maxsize=100_000)
+def _form(line: str) -> tuple[tuple[int, ...], tuple[str, ...]]:
+    """Features of a line by itself, the category first, then small numbers; and its attribute tokens."""
+    words = _WORDS.findall(line.lower())
     han = bool(_HAN.search(line))
-    words = len(line) // 2 if han else line.count(" ") + 1
     ends = bool(_END.search(line))
-    items = [i for i in _SEPARATORS.split(line.lower()) if i] if len(line) < 240 else [line]
-    menu = sum(i in NAV for i in items)
-    listed = bool(_LIST.match(line))
+    parts = units(line)
+    listed, closing = bool(_LIST.match(line)), bool(_CLOSING.match(line))
     row = bool(_ROW.search(line)) and not ends
-    closing = bool(_CLOSING.match(line))
-    sentences = line.count("。") + line.count(". ") + line.count("! ") + line.count("！")
-    if bits & _CHROME and not bits & _SOFT:
-        category = CUE
-    elif menu and menu >= 0.6 * len(items):
-        category = MENU
-    elif closing:
+    bare = _LIST.sub("", line)
+    sentences = bare.count("。") + bare.count(". ") + bare.count("! ") + bare.count("！")
+    n = len(words)
+    least = 7 if han else 4
+    if closing:
         category = CLOSING
     elif row:
         category = ROW
-    elif ends or words > 24:
+    elif (ends and n >= least) or n > 40 or sentences:
         category = SENTENCE
-    elif len(_LIST.sub("", line)) >= 7 if han else words - listed >= 4:
-        category = TITLE
     else:
-        category = NOUN
+        category = TITLE if n - listed >= least else NOUN
     cap = BINS - 1
-    return (
-        category,
-        min(len(line) // 6, cap),
-        min(words, cap),
-        int(ends),
-        min(len(items), cap),
-        min(menu, cap),
-        int(10 * menu / max(1, len(items))),
-        int(listed),
-        min(sentences, cap),
-        int(row),
-        int(closing),
-        int(han),
-        *[bits >> k & 1 for k in range(len(_CLASSES))],
-    )
+    tokens = {"=" + p for p in (*parts, *spoken(line.lower()))}
+    tokens.update(a + b for a, b in zip(words, words[1:])) if han else tokens.update(w for w in words if not w.isdigit())
+    numbers = (category, min(len(line) // 6, cap), min(n, cap), int(ends), min(len(parts), cap), int(listed), min(sentences, cap), int(row), int(closing), int(han), int(":" in line or "：" in line))
+    return numbers, tuple(tokens)
 
 
 #: Names of the features, in order.
 FEATURES = (
-    "category chars words ends items menu menu_share listed sentences row closing han".split() + [f"cue_{c}" for c in _CLASSES] + "is_title names_site before after before2 after2 teaser_run from_top from_end body_before body_after block_size block_place block_sentences block_cues".split()
-)
+    "category chars words ends items listed sentences row closing han colon token_mean token_max token_min unit_max is_title names_site before after before2 after2 token_before token_after token_before2 token_after2 "
+    "since_head from_top from_end body_before body_after block_size block_place block_sentences block_tokens run_size run_place run_tokens"
+).split()
 
 
 @dataclass
 class Page:
-    """Lines of a page with visible characters: their numbers, features, blocks and the runs under a heading of teasers."""
+    """Lines of a page with visible characters: their numbers, features, blocks and heads.
+
+    ``heads`` names for each line the head of its subtree, itself for a head, -1 for a line in no subtree.
+    """
 
     numbers: list[int]
     lines: list[str]
     features: np.ndarray
     blocks: list[int]
-    runs: list[int]  # 0: none; else the number of the run the line hangs in, the heading included
-
-
-def read_page(text: str, platform: str | None, title: str | None) -> Page:
-    """Splits at line feeds; lines without visible characters are left out."""
-    low = text.lower()
-    bits: dict[int, int] = {}
-    if len(low) == len(text):
-        starts = [0]
-        for m in re.finditer("\n", text):
-            starts.append(m.end())
-        raw = text.split("\n")
-        k = 0
-        for end, mark in _automaton().iter(low):
-            while k + 1 < len(starts) and starts[k + 1] <= end:
-                k += 1
-            bits[k] = bits.get(k, 0) | mark
-    else:  # a character that changes length in lower case
-        raw = text.split("\n")
-        for k, line in enumerate(raw):
-            for _, mark in _automaton().iter(line.lower()):
-                bits[k] = bits.get(k, 0) | mark
-    numbers, lines, forms, blocks, block, gap = [], [], [], [], 0, False
-    for k, line in enumerate(raw):
+    heads: list[int]
+
+
+def read_lines(text: str) -> tuple[list[int], list[str], list[int]]:
+    """Lines with visible characters: their numbers, split at line feeds and counted from 0, and their blocks."""
+    numbers, lines, blocks, block, gap = [], [], [], 0, False
+    for k, line in enumerate(text.split("\n")):
         line = line.strip()
-        if not line or not any(map(str.isprintable, line.replace("​", "").replace("﻿", "").replace(" ", "").replace(" ", ""))):
+        if not line or (not line.isascii() and not any(map(str.isprintable, line.translate(_INVISIBLE)))):
             gap = True
             continue
         block += gap and bool(numbers)
@@ -177,97 +147,161 @@ def read_page(text: str, platform: str | None, title: str | None) -> Page:
         numbers.append(k)
         lines.append(line)
         blocks.append(block)
-        forms.append(_form(line, bits.get(k, 0)) if len(line) < 160 else _form.__wrapped__(line, bits.get(k, 0)))
+    return numbers, lines, blocks
+
+
+def read_page(text: str, platform: str | None, title: str | None, odds: dict[str, float]) -> Page:
+    """The tree of a page and the features of its lines, with the log-odds of attribute tokens."""
+    numbers, lines, blocks = read_lines(text)
     n = len(lines)
-    site = (platform or "").lower()
-    own_title = (title or "").strip()
+    site, own_title = (platform or "").lower(), (title or "").strip()
+    forms, tokens = [], np.full((n, 4), _MIDDLE, dtype=np.int64)
+    for k, line in enumerate(lines):
+        form, words = _form(line) if len(line) < 200 else _form.__wrapped__(line)
+        forms.append(form)
+        known = [odds[w] for w in words if w in odds]
+        if known:
+            whole = [odds[w] for w in words if w[0] == "=" and w in odds]
+            values = (sum(known) / len(known), max(known), min(known), max(whole) if whole else 0.0)
+            tokens[k] = [int(min(59, max(0, _MIDDLE + round(5 * v)))) for v in values]
     categories = [f[0] for f in forms]
-    runs, run, inside = [], 0, False
+    sentence = np.array([c == SENTENCE for c in categories], dtype=bool)
+    before = np.cumsum(sentence)
+    total = int(before[-1]) if n else 0
+    runs, run = [], 0
+    heads, head = [], -1
+    for k in range(n):
+        if k and sentence[k] != sentence[k - 1]:
+            run += 1
+        runs.append(run)
+        if sentence[k] or categories[k] == ROW or categories[k] == CLOSING or (own_title and lines[k] == own_title):
+            head = -1
+            heads.append(-1)
+        elif tokens[k, 1] > _MIDDLE + 5 or tokens[k, 3] > _MIDDLE + 5:
+            head = k
+            heads.append(k)
+        else:
+            heads.append(head)
+    of_block, of_run = defaultdict(list), defaultdict(list)
     for k in range(n):
-        if bits.get(numbers[k], 0) & _HEAD and len(lines[k]) < 60:
-            run, inside = run + 1, True
-        elif inside and not (categories[k] == TITLE or (categories[k] in (NOUN, SENTENCE) and forms[k][7] and forms[k][2] >= 5 and not forms[k][3])):
-            inside = False
-        runs.append(run if inside else 0)
-    sentence_before = np.cumsum([c == SENTENCE for c in categories]) if n else np.zeros(0)
-    sizes: dict[int, list[int]] = {}
-    for k, b in enumerate(blocks):
-        sizes.setdefault(b, []).append(k)
+        of_block[blocks[k]].append(k)
+        of_run[runs[k]].append(k)
+    chars = [len(line) for line in lines]
+    density, run_tokens = {}, {}
+    for b, own in of_block.items():
+        size = sum(chars[k] for k in own) or 1
+        density[b] = int(10 * sum(chars[k] for k in own if sentence[k]) / size), int(sum(tokens[k, 0] for k in own) / len(own))
+    for r, own in of_run.items():
+        run_tokens[r] = int(sum(tokens[k, 1] for k in own) / len(own))
     rows = np.zeros((n, len(FEATURES)), dtype=np.int64)
-    at = lambda k: categories[k] if 0 <= k < n else 7
-    cap = BINS - 1
-    share = {}
-    for b, own in sizes.items():
-        chars = sum(len(lines[k]) for k in own) or 1
-        share[b] = (int(10 * sum(len(lines[k]) for k in own if categories[k] == SENTENCE) / chars), int(10 * sum(categories[k] in (CUE, MENU) for k in own) / len(own)))
+    at = lambda k: categories[k] if 0 <= k < n else NOTHING
+    odd = lambda k: int(tokens[k, 1]) if 0 <= k < n else _MIDDLE
     for k in range(n):
-        own = sizes[blocks[k]]
-        total = int(sentence_before[-1])
-        seen = int(sentence_before[k]) - (categories[k] == SENTENCE)
+        own, beside = of_block[blocks[k]], of_run[runs[k]]
+        seen = int(before[k]) - int(sentence[k])
         rows[k] = (
-            *forms[k],
+            *forms[k], *tokens[k],
             bool(own_title) and lines[k] == own_title,
             bool(site) and site in lines[k].lower().replace(" ", ""),
-            at(k - 1), at(k + 1), at(k - 2), at(k + 2),
-            min(runs[k] > 0 and k - runs.index(runs[k]) + 1, cap),
-            min(k, 20), min(n - 1 - k, 20),
-            min(seen, 10), min(total - seen - (categories[k] == SENTENCE), 10),
-            min(len(own), 20), min(k - own[0], 20),
-            *share[blocks[k]],
+            at(k - 1), at(k + 1), at(k - 2), at(k + 2), odd(k - 1), odd(k + 1), odd(k - 2), odd(k + 2),
+            0 if heads[k] < 0 else min(k - heads[k] + 1, 20),
+            min(k, 20), min(n - 1 - k, 20), min(seen, 10), min(total - seen - int(sentence[k]), 10),
+            min(len(own), 20), min(k - own[0], 20), *density[blocks[k]],
+            min(len(beside), 20), min(k - beside[0], 20), run_tokens[runs[k]],
         )
-    return Page(numbers, lines, rows, blocks, runs)
-
-
-def seed_label(page: Page) -> np.ndarray:
-    """1 for clear boilerplate, 0 for clear body, -1 where the form alone doesn't tell."""
-    label = np.full(len(page.lines), -1)
-    f = {name: page.features[:, k] for k, name in enumerate(FEATURES)}
-    category, rule = f["category"], f["cue_rule"] == 1
-    label[(category == SENTENCE) | (category == ROW) | (category == CLOSING)] = 0
-    label[(category == TITLE) | (category == NOUN)] = 0
-    hard = np.zeros(len(page.lines), bool)
-    for name in ("legal", "liability", "share", "count", "follow", "subscribe", "teaser_head", "related", "tags", "advert", "jump", "site", "consent", "button"):
-        hit = f[f"cue_{name}"] == 1
-        if name in ("teaser_head", "advert", "jump", "site", "tags", "share", "button", "related"):
-            # Words that a sentence may hold as well: only lines of one short phrase are clear.
-            limit = 26 if name in ("related", "button") else 14
-            hit = hit & ((f["words"] <= limit) | (f["cue_consent"] == 1)) & (f["sentences"] <= 1 + (f["cue_consent"] == 1))
-        elif name != "consent":
-            hit = hit & (f["sentences"] <= 1) & (f["words"] <= 30)
-        hard |= hit
-    hard |= category == MENU
-    hard |= (f["items"] >= 3) & (f["menu"] >= 1) & ~rule
-    hard |= (f["teaser_run"] > 0) & ((category == TITLE) | (f["listed"] == 1))
-    label[hard & ~(rule & (f["sentences"] >= 0) & (f["cue_legal"] == 0))] = 1
-    label[rule] = 0
-    return label
+    return Page(numbers, lines, rows, blocks, heads)
+
+
+def labels(pages: list[tuple[str | None, str | None, list[str]]]) -> list[np.ndarray]:
+    """1 for boilerplate, 0 for body, -1 for open, of the lines of each page (site, title, lines), by what recurs over pages.
+
+    A page counts once for each line and unit. The page's own title is body.
+    """
+    on_site, on_all, of_unit, of_sentence = Counter(), Counter(), Counter(), Counter()
+    keys = [[normal(line, site) for line in lines] for site, _, lines in pages]
+    parts = [[units(line) for line in lines] for _, _, lines in pages]
+    for (site, _, _), own, unit in zip(pages, keys, parts):
+        on_site.update({(site, k) for k in own})
+        on_all.update(set(own))
+        of_unit.update({u for line in unit for u in line})
+        of_sentence.update({s for k in own for s in spoken(k)})
+    out = []
+    for (site, title, lines), own, unit in zip(pages, keys, parts):
+        n = len(lines)
+        title, label = (title or "").strip(), np.full(n, -1)
+        recurs, sentence = np.zeros(n, bool), np.zeros(n, bool)
+        for j, line in enumerate(lines):
+            ends, us = bool(_END.search(line)), unit[j]
+            often = sum(of_unit[u] >= UNIT_REPEATS for u in us)
+            by_units = not ends and ((bool(us) and us[0].endswith(":") and of_unit[us[0]] >= UNIT_REPEATS) or (len(us) > 1 and often >= 0.6 * len(us)))
+            category = _form.__wrapped__(line)[0][0]
+            least = LONG_REPEATS if category in (SENTENCE, TITLE) else LINE_REPEATS
+            said = ends and all(of_sentence[s] >= least for s in spoken(own[j]))
+            recurs[j] = line != title and (on_site[site, own[j]] >= SITE_REPEATS or on_all[own[j]] >= least or said or by_units)
+            sentence[j] = category == SENTENCE and not recurs[j]
+        if recurs.all():
+            out.append(label)  # nothing on this page tells body from boilerplate
+            continue
+        label[recurs], label[sentence] = 1, 0
+        first = 0
+        while first < n:
+            stop = first + 1
+            while stop < n and sentence[stop] == sentence[first]:
+                stop += 1
+            if not sentence[first]:
+                if not recurs[first:stop].any():
+                    label[first:stop] = 0
+                hangs = False
+                for j in range(first, stop):
+                    category = _form.__wrapped__(lines[j])[0][0]
+                    if recurs[j]:
+                        hangs = True
+                    elif lines[j] == title or category in (ROW, CLOSING):
+                        label[j], hangs = 0, False
+                    elif hangs and category == TITLE:
+                        label[j] = 1
+            first = stop
+        out.append(label)
+    return out
+
+
+def token_odds(pages: list[list[str]], label: list[np.ndarray]) -> dict[str, float]:
+    """Log-odds of boilerplate of the attribute tokens of labelled lines."""
+    of: dict[str, list[int]] = {}
+    total = [0, 0]
+    for lines, own in zip(pages, label):
+        for line, y in zip(lines, own):
+            if y < 0:
+                continue
+            total[y] += 1
+            for w in _form.__wrapped__(line)[1]:
+                of.setdefault(w, [0, 0])[y] += 1
+    kept = sorted((w for w, n in of.items() if sum(n) >= LEAST_LINES), key=lambda w: -sum(of[w]))[:MOST_TOKENS]
+    base = np.log((total[1] + 1) / (total[0] + 1))
+    return {w: float(np.log((of[w][1] + 0.5) / (of[w][0] + 0.5)) - base) for w in kept}
 
 
 @dataclass
 class BodyModel:
     trees: Trees
+    odds: dict[str, float] = field(default_factory=dict)
     #: By script (Han or not), whether it is an entry of a list or table, and size: whole lines of main bodies that end
     #: without a final mark, and places where a line of that size or longer could have been cut.
     endings: dict[tuple[bool, bool, int], tuple[int, int]] = field(default_factory=dict)
 
+    def read(self, text: str, platform: str | None, title: str | None) -> Page:
+        return read_page(text, platform, title, self.odds)
+
     def choose(self, page: Page, log_odds: np.ndarray) -> np.ndarray:
-        """Boilerplate by line: one choice for a heading of teasers and what hangs on it, then the blocks."""
-        odds = log_odds.copy()
-        for run in set(page.runs) - {0}:
-            own = [k for k, r in enumerate(page.runs) if r == run]
-            head = own[0]
-            if odds[head] > 0:
-                together = odds[own].mean()
-                for k in own:
-                    odds[k] = together if together > 0 else odds[k]
-        chosen = odds > 0
-        for b in set(page.blocks):
-            own = [k for k, x in enumerate(page.blocks) if x == b]
-            if len(own) > 2:
-                rest = sum(chosen[k] for k in own)
-                if rest == len(own) - 1:
-                    k = next(k for k in own if not chosen[k])
-                    chosen[k] = odds[k] > -1.0
+        """Boilerplate by line. A head and its subtree get one choice, so none is contradicted by another's."""
+        chosen = log_odds > 0
+        subtrees = defaultdict(list)
+        for k, h in enumerate(page.heads):
+            if h >= 0:
+                subtrees[h].append(k)
+        for own in subtrees.values():
+            if len(own) > 1:
+                chosen[own] = log_odds[own].clip(-4, 4).sum() > 0
         return chosen
 
     def boilerplate(self, pages: list[Page]) -> list[np.ndarray]:
@@ -284,7 +318,7 @@ class BodyModel:
 
     def bodies(self, texts: list[str | None], platforms: list[str | None], titles: list[str | None]) -> list[list[str]]:
         """The body lines of each text, in order."""
-        pages = [read_page(t or "", p, h) for t, p, h in zip(texts, platforms, titles)]
+        pages = [self.read(t or "", p, h) for t, p, h in zip(texts, platforms, titles)]
         return [[line for line, drop in zip(p.lines, b) if not drop] for p, b in zip(pages, self.boilerplate(pages))]
 
 
@@ -335,13 +369,20 @@ def train(content: DataFrame, sample: int = SAMPLE_PAGES) -> BodyModel:
 
 
 def trained(rows: list) -> BodyModel:
-    pages = [read_page(r.text, r.platform, r.title) for r in rows]
-    pages = [p for p in pages if p.lines]
-    if not pages:
+    read = [(r.platform, r.title, read_lines(r.text)[1]) for r in rows]
+    read, rows = zip(*[(p, r) for p, r in zip(read, rows) if p[2]]) if any(p[2] for p in read) else ((), ())
+    if not read:
         return BodyModel(fit(np.zeros((1, len(FEATURES)), np.int64), np.zeros(1), trees=1))
-    x, y = np.concatenate([p.features for p in pages]), np.concatenate([seed_label(p) for p in pages])
-    model = BodyModel(fit(x[y >= 0], y[y >= 0].astype(float)))
-    model.endings = line_endings(pages, model.boilerplate(pages), [r.title for r in rows if r.text])
+    label, lines = labels(list(read)), [p[2] for p in read]
+    # Each half gets its tokens from the other one; in use, both count.
+    halves = [token_odds(lines[h::2], label[h::2]) for h in (0, 1)]
+    pages = [read_page(r.text, r.platform, r.title, halves[1 - k % 2] if len(read) > 1 else halves[0]) for k, r in enumerate(rows)]
+    x, y = np.concatenate([p.features for p in pages]), np.concatenate(label)
+    if not (y >= 0).any():
+        return BodyModel(fit(x[:1], np.zeros(1), trees=1))
+    model = BodyModel(fit(x[y >= 0], y[y >= 0].astype(float)), token_odds(lines, label))
+    pages = [model.read(r.text, r.platform, r.title) for r in rows]
+    model.endings = line_endings(pages, model.boilerplate(pages), [r.title for r in rows])
     return model
 
 
@@ -358,7 +399,7 @@ def boilerplate_lines(content: DataFrame, sample: int = SAMPLE_PAGES) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, lines = [], []
-            read = [read_page(*row) for row in zip(batch.column(3).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            read = [model.value.read(*row) for row in zip(batch.column(3).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             for key, page, drop in zip(batch.column(0).to_pylist(), read, model.value.boilerplate(read)):
                 own = np.array(page.numbers)[drop] if len(drop) else []
                 lines.extend(own)
