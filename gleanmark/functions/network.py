@@ -48,3 +48,15 @@ def within_limit(kind: Column, size: Column) -> Column:
     for name, most in MOST_BYTES.items():
         out = out.when(kind == name, size <= most)
     return out.otherwise(False)
+
+
+def desktop_agent(value: Column) -> Column:
+    """A browser's name without the mark of a hidden one; null where it names no version or holds a line break."""
+    return F.when(value.rlike("Chrome/[\\d.]+") & ~value.rlike("[\\r\\n]"), F.replace(value, F.lit("HeadlessChrome/"), F.lit("Chrome/")))
+
+
+def proxy_server(value: Column) -> Column:
+    """``struct<server, username, password>`` of a proxy address; null for other schemes than http, https and socks5."""
+    part = lambda k: F.regexp_extract(value, "^(?i)(https?|socks5)://(?:([^:@/]*)(?::([^@/]*))?@)?([^/?#@]+)", k)
+    secret = lambda k: F.when(part(2) != "", F.try_url_decode(part(k)))
+    return F.when(part(4) != "", F.struct(F.concat(F.lower(part(1)), F.lit("://"), F.lower(part(4))).alias("server"), secret(2).alias("username"), secret(3).alias("password")))

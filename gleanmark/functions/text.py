@@ -35,11 +35,9 @@ def composed(value: Column) -> Column:
 
 
 def safe_title(value: Column) -> Column:
-    """A title that can name a file: no path, control or direction marks, at most 64 code points, no closing dot or space.
-
-    Compose with ``composed`` first where input may hold combining marks.
-    """
-    bare = F.regexp_replace(F.coalesce(value, F.lit("")), '[<>:"/\\\\|?*\\x00-\\x1f\\x7f\\u202a-\\u202e\\u2066-\\u2069]', " ")
+    """A title that can name a file: composed, no path, control or direction marks, at most 64 code points, no closing dot or
+    space."""
+    bare = F.regexp_replace(F.coalesce(composed(value), F.lit("")), '[<>:"/\\\\|?*\\x00-\\x1f\\x7f\\u202a-\\u202e\\u2066-\\u2069]', " ")
     cut = F.substring(F.trim(F.regexp_replace(bare, "\\s+", " ")), 1, TITLE_LENGTH)
     short = F.regexp_replace(cut, "[. ]+$", "")
     return F.when(short == "", F.lit(UNTITLED)).otherwise(short)

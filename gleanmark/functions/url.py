@@ -172,3 +172,30 @@ def public_alternate(url: Column) -> Column:
 def file_link(file_path: Column) -> Column:
     """A relative file path as a link: every part percent-encoded."""
     return F.array_join(F.transform(F.split(file_path, "/"), lambda p: F.replace(F.url_encode(p), F.lit("+"), F.lit("%20"))), "/")
+
+
+def safe_href(url: Column) -> Column:
+    """The address as an attribute of markup; empty where it is no http(s) address without credentials."""
+    from gleanmark.functions.text import escape_html
+
+    return F.when(is_page(url), escape_html(F.trim(url))).otherwise(F.lit(""))
+
+
+def resolved(base: Column, href: Column) -> Column:
+    """A link of a page as an absolute address: relative to scheme, host, folder or page; null where either is no address."""
+    origin = F.concat(scheme(base), F.lit("://"), authority(base))
+    folder = F.regexp_replace(F.when(path(base) == "", F.lit("/")).otherwise(path(base)), "[^/]*$", "")
+    asked = F.regexp_extract(href, "^([^?#]*)", 1)
+    parts = F.split(F.concat(folder, asked), "/")
+    # Dot parts go, and each ".." takes the part before it along; the first part is empty.
+    walked = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, p: F.when(p == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(1)))).when(p == ".", acc).otherwise(F.concat(acc, F.array(p))))
+    found = (
+        F.when(href.rlike("^(?i)https?://"), href)
+        .when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string"))
+        .when(F.startswith(href, F.lit("//")), F.concat(scheme(base), F.lit(":"), href))
+        .when(F.startswith(href, F.lit("/")), F.concat(origin, href))
+        .when(F.startswith(href, F.lit("?")), F.concat(origin, F.when(path(base) == "", F.lit("/")).otherwise(path(base)), href))
+        .when(F.startswith(href, F.lit("#")) | (href == ""), F.concat(F.regexp_extract(F.trim(base), "^([^#]*)", 1), href))
+        .otherwise(F.concat(origin, F.array_join(walked, "/"), F.substring(href, F.length(asked) + 1, F.length(href))))
+    )
+    return F.when(is_page(base), _let(found, lambda u: F.when(is_page(u), u)))

@@ -104,14 +104,28 @@ def missing_rows(wanted: DataFrame, got: DataFrame, keys: list[str]) -> DataFram
 
 
 def download_states(wanted: DataFrame, got: DataFrame, owner: str, keys: list[str]) -> DataFrame:
-    """``owner, n_wanted, n_missing, download_status``: no_media, downloaded, partial or failed."""
+    """``owner, n_wanted, n_missing, download_status``: no_media, downloaded or partial. A row of ``wanted`` whose keys are all
+    null stands for an owner that wants none."""
+    some = F.coalesce(*[F.col(k).cast("string") for k in keys]).isNotNull()
     asked = wanted.select(owner, *keys).distinct()
-    lacking = missing_rows(asked, got, [owner, *keys]).groupBy(owner).agg(F.count("*").alias("_m"))
-    out = asked.groupBy(owner).agg(F.count(F.struct(*keys) if len(keys) > 1 else keys[0]).alias("n_wanted")).join(lacking, owner, "left").withColumn("n_missing", F.coalesce("_m", F.lit(0)))
-    state = F.when(F.col("n_wanted") == 0, "no_media").when(F.col("n_missing") == 0, "downloaded").when(F.col("n_missing") == F.col("n_wanted"), "failed").otherwise("partial")
+    lacking = missing_rows(asked.where(some), got, [owner, *keys]).groupBy(owner).agg(F.count("*").alias("_m"))
+    out = asked.groupBy(owner).agg(F.count_if(some).alias("n_wanted")).join(lacking, owner, "left").withColumn("n_missing", F.coalesce("_m", F.lit(0)))
+    state = F.when(F.col("n_wanted") == 0, "no_media").when(F.col("n_missing") == 0, "downloaded").otherwise("partial")
     return out.select(owner, "n_wanted", "n_missing", state.alias("download_status"))
 
 
+def manifests(spark, folder: str, schema: str) -> DataFrame:
+    """Manifests below a folder as rows, one per archive, with the ``path`` of each; their files are an array."""
+    found = spark.read.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").json(folder)
+    return found.select("*", F.col("_metadata.file_path").alias("path"))
+
+
+def readable(content: DataFrame, verified: DataFrame) -> DataFrame:
+    """Records that a report may use: of a verified archive (``content_id, ok``), with valid content, and no search page."""
+    valid = F.coalesce(F.col("url_check.valid_content"), F.lit(False)) & (F.coalesce(F.trim("search_query"), F.lit("")) == "")
+    return content.where(valid).join(verified.where("ok").select("content_id"), "content_id", "left_semi")
+
+
 def ambiguous_archives(archives: DataFrame, address: str) -> DataFrame:
     """Addresses with more than one archive: an error of the archive, which is reported and not merged."""
     return archives.where(F.col(address).isNotNull()).groupBy(address).agg(F.countDistinct("content_id").alias("n_archives")).where("n_archives > 1")
@@ -145,6 +159,11 @@ def still_valid(plan: DataFrame, actual: DataFrame, path: str, sha: str) -> Data
     return plan.withColumn("_d", digest(F.col(sha))).join(actual.select(path, digest(F.col(sha)).alias("_d")).distinct(), [path, "_d"], "left_semi").drop("_d")
 
 
+def planned(files: DataFrame, folder: str, path: str) -> DataFrame:
+    """Files of a plan in the order of their paths, so that two plans of the same files are the same text."""
+    return files.orderBy(folder, path)
+
+
 def with_downloads(images: DataFrame, downloads: DataFrame, owner: str, name: str) -> DataFrame:
     """``images`` with the first download of the same name and media class: ``file_path``, null where there is none."""
     first = downloads.groupBy(owner, name, "kind").agg(F.min("file_path").alias("file_path"))

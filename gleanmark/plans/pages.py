@@ -39,6 +39,8 @@ _SHARE = "xsec_token|xsec_source|share|feature|si|source|ref|ref_src"
 CANONICAL_SQL = "case when u is null then null else " + _joined(
     f"{_SCHEME} || '://' || {_AUTHORITY} || case when regexp_replace({_PATH}, '/$', '') = '' then '/' else regexp_replace({_PATH}, '/$', '') end", _without(_QUERY, _SHARE, ""), _ROUTE
 ) + " end"
+# The canonical address of the address u in one expression.
+_CANON = CANONICAL_SQL.replace("(trim(u)", f"(trim({SANITIZED_SQL})").replace("case when u is null", f"case when {SANITIZED_SQL} is null")
 
 
 def _content(spark: SparkSession, folder: str) -> DataFrame:
@@ -323,7 +325,7 @@ SQL = {
         k as (select *, lower(split_part(media_type, ';', 1)) as m from t),
         j as (select *, case when m in ('image/gif', 'image/png', 'image/jpeg', 'image/webp', 'image/avif', 'image/svg+xml') then 'image' when m in ('video/mp4', 'video/webm') then 'video' when m in ('audio/mp4', 'audio/mpeg', 'audio/aac', 'audio/ogg', 'audio/wav', 'audio/webm', 'audio/flac') then 'audio' end as kind from k)
         select media_type, size, kind, case kind when 'image' then size <= 26214400 when 'video' then size <= 262144000 when 'audio' then size <= 262144000 else false end as kept from j""",
-    "safe_titles": f"""with t as (select content_id, regexp_replace(substr(trim(regexp_replace(regexp_replace(coalesce(title, ''), '[<>:"/\\\\|?*\\x00-\\x1f\\x7f\\x{{202a}}-\\x{{202e}}\\x{{2066}}-\\x{{2069}}]', ' ', 'g'), '\\s+', ' ', 'g')), 1, 64), '[. ]+$', '') as s from {_ONCE}) select content_id, case when s = '' then 'untitled page' else s end as safe_title from t""",
+    "safe_titles": f"""with t as (select content_id, regexp_replace(substr(trim(regexp_replace(regexp_replace(coalesce(nfc_normalize(title), ''), '[<>:"/\\\\|?*\\x00-\\x1f\\x7f\\x{{202a}}-\\x{{202e}}\\x{{2066}}-\\x{{2069}}]', ' ', 'g'), '\\s+', ' ', 'g')), 1, 64), '[. ]+$', '') as s from {_ONCE}) select content_id, case when s = '' then 'untitled page' else s end as safe_title from t""",
     "topic_classes": f"""select topic_class, count(*) as n from (select search_query, {_CLASS.format(t='search_query')} as topic_class from (select distinct search_query from experience_log where search_query is not null union all select * from (values {_values([(t,) for t in _TOPICS])}))) group by 1""",
     "topic_sites": f"""with t as (select coalesce(search_query, title) as topic from {_ONCE} where coalesce(search_query, title) is not null union all select * from (values {_values([(t,) for t in _TOPICS])})),
         s as (select case {_CLASS.format(t='topic')} when 'procurement' then 'ccgp,ggzy,chinabidding,qianlima,bidcenter,made-in-china,bing' when 'technical' then 'github,csdn,cnblogs,juejin,stackoverflow,devto,hackernews,v2ex,bilibili,youtube,bing'

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from gleanmark.plans import archives, capture, flows, pages, posts
+from gleanmark.plans import archives, capture, details, flows, pages, posts
 
-_MODULES = (capture, pages, posts, flows, archives)
+_MODULES = (capture, pages, posts, flows, archives, details)
 
 
 def queries() -> dict:
