@@ -39,9 +39,10 @@ SITE_REPEATS, LINE_REPEATS, LONG_REPEATS, UNIT_REPEATS = 5, 15, 6, 8
 #: Attribute tokens that are kept, the most frequent ones, and the lines of the sample that one must be in.
 MOST_TOKENS, LEAST_LINES = 100_000, 3
 
-_SEPARATORS = re.compile(r"\s*[|｜/·•>»›→]\s*|\s{2,}|\s+–\s+|\t")
+_SEPARATORS = re.compile(r"[|｜/·•>»›→\t]|\s{2,}|\s–\s")
 _END = re.compile(r"[.!?。！？…][\"'”’»)）]*$")
 _AFTER = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])")
+_LETTER = re.compile(r"\w")
 _LIST = re.compile(r"^(?:\d{1,2}[.)、]|[-*•–])\s*")
 _ROW = re.compile(r"\b[A-Z]{2}-\d{2,}|\d[\d.,]* ?(?:€|元|reais|kg|%)|[$£€¥]\s?\d")
 _CLOSING = re.compile(r"^(?:#\w|https?://|www\.|— ?\w|[:;]-?[)(D]|[^\w\s]{1,4}$)")
@@ -60,8 +61,10 @@ def units(line: str) -> list[str]:
     """The parts of a line in lower case: between separators, and what stands before a colon, with it."""
     out = []
     for unit in _SEPARATORS.split(line.lower()):
-        head, colon, rest = unit.partition("：") if "：" in unit else unit.partition(":")
-        if unit := head.strip() + ":" if colon and rest.strip() else unit.strip():
+        if ":" in unit or "：" in unit:
+            head, colon, rest = unit.partition("：") if "：" in unit else unit.partition(":")
+            unit = head.strip() + ":" if colon and rest.strip() else unit
+        if unit := unit.strip():
             out.append(unit)
     return out
 
@@ -108,7 +111,7 @@ def _form(line: str) -> tuple[tuple[int, ...], tuple[str, ...]]:
         category = TITLE if n - listed >= least else NOUN
     cap = BINS - 1
     tokens = {"=" + p for p in (*parts, *spoken(line.lower()))}
-    tokens.update(a + b for a, b in zip(words, words[1:])) if han else tokens.update(w for w in words if not w.isdigit())
+    tokens.update(a + b for a, b in zip(words, words[1:])) if han else tokens.update(words)
     numbers = (category, min(len(line) // 6, cap), min(n, cap), int(ends), min(len(parts), cap), int(listed), min(sentences, cap), int(row), int(closing), int(han), int(":" in line or "：" in line))
     return numbers, tuple(tokens)
 
@@ -122,16 +125,18 @@ FEATURES = (
 
 @dataclass
 class Page:
-    """Lines of a page with visible characters: their numbers, features, blocks and heads.
-
-    ``heads`` names for each line the head of its subtree, itself for a head, -1 for a line in no subtree.
-    """
+    """Lines of a page with visible characters: their numbers, blocks, forms and bins of attribute tokens (mean, most, least,
+    most of a whole unit), and whether each is the title or names the site."""
 
     numbers: list[int]
     lines: list[str]
-    features: np.ndarray
     blocks: list[int]
-    heads: list[int]
+    forms: list[tuple[int, ...]]
+    tokens: list[tuple[int, int, int, int]]
+    marks: list[tuple[bool, bool]]
+
+    def category(self, k: int) -> int:
+        return self.forms[k][0]
 
 
 def read_lines(text: str) -> tuple[list[int], list[str], list[int]]:
@@ -139,7 +144,7 @@ def read_lines(text: str) -> tuple[list[int], list[str], list[int]]:
     numbers, lines, blocks, block, gap = [], [], [], 0, False
     for k, line in enumerate(text.split("\n")):
         line = line.strip()
-        if not line or (not line.isascii() and not any(map(str.isprintable, line.translate(_INVISIBLE)))):
+        if not line or (not _LETTER.search(line) and not any(map(str.isprintable, line.translate(_INVISIBLE)))):
             gap = True
             continue
         block += gap and bool(numbers)
@@ -151,65 +156,87 @@ def read_lines(text: str) -> tuple[list[int], list[str], list[int]]:
 
 
 def read_page(text: str, platform: str | None, title: str | None, odds: dict[str, float]) -> Page:
-    """The tree of a page and the features of its lines, with the log-odds of attribute tokens."""
+    """The lines of a page with their forms, and the log-odds of their attribute tokens in bins."""
     numbers, lines, blocks = read_lines(text)
-    n = len(lines)
     site, own_title = (platform or "").lower(), (title or "").strip()
-    forms, tokens = [], np.full((n, 4), _MIDDLE, dtype=np.int64)
-    for k, line in enumerate(lines):
+    forms, tokens, marks = [], [], []
+    get = odds.get
+    for line in lines:
         form, words = _form(line) if len(line) < 200 else _form.__wrapped__(line)
         forms.append(form)
-        known = [odds[w] for w in words if w in odds]
-        if known:
-            whole = [odds[w] for w in words if w[0] == "=" and w in odds]
-            values = (sum(known) / len(known), max(known), min(known), max(whole) if whole else 0.0)
-            tokens[k] = [int(min(59, max(0, _MIDDLE + round(5 * v)))) for v in values]
-    categories = [f[0] for f in forms]
-    sentence = np.array([c == SENTENCE for c in categories], dtype=bool)
-    before = np.cumsum(sentence)
-    total = int(before[-1]) if n else 0
-    runs, run = [], 0
-    heads, head = [], -1
-    for k in range(n):
-        if k and sentence[k] != sentence[k - 1]:
-            run += 1
-        runs.append(run)
-        if sentence[k] or categories[k] == ROW or categories[k] == CLOSING or (own_title and lines[k] == own_title):
-            head = -1
-            heads.append(-1)
-        elif tokens[k, 1] > _MIDDLE + 5 or tokens[k, 3] > _MIDDLE + 5:
-            head = k
-            heads.append(k)
-        else:
-            heads.append(head)
-    of_block, of_run = defaultdict(list), defaultdict(list)
-    for k in range(n):
-        of_block[blocks[k]].append(k)
-        of_run[runs[k]].append(k)
-    chars = [len(line) for line in lines]
-    density, run_tokens = {}, {}
-    for b, own in of_block.items():
-        size = sum(chars[k] for k in own) or 1
-        density[b] = int(10 * sum(chars[k] for k in own if sentence[k]) / size), int(sum(tokens[k, 0] for k in own) / len(own))
-    for r, own in of_run.items():
-        run_tokens[r] = int(sum(tokens[k, 1] for k in own) / len(own))
-    rows = np.zeros((n, len(FEATURES)), dtype=np.int64)
-    at = lambda k: categories[k] if 0 <= k < n else NOTHING
-    odd = lambda k: int(tokens[k, 1]) if 0 <= k < n else _MIDDLE
-    for k in range(n):
-        own, beside = of_block[blocks[k]], of_run[runs[k]]
-        seen = int(before[k]) - int(sentence[k])
-        rows[k] = (
-            *forms[k], *tokens[k],
-            bool(own_title) and lines[k] == own_title,
-            bool(site) and site in lines[k].lower().replace(" ", ""),
-            at(k - 1), at(k + 1), at(k - 2), at(k + 2), odd(k - 1), odd(k + 1), odd(k - 2), odd(k + 2),
-            0 if heads[k] < 0 else min(k - heads[k] + 1, 20),
-            min(k, 20), min(n - 1 - k, 20), min(seen, 10), min(total - seen - int(sentence[k]), 10),
-            min(len(own), 20), min(k - own[0], 20), *density[blocks[k]],
-            min(len(beside), 20), min(k - beside[0], 20), run_tokens[runs[k]],
-        )
-    return Page(numbers, lines, rows, blocks, heads)
+        known, whole, count, most, least = 0.0, None, 0, -9.0, 9.0
+        for w in words:
+            v = get(w)
+            if v is None:
+                continue
+            known += v
+            count += 1
+            if v > most:
+                most = v
+            if v < least:
+                least = v
+            if w[0] == "=" and (whole is None or v > whole):
+                whole = v
+        tokens.append((_bin(known / count), _bin(most), _bin(least), _bin(whole or 0.0)) if count else (_MIDDLE,) * 4)
+        marks.append((bool(own_title) and line == own_title, bool(site) and site in line.lower().replace(" ", "")))
+    return Page(numbers, lines, blocks, forms, tokens, marks)
+
+
+def _bin(odds: float) -> int:
+    return min(59, max(0, _MIDDLE + round(5 * odds)))
+
+
+def features_of(pages: list[Page]) -> tuple[np.ndarray, np.ndarray]:
+    """Features of the lines of all pages, and the head of each line among them: itself for a head, -1 for a line in no subtree."""
+    sizes = np.array([len(p.lines) for p in pages])
+    n = int(sizes.sum())
+    if not n:
+        return np.zeros((0, len(FEATURES)), np.int64), np.zeros(0, np.int64)
+    forms = np.array([f for p in pages for f in p.forms], dtype=np.int64)
+    tokens = np.array([t for p in pages for t in p.tokens], dtype=np.int64)
+    marks = np.array([m for p in pages for m in p.marks], dtype=bool)
+    chars = np.array([len(line) for p in pages for line in p.lines], dtype=np.float64)
+    at, page = np.arange(n), np.repeat(np.arange(len(pages)), sizes)
+    start = np.repeat(np.cumsum(sizes) - sizes, sizes)
+    stop = start + sizes[page]
+    category = forms[:, 0]
+    sentence = category == SENTENCE
+
+    def beside(values: np.ndarray, by: int, none: int) -> np.ndarray:
+        k = at + by
+        return np.where((k >= start) & (k < stop), values[np.clip(k, 0, n - 1)], none)
+
+    def group(new: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number, size and first line of the groups that begin where ``new`` says."""
+        number = np.cumsum(new) - 1
+        size = np.bincount(number)
+        return number, size[number], (np.cumsum(size) - size)[number]
+
+    begins = at == start
+    block = np.concatenate([np.array(p.blocks, dtype=np.int64) for p in pages])
+    in_block, block_size, block_first = group(begins | np.concatenate([[True], block[1:] != block[:-1]]))
+    in_run, run_size, run_first = group(begins | np.concatenate([[True], sentence[1:] != sentence[:-1]]))
+    of_chars = np.bincount(in_block, chars)
+    density = 10 * np.bincount(in_block, chars * sentence) / np.maximum(of_chars, 1)
+    total = np.cumsum(sentence)
+    seen = total - sentence - (total - sentence)[start]
+    after = (total[stop - 1] - (total - sentence)[start]) - seen - sentence
+    # A line with attribute tokens is a head; sentences, rows, closing lines and the title end a subtree.
+    ends = sentence | (category == ROW) | (category == CLOSING) | marks[:, 0]
+    head = ~ends & ((tokens[:, 1] > _MIDDLE + 5) | (tokens[:, 3] > _MIDDLE + 5))
+    last_head = np.maximum.accumulate(np.where(head, at, -1))
+    last_end = np.maximum.accumulate(np.where(ends, at, -1))
+    heads = np.where(~ends & (last_head > last_end) & (last_head >= start), last_head, -1)
+    mean = lambda values, number: (np.bincount(number, values) / np.bincount(number))[number].astype(np.int64)
+    rows = np.column_stack([
+        forms, tokens, marks,
+        *[beside(category, by, NOTHING) for by in (-1, 1, -2, 2)], *[beside(tokens[:, 1], by, _MIDDLE) for by in (-1, 1, -2, 2)],
+        np.where(heads < 0, 0, np.minimum(at - heads + 1, 20)),
+        np.minimum(at - start, 20), np.minimum(stop - 1 - at, 20), np.minimum(seen, 10), np.minimum(after, 10),
+        np.minimum(block_size, 20), np.minimum(at - block_first, 20), density[in_block].astype(np.int64), mean(tokens[:, 0], in_block),
+        np.minimum(run_size, 20), np.minimum(at - run_first, 20), mean(tokens[:, 1], in_run),
+    ])
+    return rows.astype(np.int64), heads
 
 
 def labels(pages: list[tuple[str | None, str | None, list[str]]]) -> list[np.ndarray]:
@@ -292,29 +319,15 @@ class BodyModel:
     def read(self, text: str, platform: str | None, title: str | None) -> Page:
         return read_page(text, platform, title, self.odds)
 
-    def choose(self, page: Page, log_odds: np.ndarray) -> np.ndarray:
-        """Boilerplate by line. A head and its subtree get one choice, so none is contradicted by another's."""
-        chosen = log_odds > 0
-        subtrees = defaultdict(list)
-        for k, h in enumerate(page.heads):
-            if h >= 0:
-                subtrees[h].append(k)
-        for own in subtrees.values():
-            if len(own) > 1:
-                chosen[own] = log_odds[own].clip(-4, 4).sum() > 0
-        return chosen
-
     def boilerplate(self, pages: list[Page]) -> list[np.ndarray]:
-        """For each page, which of its lines aren't main body."""
-        sizes = [len(p.lines) for p in pages]
-        if not sum(sizes):
+        """For each page, which of its lines aren't main body. A head and its subtree get one choice, so none is contradicted."""
+        rows, heads = features_of(pages)
+        if not len(rows):
             return [np.zeros(0, bool) for _ in pages]
-        odds = self.trees.log_odds(np.concatenate([p.features for p in pages if p.lines]))
-        out, at = [], 0
-        for p, n in zip(pages, sizes):
-            out.append(self.choose(p, odds[at : at + n]) if n else np.zeros(0, bool))
-            at += n
-        return out
+        odds = self.trees.log_odds(rows)
+        own = np.where(heads >= 0, heads, np.arange(len(rows)))
+        chosen = np.where(np.bincount(own, minlength=len(rows))[own] > 1, np.bincount(own, odds.clip(-4, 4), len(rows))[own], odds) > 0
+        return np.split(chosen, np.cumsum([len(p.lines) for p in pages])[:-1])
 
     def bodies(self, texts: list[str | None], platforms: list[str | None], titles: list[str | None]) -> list[list[str]]:
         """The body lines of each text, in order."""
@@ -348,7 +361,7 @@ def line_endings(pages: list[Page], boilerplate: list[np.ndarray], titles: list[
     ends: dict[tuple[bool, bool, int], list[int]] = {}
     for page, drop, title in zip(pages, boilerplate, titles):
         for k, line in enumerate(page.lines[:-1]):
-            if drop[k] or line == (title or "").strip() or page.features[k][0] == CLOSING:
+            if drop[k] or line == (title or "").strip() or page.category(k) == CLOSING:
                 continue
             han, entry, size = line_size(line)
             for s in range(1, size + 1):
@@ -377,7 +390,7 @@ def trained(rows: list) -> BodyModel:
     # Each half gets its tokens from the other one; in use, both count.
     halves = [token_odds(lines[h::2], label[h::2]) for h in (0, 1)]
     pages = [read_page(r.text, r.platform, r.title, halves[1 - k % 2] if len(read) > 1 else halves[0]) for k, r in enumerate(rows)]
-    x, y = np.concatenate([p.features for p in pages]), np.concatenate(label)
+    x, y = features_of(pages)[0], np.concatenate(label)
     if not (y >= 0).any():
         return BodyModel(fit(x[:1], np.zeros(1), trees=1))
     model = BodyModel(fit(x[y >= 0], y[y >= 0].astype(float)), token_odds(lines, label))
