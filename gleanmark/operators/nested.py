@@ -123,6 +123,77 @@ def flat_entities(content: DataFrame) -> DataFrame:
     return base.where(F.col("content_id").isNotNull()).select("content_id", F.inline(rows)).distinct()
 
 
+def _objects(node: Column, key: str, kind: str) -> Column:
+    """``array<struct<url, place, detail>>`` of ``node.key`` in order; ``detail`` is a field of those that are objects."""
+    value = F.try_variant_get(node, f"$.{key}", "variant")
+    each = F.coalesce(F.try_variant_get(value, "$", "array<variant>"), F.when(value.isNotNull(), F.array(value)), F.array().cast("array<variant>"))
+    plain = lambda v: F.schema_of_variant(v) == "STRING"
+    one = lambda v, k: F.struct(F.when(plain(v), F.try_variant_get(v, "$", "string")).otherwise(_text(v, "$.url")).alias("url"), k.alias("place"), F.when(~plain(v), F.try_variant_get(v, f"$.{kind}", "string")).alias("detail"))
+    return F.filter(F.transform(each, one), lambda m: F.coalesce(m["url"], F.lit("")) != "")
+
+
+def _trees(content: DataFrame) -> DataFrame:
+    """``content_id, record, items, url_check, post, post_id, comments`` of the records, JSON parsed once."""
+    base = content.where("content_id is not null").select("content_id", F.col("content_id").cast("string").alias("record"), "items", "url_check", F.col("comments").alias("_raw"), parsed_json(F.col("comments")).alias("_tree"), parsed_json(F.col("post")).alias("_outer"))
+    wrapped = F.try_variant_get("_outer", "$.post", "variant")
+    post = F.coalesce(F.when(F.schema_of_variant(wrapped).startswith("OBJECT"), wrapped), F.col("_outer"))
+    rows = base.withColumn("post", post).withColumn("comments", comment_nodes(F.col("_tree"), F.col("_raw"), F.col("record")))
+    return rows.withColumn("post_id", _filled(_text(F.col("post"), "$.id"))).select("content_id", "record", "items", "url_check", "post", "post_id", "comments")
+
+
+def _item_id(i: Column) -> Column:
+    return F.coalesce(_filled(i["id"]), _filled(i["url"]))
+
+
+def posts_table(content: DataFrame) -> DataFrame:
+    """``content_id, post_id, url, title, text, account``: the post of each record. As in all these tables, rows are distinct,
+    nulls and blank keys give none, and a missing field is null."""
+    t, p = _trees(content).where("post_id is not null"), F.col("post")
+    return t.select("content_id", "post_id", *[_text(p, f"$.{c}").alias(c) for c in ("url", "title", "text")], _text(p, "$.account.name").alias("account")).distinct()
+
+
+def images_table(content: DataFrame) -> DataFrame:
+    """``content_id, parent_id, place, url, alt``: images of posts and of comments under the id of theirs, numbered from 0."""
+    own = lambda parent, node: F.transform(_objects(node, "images", "alt"), lambda m: F.struct(parent.alias("parent_id"), m["place"].alias("place"), m["url"].alias("url"), m["detail"].alias("alt")))
+    of_post = F.when(F.col("post_id").isNotNull(), own(F.col("post_id"), F.col("post")))
+    of_comments = F.flatten(F.transform("comments", lambda n: own(n["id"], n["node"])))
+    none = F.array().cast("array<struct<parent_id:string,place:int,url:string,alt:string>>")
+    return _trees(content).select("content_id", F.inline(F.concat(F.coalesce(of_post, none), F.coalesce(of_comments, none)))).distinct()
+
+
+def videos_table(content: DataFrame) -> DataFrame:
+    """``content_id, parent_id, place, url, poster``: videos of posts."""
+    rows = F.transform(_objects(F.col("post"), "videos", "poster"), lambda m: F.struct(F.col("post_id").alias("parent_id"), m["place"].alias("place"), m["url"].alias("url"), m["detail"].alias("poster")))
+    return _trees(content).where("post_id is not null").select("content_id", F.inline(rows)).distinct()
+
+
+def items_table(content: DataFrame) -> DataFrame:
+    """``content_id, item_id, url, kind, author, time, text, truncated, metrics_text``: entries of ``items``."""
+    kept = F.filter("items", lambda i: i.isNotNull() & _item_id(i).isNotNull())
+    rows = F.transform(kept, lambda i: F.struct(_item_id(i).alias("item_id"), *[i[c].alias(c) for c in ("url", "kind", "author", "time", "text", "truncated", "metrics_text")]))
+    return content.where("content_id is not null").select("content_id", F.inline(rows)).distinct()
+
+
+def media_table(content: DataFrame) -> DataFrame:
+    """``content_id, item_id, place, kind, url, alt, loaded``: media of items, numbered from 0 within theirs."""
+    kept = F.filter("items", lambda i: i.isNotNull() & _item_id(i).isNotNull())
+    own = lambda i: F.filter(F.transform(i["media"], lambda m, k: F.struct(_item_id(i).alias("item_id"), k.alias("place"), *[m[c].alias(c) for c in ("kind", "url", "alt", "loaded")])), lambda m: F.coalesce(m["url"], F.lit("")) != "")
+    none = F.array().cast("array<struct<item_id:string,place:int,kind:string,url:string,alt:string,loaded:boolean>>")
+    return content.where("content_id is not null").select("content_id", F.inline(F.flatten(F.transform(kept, lambda i: F.coalesce(own(i), none))))).distinct()
+
+
+def comments_table(content: DataFrame) -> DataFrame:
+    """``content_id, comment_id, parent_id, account, time, text``: comments at any depth."""
+    one = lambda n: F.struct(n["id"].alias("comment_id"), n["parent"].alias("parent_id"), _text(n["node"], "$.account.name").alias("account"), _text(n["node"], "$.time").alias("time"), F.coalesce(_text(n["node"], "$.text"), _text(n["node"], "$.body")).alias("text"))
+    return _trees(content).select("content_id", F.inline(F.transform("comments", one))).distinct()
+
+
+def redirects_table(content: DataFrame) -> DataFrame:
+    """``content_id, hop, url, code``: the redirects on the way to each record."""
+    kept = F.filter(F.transform("url_check.redirects", lambda r: F.struct(r["hop"].alias("hop"), r["url"].alias("url"), r["code"].alias("code"))), lambda r: F.coalesce(r["url"], F.lit("")) != "")
+    return content.where("content_id is not null").select("content_id", F.inline(kept)).distinct()
+
+
 def objects_in(tree: Column, raw: Column) -> Column:
     """``array<variant>`` of all objects at any depth of a JSON value: the walk of a document without a schema.
 

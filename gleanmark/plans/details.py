@@ -284,7 +284,7 @@ def job_list(spark: SparkSession, folder: str) -> DataFrame:
     place = _scratch(spark, "jobs")
     rows = table(spark, folder, "batch_rows").where("url is not null").select("url").distinct().orderBy("url")
     rows.agg(F.concat(F.lit("see "), F.array_join(F.array_sort(F.collect_set("url")), " and\n")).alias("value")).coalesce(1).write.text(place)
-    return evidence.jobs_in(spark, place).select("url")
+    return evidence.jobs_in(spark, place).select(url.canonical(F.col("url")).alias("page"))
 
 
 def appended_rounds(spark: SparkSession, folder: str) -> DataFrame:
@@ -494,7 +494,7 @@ SQL = {
     "manifests_on_disk": f"with {_FILES} select distinct content_id, file_path, sha256 from files where file_path is not null",
     "run_results": "select batch_file, idx, url, status from (select distinct on (batch_file, idx) * from batch_rows order by batch_file, idx) where coalesce(lower(trim(status)), '') <> 'skipped' union all select batch_file, null, null, null from batch_rows group by 1 having bool_and(coalesce(lower(trim(status)), '') = 'skipped') union all select 'none', null, null, null",
     "evidence_records": f"select content_id % 13 = 0 as broken, case when content_id % 13 <> 0 then status end as status, count(*) as n, sum(case when content_id % 13 <> 0 then content_id end)::bigint as ids from {_ONCE} where content_id % 5 <> 0 group by 1, 2",
-    "job_list": f"select min(u) as url from (select distinct url as u from batch_rows where url is not null) where regexp_matches(u, '^https?://') and {_CANON} is not null group by {_CANON}",
+    "job_list": f"select distinct {_CANON} as page from (select distinct url as u from batch_rows where url is not null) where regexp_matches(u, '^https?://') and {_CANON} is not null",
     "appended_rounds": f"select b as batch_no, case when b in (2, 3) then 'replaced' else status end as status, count(*) as n from (select coalesce(batch_no, 0)::int as b, status from {_ONCE}) group by 1, 2",
     "author_items": f"with {_ITEMS} select item.kind as kind, count(*) as n from items where coalesce(item.kind, '') <> 'reply' group by 1",
     "refreshed_results": f"select r.content_id, case when c.status <> 'awaiting_user' then c.status else r.status end as status from (select content_id, min(status) as status from batch_rows where content_id is not null group by 1) r left join {_ONCE} c on c.content_id = r.content_id",
