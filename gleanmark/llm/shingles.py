@@ -57,6 +57,16 @@ def signature(parts: np.ndarray, size: int) -> np.ndarray:
     return mixed.min(axis=1)
 
 
+def mixers(size: int) -> np.ndarray:
+    """Odd factors of the permutations."""
+    return _MIX[:size]
+
+
+def count_of(text: str) -> int:
+    """Words of a text."""
+    return len(_WORDS.findall(text.lower()))
+
+
 def bands(sig: np.ndarray, rows: int) -> np.ndarray:
     """One signed key per band of ``rows`` values; bands differ even where their values agree."""
     folded = sig.reshape(-1, rows)
