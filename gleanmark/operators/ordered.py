@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gleanmark.functions.status import LANE_BLOCKING_REASONS
+from gleanmark.session import staged
 
 
 def lane_of(site: Column, host: Column) -> Column:
@@ -60,10 +61,27 @@ def unchanged_twice(rows: DataFrame, keys: list[str], order: str, fingerprint: s
     return same.where("_same").groupBy(*keys).agg(F.min(order).alias("stable_at"))
 
 
+def numbered(rows: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """``rows`` with their number within their keys in ``order``, which must be unique within a key, nulls first.
+
+    Rows are split by ranges of key and order, counted in each range and numbered from the counts of the ranges before, so
+    that a key with a third of all rows isn't one task.
+    """
+    ranged = staged(rows.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    counts = ranged.groupBy("_range", *keys).agg(F.count("*").alias("_n"))
+    # A few rows per range: one for each key that has rows in it, but a key of many rows has one per range.
+    before = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    own = F.row_number().over(W.partitionBy("_range", *keys).orderBy(*order))
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    joined = ranged.withColumn("_own", own).alias("a").join(offsets.alias("b"), [F.col("a._range") == F.col("b._range"), *same])
+    return joined.select(*[F.col(f"a.{c}") for c in rows.columns], (F.col("_own") + F.col("_before")).cast("int").alias(name))
+
+
 def serials(rows: DataFrame, keys: list[str], order: list[str], width: int = 3) -> DataFrame:
     """``rows`` numbered within their keys: ``serial``, padded with zeros, longer where needed."""
-    n = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
-    return rows.withColumn("serial", F.when(F.length(n.cast("string")) >= width, n.cast("string")).otherwise(F.lpad(n.cast("string"), width, "0")))
+    rows, n = numbered(rows, keys, order, "_serial"), F.col("_serial")
+    return rows.withColumn("serial", F.when(F.length(n.cast("string")) >= width, n.cast("string")).otherwise(F.lpad(n.cast("string"), width, "0"))).drop("_serial")
 
 
 def next_serial(names: DataFrame, keys: list[str], name: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanmark.operators import archive, nested, ordered, report, search, sites
+from gleanmark.plans import capture
 from gleanmark.sources.tables import table
 
 
@@ -114,8 +115,34 @@ def source_sections(spark: SparkSession, folder: str) -> DataFrame:
 
 def report_documents(spark: SparkSession, folder: str) -> DataFrame:
     rows = _content(spark, folder)
-    pages = report.report_pages(report.source_sections(rows), rows.select("content_id", F.coalesce("platform", F.lit("web")).alias("platform")), "platform")
-    return pages.select("platform", "page_no", "n_sources", F.length("document").alias("n_chars"))
+    runs = table(spark, folder, "experience_log").dropDuplicates(["event_id"]).where("search_performed and search_query is not null and platform is not null").groupBy("platform", "search_query").agg(F.coalesce(F.sum("candidates"), F.lit(0)).alias("found"))
+    pages = report.report_pages(report.source_sections(rows), rows.select("content_id", F.coalesce("platform", F.lit("web")).alias("platform"), "title"), "platform", 25, runs)
+    return pages.select("platform", "page_no", "n_sources", F.md5("document").alias("document"))
+
+
+def summary_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return report.summary_rows(_content(spark, folder))
+
+
+def media_sections(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents of records with the media of their archives, once and again."""
+    files = table(spark, folder, "manifest").where("file_path like 'raw/media/%'").select("content_id", "file_path").distinct().groupBy("content_id").agg(F.array_sort(F.collect_list(F.struct(F.col("file_path").alias("path"), F.when(F.lower("file_path").rlike("\\.(png|jpe?g|webp)$"), "image").otherwise("video").alias("kind")))).alias("files"))
+    rows = _content(spark, folder).select("content_id", F.lit("<main><p>x</p></main>").alias("document")).join(files, "content_id", "left")
+    once = report.with_media_section(F.col("document"), F.col("files"))
+    return rows.select("content_id", report.with_media_section(once, F.col("files")).alias("document"))
+
+
+def written_reports(spark: SparkSession, folder: str) -> DataFrame:
+    """Reports of records whose last output was left as it was."""
+    rows = _content(spark, folder)
+    before = rows.where("content_id % 3 = 0").select("content_id", F.sha2("title", 256).alias("recorded"), F.when(F.col("content_id") % 2 == 0, F.sha2("title", 256)).otherwise(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("found"))
+    return report.written_report(rows.select("content_id", F.col("title").alias("document")), before, "content_id").select("content_id")
+
+
+def final_states(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _content(spark, folder)
+    total = F.try_variant_get(nested.parsed_json(F.col("comments")), "$.displayed_total", "long")
+    return report.final_states(rows, nested.comments_of(rows).select("content_id"), rows.select("content_id", F.coalesce(total, F.when(F.col("content_id") % 6 == 0, 3).cast("long")).alias("displayed_total")))
 
 
 def comment_coverage(spark: SparkSession, folder: str) -> DataFrame:
@@ -134,7 +161,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         manifest_failures, duplicate_files, duplicate_images, retention_plan, outer_folders, media_downloads, ambiguous_addresses, keyword_ranking, newest_events, preferred_routes, search_routes,
-        verified_hosts, search_plan, site_overlay, policy_overlay, resolved_names, redirect_closure, crawl_counts, summary_states, source_sections, report_documents, comment_coverage, newest_per_host,
+        verified_hosts, search_plan, site_overlay, policy_overlay, resolved_names, redirect_closure, crawl_counts, summary_states, source_sections, report_documents, comment_coverage, newest_per_host, summary_rows, media_sections, written_reports, final_states,
     )
 }
 
@@ -190,3 +217,48 @@ SQL = {
         u as (select *, case when a then resolved_url when b then canonical_url when c then requested_url end as url from p)
         select {_HOST} as host, case when lower(trim(status)) in ('captured', 'completed', 'partial', 'awaiting_user', 'blocked', 'failed', 'skipped') then lower(trim(status)) else 'partial' end as status, count(*) as n, sum(coalesce(length(text), 0))::bigint as chars, count(*) filter (text is not null or items is not null) as observed, max(captured_at) as newest from u where url is not null group by 1, 2""",
 }
+_ESC = "replace(replace(replace(replace(replace(coalesce({c}, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')"
+_TITLED = "regexp_replace(substr(trim(regexp_replace(regexp_replace(coalesce(nfc_normalize(title), ''), '[<>:\"/\\\\|?*\\x00-\\x1f\\x7f\\x{202a}-\\x{202e}\\x{2066}-\\x{2069}]', ' ', 'g'), '\\s+', ' ', 'g')), 1, 64), '[. ]+$', '')"
+_POST = f"""posts as (select content_id, case when json_type(p->'post') = 'OBJECT' then (p->'post') else p end as p from (select content_id, case when json_type(p) = 'VARCHAR' then case when json_valid(p->>'$') then (p->>'$')::json end else p end as p from (select content_id, case when json_valid(post) then post::json end as p from {_ONCE})))"""
+_COUNT = "case when (p->'engagement'->'{k}'->>'value')::double is not null then '{v} ' || (p->'engagement'->'{k}'->>'raw') end"
+_KEPT = "list_filter(list_transform(list_filter(items, lambda i: i is not null and coalesce(i.kind, '') not in ('page_shell', 'comment', 'reply', 'thread_or_reply')), lambda i: trim(coalesce(i.text, ''), ' ')), lambda t: t <> '')"
+_SECTIONS = f"""{_POST}, b as (select c.*, p, coalesce({_KEPT}, []) as own, case when trim(author, ' ') <> '' then trim(author, ' ') else list_filter(list_transform(items, lambda i: trim(i.author, ' ')), lambda a: coalesce(a, '') <> '')[1] end as name,
+          array_to_string(list_filter([{", ".join(_COUNT.format(k=k, v=v) for k, v in (("likes", "赞"), ("comments", "评"), ("favorites", "藏"), ("shares", "分享"), ("views", "播放 / 浏览")))}], lambda x: x is not null), ' · ') as counts from {_ONCE} c join posts using (content_id)),
+        d as (select *, case when len(own) > 0 then list_filter(list_transform(own, lambda t, k: case when list_position(own, t) = k then t end), lambda t: t is not null) when trim(coalesce(text, ''), ' ') <> '' then [trim(text, ' ')] else [] end as texts from b),
+        sections as (select content_id, coalesce(platform, 'web') as platform, title, '<section><h2>' || {_ESC.format(c=f"case when {_TITLED} = '' then 'untitled page' else {_TITLED} end")} || '</h2>' || case when regexp_full_match(trim(coalesce(canonical_url, '')), {_PAGE}) then '<a href="' || {_ESC.format(c='canonical_url')} || '">' || {_ESC.format(c='canonical_url')} || '</a>' else '' end
+          || case when name is not null then '<address>' || {_ESC.format(c='name')} || '</address>' else '' end || case when counts <> '' then '<p>' || {_ESC.format(c='counts')} || '</p>' else '' end
+          || coalesce(array_to_string(list_transform(texts, lambda t: '<p>' || {_ESC.format(c='t')} || '</p>'), ''), '')
+          || case when coalesce(trim(comments, ' '), '') = '' then coalesce(array_to_string(list_transform(list_filter(items, lambda i: coalesce(i.kind in ('comment', 'reply'), false) and coalesce(trim(i.text, ' '), '') <> ''), lambda i: '<blockquote>' || {_ESC.format(c='i.text')} || '</blockquote>'), ''), '') else '' end || '</section>' as section from d)"""
+_CLEAN = "trim(regexp_replace(regexp_replace(coalesce({c}, ''), 'https?://[^\\s<>\"）)]+', '', 'g'), '\\s+', ' ', 'g'))"
+SQL |= {
+    "source_sections": f"with {_SECTIONS} select content_id, section from sections",
+    "report_documents": f"""with {_SECTIONS}, n as (select *, row_number() over (partition by platform order by content_id) as no from sections), g as (select platform, ((no - 1) // 25 + 1)::int as page_no, count(*) as n_sources, string_agg(section, '' order by no) as body,
+          string_agg('<a href="#source-' || no || '">' || no || '. ' || {_ESC.format(c='title')} || '</a>', '' order by no) as nav from n group by 1, 2),
+        r as (select platform, '<table>' || string_agg('<tr><td>' || {_ESC.format(c='search_query')} || '</td><td>' || found || '</td></tr>', '' order by '<tr><td>' || {_ESC.format(c='search_query')} || '</td><td>' || found || '</td></tr>') || '</table>' as runs
+          from (select platform, search_query, coalesce(sum(candidates), 0)::bigint as found from (select distinct on (event_id) * from experience_log order by event_id) where search_performed and search_query is not null and platform is not null group by 1, 2) group by 1)
+        select g.platform, page_no, n_sources, md5(case when n_sources >= 4 then '<nav>' || nav || '</nav>' else '' end || '<main>' || case when page_no = 1 then coalesce(runs, '') else '' end || body || '</main>') as document from g left join r on r.platform = g.platform""",
+    "summary_rows": f"""with {_POST}, b as (select content_id, stop_reason, coalesce(status, 'unknown') as status, coalesce(nullif(p->>'text', ''), nullif(text, ''), array_to_string(list_transform(list_filter(items, lambda i: i is not null and coalesce(i.kind, '') <> 'page_shell'), lambda i: coalesce(i.text, '')), chr(10)), '') as t,
+          coalesce(nullif(substr({_CLEAN.format(c="coalesce(nullif(title, ''), nullif(p->>'title', ''), nullif(search_query, ''), '页面详情')")}, 1, 110), ''), '页面详情') as title,
+          coalesce(nullif(case when json_type(p->'images') = 'ARRAY' then json_array_length(p->'images') end, 0), list_sum(list_transform(items, lambda i: coalesce(len(list_filter(i.media, lambda m: m.kind = 'image')), 0))), 0)::int as n_images,
+          coalesce(nullif(case when json_type(p->'videos') = 'ARRAY' then json_array_length(p->'videos') end, 0), list_sum(list_transform(items, lambda i: coalesce(len(list_filter(i.media, lambda m: m.kind = 'video')), 0))), 0)::int as n_videos from {_ONCE} join posts using (content_id)),
+        l as (select *, substr({_CLEAN.format(c='title')}, 1, 15) as head, list_filter(list_transform(string_split(replace(t, chr(13), chr(10)), chr(10)), lambda x: {_CLEAN.format(c='x')}), lambda s: length(s) >= 8 and not regexp_matches(s, '(?i)^Copyright|^版权所有')) as lines from b),
+        e as (select *, substr(coalesce(list_filter(lines, lambda s: head <> '' and contains(s, head))[1], list_filter(lines, lambda s: length(s) >= 50)[1], lines[1], ''), 1, 125) as x from l)
+        select content_id, title, case status when 'captured' then '已保存' when 'completed' then '动作完成' when 'partial' then '部分获取' when 'awaiting_user' then '需人工处理' when 'blocked' then '受阻' when 'failed' then '失败' when 'skipped' then '未访问' else '待核验' end as label, length(t)::int as chars, n_images, n_videos,
+          case when status = 'skipped' then '同站前序任务受阻，本页尚未访问。' when status in ('failed', 'blocked', 'awaiting_user') then case when t <> '' then '保留' || length(t) || '字可见文字；' else '未取得可用正文；' end
+            || case coalesce(stop_reason, '') when '' then '等待处理' when 'login_required' then '需要登录' when 'verification_required' then '需要验证' when 'rate_limited' then '平台限流' when 'access_denied' then '访问被拒绝' when 'operation_budget' then '操作预算已用尽' else {_CLEAN.format(c='stop_reason')} end || '。'
+          else case when x <> '' then '取得“' || x || case when length(x) = 125 then '…' else '' end || '”等可见内容' when t <> '' then '取得页面可见文字' else '没有取得目标正文' end || case when t <> '' then '（约' || length(t) || '字）' else '' end
+            || case when n_images > 0 or n_videos > 0 then '，观察到' || n_images || '张图片、' || n_videos || '段视频、0段音频' else '' end || '。' end as summary from e""",
+    "media_sections": f"""with f as (select content_id, string_agg('<' || case when regexp_matches(lower(file_path), '\\.(png|jpe?g|webp)$') then 'img' else 'video' end || ' src="' || array_to_string(list_transform(string_split(file_path, '/'), lambda p: url_encode(p)), '/') || '">', '' order by file_path) as m from (select distinct content_id, file_path from manifest where file_path like 'raw/media/%') group by 1)
+        select c.content_id, case when m is null then '<main><p>x</p></main>' else '<main><p>x</p><section id="media">' || m || '</section></main>' end as document from {_ONCE} c left join f on f.content_id = c.content_id""",
+    "written_reports": f"select content_id from {_ONCE} where not (content_id % 3 = 0 and (case when content_id % 2 = 0 then sha256(title) else sha256(coalesce(text, '')) end is not null) and (sha256(title) is null or case when content_id % 2 = 0 then sha256(title) else sha256(coalesce(text, '')) end <> sha256(title)))",
+    "final_states": f"""with e as (select content_id, count(*) as n from ({capture.SQL['p2_comments']}) group by 1), t as (select content_id, case when json_valid(comments) then (comments::json->>'displayed_total')::bigint end as d from {_ONCE}),
+        b as (select c.*, case when stop_reason in ('login_required', 'verification_required', 'rate_limited', 'unavailable', 'access_denied', 'target_post_not_found', 'target_body_not_found') then case when real then 'partial' else 'blocked' end when real and stop_reason in ('stable_after_3_scrolls', 'article_dom_complete') then 'captured' else 'partial' end as s,
+          coalesce(t.d, case when c.content_id % 6 = 0 then 3 end, 0) > 0 and coalesce(e.n, 0) = 0 as missing, coalesce(len(list_filter(items, lambda i: coalesce(i.truncated, false))) > 0, false) as folded,
+          coalesce(len(list_filter(items, lambda i: coalesce(len(list_filter(i.media, lambda m: m.kind = 'media_viewer' and not coalesce(m.loaded, false))), 0) > 0)) > 0, false) as viewer
+          from (select *, coalesce(completeness.target_present, false) and coalesce(length(text), 0) > 0 as real from {_ONCE}) c left join t on t.content_id = c.content_id left join e on e.content_id = c.content_id)
+        select content_id, case when s = 'captured' and (missing or folded or viewer) then 'partial' else s end as status, s = 'captured' and (missing or folded or viewer) as downgraded from b""",
+    "comment_coverage": f"""with e as (select content_id, count(distinct comment_id) as n from ({capture.SQL['p2_comments']}) group by 1), t as (select content_id, case when json_valid(comments) then (comments::json->>'displayed_total')::bigint end as displayed_total from {_ONCE})
+        select t.content_id, coalesce(n, 0) as loaded, displayed_total, displayed_total <= coalesce(n, 0) as all_verified from t left join e on e.content_id = t.content_id where displayed_total is not null""",
+    "media_downloads": f"""with e as ({capture.SQL['p2_found']}), w as (select distinct content_id, regexp_extract(child_id, '([^/]+)$', 1) as name from e where entity = 'media'), g as (select distinct content_id, regexp_extract(file_path, '([^/]+)$', 1) as name from manifest where sha256 is not null)
+        select w.content_id, count(*) as n_wanted, count(*) - count(g.name) as n_missing, case when count(*) = count(g.name) then 'downloaded' else 'partial' end as download_status from w left join g on g.content_id = w.content_id and g.name = w.name group by 1""",
+}

@@ -332,3 +332,15 @@ SQL = {
           else 'xhs,x,zhihu,douban,reddit,douyin,bilibili,youtube,wechat,weibo,instagram,tiktok,google,bing' end as listed from t)
         select (place - 1)::int as place, site, count(*) as n from (select unnest(string_split(listed, ',')) as site, generate_subscripts(string_split(listed, ','), 1) as place from s) group by 1, 2""",
 }
+_SPACED = "trim(regexp_replace({c}, '\\s+', ' ', 'g'))"
+_UNTAGGED = "regexp_replace(regexp_replace(regexp_replace({c}, '(?is)<!--.*?-->', ' ', 'g'), '(?is)<(script|style|noscript|template)\\b.*?</(script|style|noscript|template)\\s*>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')"
+_MARKS = "replace(replace(replace(replace(replace(replace(replace(replace({c}, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+_MADE = "'<html><style>p{}</style><h1>' || coalesce(title, '') || '</h1><!-- x --><script>var a=''</p>'';</script><p>' || coalesce(text, '') || '</p>&copy;</html>'"
+SQL |= {
+    "static_texts": f"select content_id, {_SPACED.format(c=_MARKS.format(c=_UNTAGGED.format(c=_MADE)))} as static_text from {_ONCE}",
+    "link_candidates": f"""with i as (select content_id, requested_url, platform, i.url as target, p - 1 as pos from (select content_id, requested_url, platform, unnest(items) as i, generate_subscripts(items, 1) as p from {_ONCE}) where i.url is not null),
+        r as (select *, {_CANON} as canonical, {_HOST} as host, {_PATH} as path, {_ROUTE} as route from (select *, target as u from i)), a as (select distinct requested_url, {_CANON} as self from (select *, requested_url as u from i)),
+        k as (select r.*, row_number() over (partition by r.requested_url, canonical order by pos) as n from r left join a on a.requested_url = r.requested_url where canonical is not null and exists (select 1 from (select site_id, lower(unnest(domains)) as d from sites) s where s.site_id = r.platform and (r.host = d or ends_with(r.host, '.' || d)))
+          and not regexp_matches(path, '(?i)/(login|signin|signup|privacy|terms|help|about)([/?#]|$)') and not (path in ('', '/') and route = '') and canonical <> coalesce(self, ''))
+        select platform, count(*) as n_links, count(distinct canonical) as n_pages from k where n = 1 group by 1""",
+}

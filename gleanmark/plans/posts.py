@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gleanmark.functions import url
 from gleanmark.operators import media, merge, report
-from gleanmark.plans import pages
+from gleanmark.plans import archives, pages
 from gleanmark.sources.tables import table
 
 
@@ -74,8 +74,10 @@ def all_entries(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def collection_states(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "batch_rows").dropDuplicates(["batch_file", "idx"]).withColumn("downloads", F.lit(None).cast("string"))
-    return report.collection_states(rows.where("lane = 'murmel'"), "batch_file", "status", "downloads")
+    """Batches as collections, with the states of the downloads of their records."""
+    rows = table(spark, folder, "batch_rows").dropDuplicates(["batch_file", "idx"])
+    states = archives.media_downloads(spark, folder).select("content_id", F.col("download_status").alias("downloads"))
+    return report.collection_states(rows.join(states, "content_id", "left"), "batch_file", "status", "downloads")
 
 
 QUERIES = {f.__name__: f for f in (post_accounts, post_engagement, best_streams, post_images, content_roots, public_alternates, file_links, observed_streams, capture_checks, last_redirects, all_entries, collection_states)}
@@ -105,7 +107,8 @@ SQL = {
         from {_ONCE} c left join g on g.content_id = c.content_id join k on k.content_id = c.content_id join r on r.content_id = c.content_id""",
     "last_redirects": f"select content_id, r.hop as hop, r.url as url from (select content_id, list_filter(url_check.redirects, lambda r: r.code = 301)[-1] as r from {_ONCE}) where r.url is not null",
     "all_entries": f"""select status, count(*) as n, count(title) as titled, max(t) as newest from (select status, title, captured_at as t from {_ONCE} union all select status, null, finished_at from (select distinct on (batch_file, idx) * from batch_rows order by batch_file, idx)) group by 1""",
-    "collection_states": "select batch_file, case when bool_and(coalesce(lower(trim(status)) in ('captured', 'completed'), false)) then 'completed' else 'partial' end as status from (select distinct on (batch_file, idx) * from batch_rows order by batch_file, idx) where lane = 'murmel' group by 1",
+    "collection_states": f"""with d as ({archives.SQL['media_downloads']}) select batch_file, case when bool_and(coalesce(lower(trim(status)) in ('captured', 'completed'), false) and coalesce(download_status in ('downloaded', 'no_media'), true)) then 'completed' else 'partial' end as status
+        from (select distinct on (batch_file, idx) * from batch_rows order by batch_file, idx) b left join d on d.content_id = b.content_id group by 1""",
     "public_alternates": "select * from (values (0, 'https://www.douyin.com/video/123'), (1, 'https://weibo.com/12/aB3'), (2, 'https://old.reddit.com/r/x/comments/1/'), (3, null), (4, null)) v(case_no, alternate)",
     "file_links": "select distinct file_path, array_to_string(list_transform(string_split(file_path, '/'), lambda p: url_encode(p)), '/') as link from manifest",
     "observed_streams": f"select content_id, case when content_id + 1 > 1 then 'high' else 'low' end as url, greatest(content_id + 1, 1) as bitrate from {_ONCE}",
