@@ -95,13 +95,23 @@ def top_per(rows: DataFrame, keys: list[str], order: list[Column], k: int, name:
     return rows.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col(name) <= k)
 
 
+def _spells(requests: DataFrame, keys: list[str], at: str, gap: int) -> DataFrame:
+    """``keys, _spell, _t``: the sorted times of each key, cut wherever no request came for ``gap``: what went before can't
+    matter after that, so a busy key is folded in as many pieces as it has pauses."""
+    rows = requests.where(F.col(at).isNotNull()).select(*keys, F.col(at).cast("long").alias("_at"))
+    of_key = W.partitionBy(*keys).orderBy("_at")
+    pause = F.coalesce(F.col("_at") - F.lag("_at").over(of_key) >= gap, F.lit(False)).cast("long")
+    spells = rows.withColumn("_pause", pause).withColumn("_spell", F.sum("_pause").over(of_key.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    return spells.groupBy(*keys, "_spell").agg(F.array_sort(F.collect_list("_at")).alias("_t"))
+
+
 def request_windows(requests: DataFrame, keys: list[str], at: str, length: int, most: int) -> DataFrame:
     """Anchored windows of requests: ``n_windows, n_rejected`` of each key.
 
     A window opens at the first request after the last one ended and takes ``most`` requests; more are rejected until it
-    ends. ``at`` is a whole number, ``length`` in the same unit. The sorted times of a key are folded in one expression.
+    ends. ``at`` is a whole number, ``length`` in the same unit. The sorted times of a key are folded in one expression for
+    each spell without a pause of a window's length, after which a new window opens in any case.
     """
-    times = F.array_sort(F.collect_list(F.col(at).cast("long")))
     zero = F.struct(F.lit(None).cast("long").alias("opened"), F.lit(0).alias("used"), F.lit(0).alias("windows"), F.lit(0).alias("rejected"))
 
     def step(s: Column, t: Column) -> Column:
@@ -114,16 +124,16 @@ def request_windows(requests: DataFrame, keys: list[str], at: str, length: int,
             (s["rejected"] + (~opens & full).cast("int")).alias("rejected"),
         )
 
-    per = requests.where(F.col(at).isNotNull()).groupBy(*keys).agg(times.alias("_t"))
-    return per.select(*keys, F.aggregate("_t", zero, step).alias("_s")).select(*keys, F.col("_s.windows").alias("n_windows"), F.col("_s.rejected").alias("n_rejected"))
+    per = _spells(requests, keys, at, length).select(*keys, F.aggregate("_t", zero, step).alias("_s"))
+    return per.groupBy(*keys).agg(F.sum("_s.windows").cast("int").alias("n_windows"), F.sum("_s.rejected").cast("int").alias("n_rejected"))
 
 
 def paced(requests: DataFrame, keys: list[str], at: str, interval: int, most_delay: int) -> DataFrame:
     """Requests that keep a distance: ``n_sent, n_refused, total_delay`` of each key.
 
-    Each reserves the next free time; one that would wait longer than ``most_delay`` is refused and reserves nothing.
+    Each reserves the next free time; one that would wait longer than ``most_delay`` is refused and reserves nothing. After a
+    pause of delay and interval the time is free in any case, so each spell is folded by itself.
     """
-    times = F.array_sort(F.collect_list(F.col(at).cast("long")))
     zero = F.struct(F.lit(None).cast("long").alias("free"), F.lit(0).alias("sent"), F.lit(0).alias("refused"), F.lit(0).cast("long").alias("delay"))
 
     def step(s: Column, t: Column) -> Column:
@@ -136,8 +146,8 @@ def paced(requests: DataFrame, keys: list[str], at: str, interval: int, most_del
             (s["delay"] + F.when(sent, wait).otherwise(F.lit(0).cast("long"))).alias("delay"),
         )
 
-    per = requests.where(F.col(at).isNotNull()).groupBy(*keys).agg(times.alias("_t"))
-    return per.select(*keys, F.aggregate("_t", zero, step).alias("_s")).select(*keys, F.col("_s.sent").alias("n_sent"), F.col("_s.refused").alias("n_refused"), F.col("_s.delay").alias("total_delay"))
+    per = _spells(requests, keys, at, most_delay + interval).select(*keys, F.aggregate("_t", zero, step).alias("_s"))
+    return per.groupBy(*keys).agg(F.sum("_s.sent").cast("int").alias("n_sent"), F.sum("_s.refused").cast("int").alias("n_refused"), F.sum("_s.delay").alias("total_delay"))
 
 
 def cooldowns(requests: DataFrame, keys: list[str], order: str, at: str, limited: Column, cooldown: int, asked: Column | None = None) -> DataFrame:

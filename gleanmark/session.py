@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -30,8 +32,9 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """Folder that all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as in tests on one
-    machine, a temporary folder is made and set as the checkpoint folder.
+    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset and Spark runs on one machine, as in tests, a
+    temporary folder is made, set as the checkpoint folder and removed at the end; a cluster without one is an error, since
+    its executors share no folder of their own.
     """
     named = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY, None)
     if named:
@@ -39,9 +42,12 @@ def shared_folder(spark: SparkSession) -> str:
     made = spark.sparkContext._jsc.sc().getCheckpointDir()
     if made.isDefined():
         return made.get().rstrip("/")
-    folder = "file://" + tempfile.mkdtemp(prefix="gleanmark-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
+    place = tempfile.mkdtemp(prefix="gleanmark-")
+    atexit.register(shutil.rmtree, place, ignore_errors=True)
+    spark.sparkContext.setCheckpointDir("file://" + place)
+    return "file://" + place
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -49,9 +55,23 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/staged-{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
+    _STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Tables that this process has staged.
+_STAGED: list[str] = []
+
+
+def drop_staged(spark: SparkSession) -> int:
+    """Deletes the tables staged so far by this process, and says how many; results that weren't written yet need them."""
+    files, done = spark.sparkContext._jvm.org.apache.hadoop.fs, 0
+    while _STAGED:
+        path = files.Path(_STAGED.pop())
+        done += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return done
+
+
 def bounded_sample(df: DataFrame, key: str, rows: int) -> list:
     """At most ``rows`` rows, those that come first by the hash of ``key``: the same for the same data in any layout.
 

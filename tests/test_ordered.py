@@ -88,3 +88,26 @@ def test_closure_ends_in_cycles(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), (None, "x")], "s string, t string")
     got = {(r.source, r.target): r.hops for r in search.closure(edges, "s", "t", 5).collect()}
     assert got[("a", "d")] == 3 and got[("a", "b")] == 1 and ("a", "a") not in got and len(got) == 9
+
+
+def test_a_busy_key_is_numbered_and_folded_in_pieces(spark):
+    """One key has most of the rows: numbers run on over ranges, and windows are folded between pauses."""
+    rows = spark.range(3000).select(F.when(F.col("id") % 10 == 0, F.lit(None)).otherwise("hot").cast("string").alias("k"), "id", (F.col("id") * 7 + F.when(F.col("id") > 1500, 100_000).otherwise(0)).alias("at"))
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        got = ordered.numbered(rows, ["k"], ["id"], "n").toPandas()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    for _, own in got.groupby(got["k"].fillna("")):
+        assert own.sort_values("id")["n"].tolist() == list(range(1, len(own) + 1))
+    times, windows, rejected = sorted(got.loc[got["k"] == "hot", "at"]), 0, 0
+    opened, used = None, 0
+    for t in times:
+        if opened is None or t - opened >= 100:
+            opened, used, windows = t, 1, windows + 1
+        elif used >= 5:
+            rejected += 1
+        else:
+            used += 1
+    out = ordered.request_windows(rows.where("k = 'hot'"), ["k"], "at", 100, 5).first()
+    assert (out.n_windows, out.n_rejected) == (windows, rejected) and rejected > 0

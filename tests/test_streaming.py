@@ -43,14 +43,19 @@ def test_unique_and_windowed(spark, tmp_path):
 
 
 def test_upserts_count_once_when_run_again(spark, tmp_path):
-    write = state.upserting(str(tmp_path / "t"), "id", "at", ["v"], "seen")
+    folder = str(tmp_path / "t")
+    write = state.upserting(folder, "id", "at", ["v"], "seen", buckets=4)
     schema = "id string, at int, v string, seen int"
     first, second = spark.createDataFrame([("a", 1, "x", None), ("a", 2, None, 0), ("b", 1, "y", 3)], schema), spark.createDataFrame([("a", 3, "z", 2)], schema)
+    assert state.current(spark, folder) is None
     write(first, 0)
     write(second, 1)
     write(second, 1)
-    got = {r.id: (r.at, r.v, r.observations) for r in spark.read.parquet(str(tmp_path / "t/version=1")).collect()}
-    assert got == {"a": (3, "z", 4), "b": (1, "y", 3)}
+    assert {r.id: (r.at, r.v, r.observations) for r in state.current(spark, folder).collect()} == {"a": (3, "z", 4), "b": (1, "y", 3)}
+    # A stream that begins again at batch 0 goes on from there; buckets that it doesn't touch aren't written.
+    state.upserting(folder, "id", "at", ["v"], "seen", run=1, buckets=4)(second, 0)
+    assert {r.id: r.observations for r in state.current(spark, folder).collect()} == {"a": 6, "b": 3}
+    assert len(list((tmp_path / "t" / "version=1000000000").glob("bucket=*"))) == 1
 
 
 def test_evidence_survives_broken_files(spark, tmp_path):
