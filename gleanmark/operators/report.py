@@ -67,14 +67,17 @@ def source_sections(content: DataFrame) -> DataFrame:
     """
     from gleanmark.operators.nested import parsed_json
 
-    outer = parsed_json(F.col("post"))
-    rows = content.withColumn("_outer", outer)
+    # A record may come without a post or comments of its own.
+    for name in ("post", "comments"):
+        content = content if name in content.columns else content.withColumn(name, F.lit(None).cast("string"))
+    rows = content.withColumn("_outer", parsed_json(F.col("post")))
     wrapped = F.try_variant_get("_outer", "$.post", "variant")
     rows = rows.withColumn("_post", F.coalesce(F.when(F.schema_of_variant(wrapped).startswith("OBJECT"), wrapped), F.col("_outer")))
     paragraph = lambda t: F.concat(F.lit("<p>"), text.escape_html(t), F.lit("</p>"))
     paragraphs = F.array_join(F.transform(report_texts(F.col("items"), F.col("text")), paragraph), "")
     link = F.when(url.is_page(F.col("canonical_url")), F.concat(F.lit('<a href="'), text.escape_html(F.col("canonical_url")), F.lit('">'), text.escape_html(F.col("canonical_url")), F.lit("</a>"))).otherwise(F.lit(""))
-    of_item = F.get(F.filter(F.transform("items", lambda i: F.trim(i["author"])), lambda a: F.coalesce(a, F.lit("")) != ""), F.lit(0))
+    signed = "author" in content.schema["items"].dataType.elementType.names
+    of_item = F.get(F.filter(F.transform("items", lambda i: F.trim(i["author"])), lambda a: F.coalesce(a, F.lit("")) != ""), F.lit(0)) if signed else F.lit(None).cast("string")
     name = F.coalesce(F.when(F.trim("author") != "", F.trim("author")), of_item)
     author = F.when(name.isNotNull(), F.concat(F.lit("<address>"), text.escape_html(name), F.lit("</address>"))).otherwise(F.lit(""))
     one = lambda k, label: F.when(F.try_variant_get("_post", f"$.engagement.{k}.value", "double").isNotNull(), F.concat(F.lit(label + " "), F.try_variant_get("_post", f"$.engagement.{k}.raw", "string")))

@@ -72,10 +72,14 @@ def test_reports(spark):
     df = spark.createDataFrame(rows, schema)
     sections = report.source_sections(df)
     got = {r.content_id: r.section for r in sections.collect()}
-    assert got[0] == '<section><h2>a b</h2><a href="https://e.org/?a=1&amp;b=2">https://e.org/?a=1&amp;b=2</a><address>x</address><p>one</p></section>'
+    assert got[0] == '<section><h2>a b</h2><a href="https://e.org/?a=1&amp;b=2">https://e.org/?a=1&amp;b=2</a><address>x</address><p>one</p><blockquote>no</blockquote></section>'
     assert got[9].endswith("<p>only &amp; body</p></section>") and "href" not in got[9]
     pages = report.report_pages(sections, df.select("content_id", "platform"), "platform", 2).collect()
     assert sorted((p.platform, p.page_no, p.n_sources) for p in pages) == [("p", 1, 2), ("p", 2, 2), ("p", 3, 1), ("q", 1, 1)]
+    runs = spark.createDataFrame([("p", "a<b", 3)], "platform string, search_query string, found int")
+    whole = {p.platform: p.document for p in report.report_pages(sections, df.select("content_id", "platform", "title"), "platform", 10, runs).collect()}
+    assert whole["p"].startswith('<nav><a href="#source-1">1. a&lt;b</a>') and "<main><table><tr><td>a&lt;b</td><td>3</td></tr></table><section>" in whole["p"]
+    assert whole["q"].startswith("<main><section>")
 
 
 def test_small_helpers(spark):
