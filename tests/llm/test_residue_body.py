@@ -289,6 +289,18 @@ def test_blank_and_default_slots_are_found_by_their_template(spark):
     assert found == {(0, "aligned"), (1, "aligned"), (2, "aligned"), (10, "blank"), (11, "blank")}
 
 
+def many_templates():
+    """Two templates of three records each with a slot filled by a name, and for each a record where it is blank."""
+    starts = ["thank you for reading about", "many visitors of our shop asked for"]
+    rows = [{"content_id": 10 * t + k, "lang": "en", "text": f"Dear {{{{ {n} }}}}, {start} @@{n}@@ in our archive."} for t, start in enumerate(starts) for k, n in enumerate("abc")]
+    return rows + [{"content_id": 100 + t, "lang": "en", "text": f"Dear , {start} in our archive."} for t, start in enumerate(starts)] + [{"content_id": 200, "lang": "en", "text": REAL}]
+
+
+def test_blanks_are_looked_for_in_more_templates_than_one_pass_holds(spark, monkeypatch):
+    monkeypatch.setattr(residue, "MOST_FRAMES", 1)
+    assert {r.content_id for r in residue.residue(made(spark, many_templates())).collect()} == {0, 1, 2, 10, 11, 12, 100, 101}
+
+
 def test_notices_count_by_their_share_whatever_the_length():
     notice = "Access denied. " * 3
     assert residue.judge(notice.strip())[2] == "says" and residue.judge((notice * 40).strip())[2] == "says"
