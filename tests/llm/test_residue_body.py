@@ -301,6 +301,11 @@ def test_blanks_are_looked_for_in_more_templates_than_one_pass_holds(spark, monk
     assert {r.content_id for r in residue.residue(made(spark, many_templates())).collect()} == {0, 1, 2, 10, 11, 12, 100, 101}
 
 
+def test_languages_leave_out_blanks_of_every_template(spark, monkeypatch):
+    monkeypatch.setattr(residue, "MOST_FRAMES", 1)
+    assert {r.content_id for r in language.languages(made(spark, many_templates())).collect()} == {200}
+
+
 def test_notices_count_by_their_share_whatever_the_length():
     notice = "Access denied. " * 3
     assert residue.judge(notice.strip())[2] == "says" and residue.judge((notice * 40).strip())[2] == "says"
