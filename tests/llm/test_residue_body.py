@@ -306,6 +306,14 @@ def test_languages_leave_out_blanks_of_every_template(spark, monkeypatch):
     assert {r.content_id for r in language.languages(made(spark, many_templates())).collect()} == {200}
 
 
+def test_bodies_leave_out_blanks_of_every_template(spark, monkeypatch):
+    monkeypatch.setattr(residue, "MOST_FRAMES", 1)
+    r = np.random.default_rng(3)
+    rows = many_templates() + [{"content_id": 300 + k, "lang": "en", "text": own_text(r)} for k in range(30)]
+    rows = [x | {"text": f"Sitemap | Contact | Imprint\n{x['text']}"} for x in rows]
+    assert {r.content_id for r in mainbody.boilerplate_lines(made(spark, rows)).collect()} == {200, *range(300, 330)}
+
+
 def test_notices_count_by_their_share_whatever_the_length():
     notice = "Access denied. " * 3
     assert residue.judge(notice.strip())[2] == "says" and residue.judge((notice * 40).strip())[2] == "says"
