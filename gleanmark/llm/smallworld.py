@@ -53,18 +53,31 @@ class Graph:
         # A chain through all nodes, so that each can be reached even among equal vectors.
         return np.concatenate([own, back, far, ((np.arange(n, dtype=np.int32) + 1) % n)[:, None]], axis=1)
 
+    def members(self, cells: list[np.ndarray], most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (query, node) of the nodes of each query's cells; of a cell at most ``most``, spread over it."""
+        query, flat = np.repeat(np.arange(len(cells)), [len(c) for c in cells]), np.concatenate(cells) if len(cells) else np.zeros(0, np.int64)
+        first = np.searchsorted(self.cells, flat)
+        size = np.searchsorted(self.cells, flat, side="right") - first
+        take = size if most is None else np.minimum(size, most)
+        pair = np.repeat(np.arange(len(flat)), take)
+        place = np.arange(len(pair)) - (np.cumsum(take) - take)[pair]
+        if most is not None:
+            place = place * (size - 1)[pair] // np.maximum(take - 1, 1)[pair]
+        return query[pair], self.at[first[pair] + place].astype(np.int64)
+
     def starts(self, cells: list[np.ndarray], most: int = 12) -> np.ndarray:
         """Nodes to start from: some of each query's cells, and some that are spread over the graph."""
         n = len(self.x)
         spread = np.unique(np.linspace(0, n - 1, min(n, 4)).astype(np.int32))
         out = np.full((len(cells), most + len(spread)), -1, dtype=np.int32)
         out[:, most:] = spread
-        for q, own in enumerate(cells):
-            first, stop = np.searchsorted(self.cells, own), np.searchsorted(self.cells, own, side="right")
-            found = [self.at[a + np.unique(np.linspace(0, b - a - 1, min(b - a, most)).astype(np.int64))] for a, b in zip(first, stop) if b > a]
-            if found:
-                nodes = np.unique(np.concatenate(found))[:: max(1, sum(map(len, found)) // most)][:most]
-                out[q, : len(nodes)] = nodes
+        query, node = self.members(cells, most)
+        step = np.maximum(1, np.bincount(query, minlength=len(cells)) // most)
+        met = np.unique(query * n + node)
+        query, node = met // n, met % n
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        kept = (place % step[query] == 0) & (place // step[query] < most)
+        out[query[kept], (place // step[query])[kept]] = node[kept]
         return out
 
     def search(self, queries: np.ndarray, beam: int, starts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
