@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanmark.functions.url import with_page_address
-from gleanmark.llm.mainbody import SAMPLE_PAGES, sampled, trained
+from gleanmark.llm.mainbody import train
 from gleanmark.llm.residue import residue
 from gleanmark.llm.shingles import Words, bands, shingles, signature
 from gleanmark.llm.smallworld import Graph, unit
@@ -44,7 +44,7 @@ WORDING = 0.8
 #: share two thirds of their rare words, and so a key with probability 0.94; those with 0.6 of their shingles in common share
 #: one with 0.96 by these alone. Unrelated bodies share one by chance with about the square of the few shingles they share.
 RARE_KEYS, SHINGLE_KEYS, KEY_ROWS = 5, 7, 2
-#: Words that more of the sampled pages than this share have aren't rare.
+#: Words that more of all bodies of the first batch than this share have aren't rare.
 COMMON = 0.005
 #: Weights of the halves of a sketch (rare words; shingles), and the cosine from which a pair is reranked: unrelated bodies
 #: have 0 with a deviation of 0.1, those with each fifth word changed 0.5, and 0.38 if a tenth changed and all of it is rare.
@@ -83,8 +83,24 @@ def units(words: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate([words[~han], pairs[han[:-1] & han[1:]]]))
 
 
+def stored(words: np.ndarray) -> np.ndarray:
+    """32 bits of each word's hash as a body is stored: the last one says whether it is a Han character."""
+    return ((words >> np.uint64(33) << np.uint64(1)) | (words & np.uint64(1))).astype(np.uint32)
+
+
+def mixed(words: np.ndarray) -> np.ndarray:
+    """64 bits from the 32 of each stored word, spread over all bits; the last one is kept."""
+    wide = words.astype(np.uint64)
+    spread = (wide >> np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    spread ^= spread >> np.uint64(32)
+    spread *= np.uint64(0xD6E8FEB86659FD93)
+    spread ^= spread >> np.uint64(29)
+    return (spread & ~np.uint64(1)) | (wide & np.uint64(1))
+
+
 def routing(words: np.ndarray, common: np.ndarray) -> tuple[bytes, list[int]]:
-    """Sketch and routing keys of a body, from the hashes of its words and those of common words (sorted)."""
+    """Sketch and routing keys of a body, from the hashes of its words, whole or as stored, and the common units (sorted)."""
+    words = mixed(words if words.dtype == np.uint32 else stored(words))
     rare = units(words)
     if len(common):
         rare = rare[common[np.minimum(np.searchsorted(common, rare), len(common) - 1)] != rare]
@@ -104,28 +120,80 @@ def same_wording(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _bodies(pages: DataFrame, model) -> DataFrame:
-    """``content_id, batch_no, body, size, vector, keys, words``: class, number of words, sketch, routing keys and words (32 bits of
-    the hash of each) of each body with words."""
+    """``content_id, batch_no, body, size, words``: class, number of words and words (32 bits of the hash of each) of each body
+    with words."""
     kind = dict(pages.dtypes)["content_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, (body, common) = Words(), model.value
+        cache, body = Words(), model.value[0]
         for batch in batches:
             ids, nos, platforms, titles, texts = (batch.column(k).to_pylist() for k in range(5))
             for at in range(0, len(ids), 1_000):
-                part, out = slice(at, at + 1_000), [[], [], [], [], [], [], []]
+                part, out = slice(at, at + 1_000), [[], [], [], [], []]
                 for key, no, lines in zip(ids[part], nos[part], body.bodies(texts[part], platforms[part], titles[part])):
                     words = cache.hashes("\n".join(lines))
                     if not len(words):
                         continue
-                    raw = words.tobytes()
-                    row = (key, no, int.from_bytes(xxhash.xxh3_64_digest(raw), "big", signed=True), len(words), *routing(words, common), (words >> np.uint64(32)).astype(np.uint32).tobytes())
+                    row = (key, no, int.from_bytes(xxhash.xxh3_64_digest(words.tobytes()), "big", signed=True), len(words), stored(words).tobytes())
                     for column, x in zip(out, row):
                         column.append(x)
-                kinds = (batch.schema.field(0).type, batch.schema.field(1).type, pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["content_id", "batch_no", "body", "size", "vector", "keys", "words"])
+                kinds = (batch.schema.field(0).type, batch.schema.field(1).type, pa.int64(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["content_id", "batch_no", "body", "size", "words"])
+
+    return pages.mapInArrow(run, f"content_id {kind}, batch_no int, body long, size int, words binary")
+
 
-    return pages.mapInArrow(run, f"content_id {kind}, batch_no int, body long, size int, vector binary, keys array<long>, words binary")
+def _routed(bodies: DataFrame, common: np.ndarray) -> DataFrame:
+    """``body, batch_no, size, vector, keys`` of ``body, batch_no, size, words``."""
+    shared = bodies.sparkSession.sparkContext.broadcast(common)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [routing(np.frombuffer(w.as_py(), np.uint32), shared.value) for w in batch.column(3)]
+            columns = [batch.column(0), batch.column(1), batch.column(2), pa.array([v for v, _ in found], pa.binary()), pa.array([k for _, k in found], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["body", "batch_no", "size", "vector", "keys"])
+
+    return bodies.select("body", "batch_no", "size", "words").mapInArrow(run, "body long, batch_no int, size int, vector binary, keys array<long>")
+
+
+def common_units(bodies: DataFrame) -> np.ndarray:
+    """Sorted hashes of the units that more than ``COMMON`` of all bodies have, exactly.
+
+    A unit that is common over all bodies is common in those of at least one task. Each task names such units, and only they
+    are counted over all bodies.
+    """
+    context = bodies.sparkSession.sparkContext
+    words = bodies.select("words")
+
+    def counts(batch: pa.RecordBatch, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        own = [units(mixed(np.frombuffer(w.as_py(), np.uint32))) for w in batch.column(0)]
+        every = np.concatenate(own) if own else np.zeros(0, np.uint64)
+        if known is not None:
+            every = every[known[np.minimum(np.searchsorted(known, every), len(known) - 1)] == every]
+        return np.unique(every, return_counts=True)
+
+    def table(values: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n.astype(np.int64))], names=["unit", "n"])
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values, n, total = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+        for batch in batches:
+            more, times = counts(batch)
+            values, at = np.unique(np.concatenate([values, more]), return_inverse=True)
+            n, total = np.bincount(at, np.concatenate([n, times]), len(values)).astype(np.int64), total + batch.num_rows
+        yield table(values[n > COMMON * total], n[n > COMMON * total])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield table(*counts(batch, shared.value))
+
+    candidates = np.array([r.unit for r in words.mapInArrow(named, "unit long, n long").select("unit").distinct().collect()], np.int64).view(np.uint64)
+    if not len(candidates):
+        return candidates
+    shared = context.broadcast(np.sort(candidates))
+    least = max(2, COMMON * bodies.count())
+    found = words.mapInArrow(counted, "unit long, n long").groupBy("unit").agg(F.sum("n").alias("n")).where(F.col("n") > least).collect()
+    return np.sort(np.array([r.unit for r in found], np.int64).view(np.uint64))
 
 
 def _vectors(column: pd.Series) -> np.ndarray:
@@ -154,9 +222,10 @@ def _visited(visitors: pd.DataFrame, shards: pd.DataFrame) -> pd.DataFrame:
     q, n = graph.above(vectors, FLOOR, cells)
     # Below the higher floor a pair must have a key in common.
     far = np.einsum("ij,ij->i", vectors[q], graph.x[n]) < FAR_FLOOR
-    mates = [np.unique(np.concatenate([graph.at[x:y] for x, y in zip(np.searchsorted(graph.cells, c), np.searchsorted(graph.cells, c, side="right"))])) for c in cells]
-    known = np.concatenate([k * len(bodies) + m.astype(np.int64) for k, m in enumerate(mates)])
-    near = ~far | np.isin(q * len(bodies) + n, known)
+    asking, place = np.unique(q[far], return_inverse=True)
+    mate, node = graph.members([cells[k] for k in asking])
+    near = ~far
+    near[far] = np.isin(place * len(bodies) + n[far], mate * len(bodies) + node)
     q, n = q[near], n[near]
     a, b = first["body"].to_numpy()[q], bodies[n]
     sizes = first["size"].to_numpy()[q], np.frombuffer(shards["sizes"].iloc[0], np.int32)[n]
@@ -209,7 +278,8 @@ class HistoryIndex:
     """The archive of what was accepted, kept in ``folder`` between runs and batches.
 
     ``add`` takes the next batches and returns the records that repeat accepted ones. A folder that holds an index is
-    opened, an empty one is begun with the first batch, on a bounded sample of whose pages the model is fitted.
+    opened, an empty one is begun with the first batch: the model of main bodies is trained on a bounded sample of its pages,
+    common words are counted over all of its bodies.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
@@ -245,14 +315,17 @@ class HistoryIndex:
         if cases is None:
             cases = residue(content.select("content_id", "text"), ("text",)).select("content_id")
         part = content.select("content_id", "batch_no", "canonical_url", "platform", "title", "text").join(staged(cases.select("content_id"), "left-out"), "content_id", "left_anti")
-        if self.model is None:
-            self.model = fitted(part)
+        first = self.model is None
+        if first:
+            self.model = train(part), np.zeros(0, np.uint64)
         shared = self.spark.sparkContext.broadcast(self.model)
         stem = f"v{self.version + 1}-{uuid.uuid4().hex[:8]}"
         bodies = self._write(_bodies(part.where("text is not null and text <> ''").select("content_id", "batch_no", "platform", "title", "text"), shared), f"{stem}/bodies")
         self.texts.append(f"{stem}/bodies")
+        if first:
+            self.model = self.model[0], common_units(bodies)
         older = dict(self.segments)
-        new = self._index(stem, bodies.groupBy("body").agg(F.min("batch_no").alias("segment"), F.first("size").alias("size"), F.first("vector").alias("vector"), F.first("keys").alias("keys")))
+        new = self._index(stem, _routed(bodies, self.model[1]).groupBy("body").agg(F.min("batch_no").alias("segment"), F.first("size").alias("size"), F.first("vector").alias("vector"), F.first("keys").alias("keys")))
         near = None if all_accepted else staged(self._near(new, older, stem), "near")
         members = self._members(part, bodies, manifest, sites)
         if all_accepted:
@@ -361,18 +434,6 @@ class HistoryIndex:
         self._index(f"c{self.version + 1}-{uuid.uuid4().hex[:8]}", rows)
 
 
-def fitted(pages: DataFrame, sample: int = SAMPLE_PAGES) -> tuple:
-    """Model of main bodies and sorted hashes of common words, both from the ``sample`` pages that come first by their hash."""
-    rows = sampled(pages, sample)
-    model, cache = trained(rows), Words()
-    lines = model.bodies([r.text for r in rows], [r.platform for r in rows], [r.title for r in rows])
-    found = [units(w) for w in (cache.hashes("\n".join(body)) for body in lines) if len(w)]
-    if not found:
-        return model, np.zeros(0, np.uint64)
-    words, counts = np.unique(np.concatenate(found), return_counts=True)
-    return model, words[counts > max(2, COMMON * len(found))]
-
-
 def repeats(content: DataFrame, manifest: DataFrame, sites: DataFrame, folder: str | None = None) -> DataFrame:
     """``content_id_a, content_id_b``: each repeated record with the earliest accepted record that it repeats, smaller id first.
 

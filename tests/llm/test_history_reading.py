@@ -1,11 +1,12 @@
 """Repeats against a sequential brute force, graphs against exhaustive search, and reading levels on held-out texts."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 
-from gleanmark.llm import history, reading, shingles, smallworld
+from gleanmark.llm import history, mainbody, reading, shingles, smallworld
 
 CONTENT = "content_id long, batch_no int, canonical_url string, platform string, title string, text string, address string, class long"
 MANIFEST = "content_id long, primary_file string, file_path string, sha256 string, body long"
@@ -169,6 +170,23 @@ def test_hot_keys_lose_no_pair(spark, monkeypatch, tmp_path):
     assert len(hashed) == 160 and len(expected) > 5_000 and pairs <= expected and len(pairs) >= 0.9 * len(expected)
 
 
+def test_common_words_are_counted_over_all_bodies(spark, monkeypatch, tmp_path):
+    """Five pages train the model of bodies; which words are common all pages say, in whatever task they lie."""
+    r = random.Random(14)
+    sampled = mainbody.bounded_sample
+    monkeypatch.setattr(mainbody, "bounded_sample", lambda df, key, rows: sampled(df, key, 5))
+    monkeypatch.setattr(history, "COMMON", 0.2)
+    # The first word is in a third of all pages, all of them neighbours; the second in fewer than a fifth.
+    rows = [(k, 0, None, "s", None, body(r, 20)[:-1] + (" alpha" if k < 20 else "") + (" beta" if k % 6 == 0 else "") + ".") for k in range(60)]
+    index = history.HistoryIndex(spark, str(tmp_path / "common"))
+    added(index, spark, rows, all_accepted=True)
+    stored = [np.frombuffer(x.words, np.uint32) for x in spark.read.parquet(f"{index.folder}/{index.texts[0]}").collect()]
+    counts = Counter(u for w in stored for u in set(history.units(history.mixed(w)).tolist()))
+    assert len(stored) == 60 and index.model[1].tolist() == sorted(u for u, n in counts.items() if n > 12)
+    unit = lambda w: history.mixed(history.stored(shingles.Words().hashes(w)))[0]
+    assert unit("alpha") in index.model[1] and unit("beta") not in index.model[1]
+
+
 def test_graphs_find_what_an_exhaustive_search_finds():
     r = np.random.default_rng(4)
     base = r.normal(size=(260, 24))
