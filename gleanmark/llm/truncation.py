@@ -187,6 +187,28 @@ def _scan(pages: DataFrame, model) -> DataFrame:
     return pages.mapInArrow(run, _SCHEMA.format(kind=kind))
 
 
+def endings(pages: DataFrame, body: BodyModel) -> dict[tuple[bool, bool, int], tuple[int, int]]:
+    """Endings of whole body lines by their form, as ``line_endings`` counts them, over all pages."""
+    shared = pages.sparkSession.sparkContext.broadcast(body)
+    names, kinds = ["han", "entry", "size", "ended", "places"], [pa.bool_(), pa.bool_(), pa.int32(), pa.int64(), pa.int64()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ended, places = Counter(), Counter()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1_000):
+                platforms, titles, texts = (batch.column(k).slice(at, 1_000).to_pylist() for k in range(3))
+                read = [shared.value.read(*row) for row in zip(texts, platforms, titles)]
+                for form, (a, b) in mainbody.line_endings(read, shared.value.boilerplate(read), titles).items():
+                    ended[form] += a
+                    places[form] += b
+        rows = [(*form, ended[form], n) for form, n in places.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
+
+    counts = pages.select("platform", "title", "text").mapInArrow(run, "han boolean, entry boolean, size int, ended long, places long")
+    total = counts.groupBy("han", "entry", "size").agg(F.sum("ended").alias("ended"), F.sum("places").alias("places")).collect()
+    return {(r.han, r.entry, r.size): (r.ended, r.places) for r in total}
+
+
 def _verdicts(scan: DataFrame) -> DataFrame:
     """``word, open_word, seen``: whether a closing word shows a cut, from counts over the whole corpus."""
     words = scan.where("what = 'word'").groupBy("word").agg(F.sum("attested").alias("seen"), F.sum("closing").alias("closing"))
@@ -322,7 +344,10 @@ def ends(content: DataFrame) -> DataFrame:
     base = content.where("content_id is not null").select("content_id", "platform", "title", F.coalesce("text", F.lit("")).alias("text"))
     cases = staged(residue(base, ("text",)).select("content_id"), "residue")
     pages = base.join(cases, "content_id", "left_anti")
-    model = content.sparkSession.sparkContext.broadcast(train(content))
+    body = train(content)
+    # How often lines of a form end so is a count over all pages, not of those that the trees were trained on.
+    body.endings = endings(pages, body)
+    model = content.sparkSession.sparkContext.broadcast(body)
     scan = staged(_scan(pages, model), "ends")
     word = staged(_verdicts(scan), "verdicts")
     line = word.where("word like '\\n%'").select(F.col("word").alias("line"), F.col("seen").alias("line_seen"))

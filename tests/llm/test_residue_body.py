@@ -314,6 +314,21 @@ def test_bodies_leave_out_blanks_of_every_template(spark, monkeypatch):
     assert {r.content_id for r in mainbody.boilerplate_lines(made(spark, rows)).collect()} == {200, *range(300, 330)}
 
 
+def test_endings_of_lines_are_counted_over_all_pages(spark, monkeypatch):
+    """Three pages train the trees; how lines of each form end, all pages say."""
+    sampled, used = mainbody.bounded_sample, []
+    monkeypatch.setattr(mainbody, "bounded_sample", lambda df, key, rows: sampled(df, key, 3))
+    scan = truncation._scan
+    monkeypatch.setattr(truncation, "_scan", lambda pages, model: used.append(model.value) or scan(pages, model))
+    r = np.random.default_rng(5)
+    rows = [{"content_id": k, "platform": "s", "title": f"Title {k}", "text": "\n".join([own_text(r), "A short heading", own_text(r)])} for k in range(40)]
+    truncation.ends(made(spark, rows).repartition(3))
+    model = used[0]
+    pages = [model.read(x["text"], x["platform"], x["title"]) for x in rows]
+    want = mainbody.line_endings(pages, model.boilerplate(pages), [x["title"] for x in rows])
+    assert want[False, False, 1][1] >= 40 and model.endings == want
+
+
 def test_notices_count_by_their_share_whatever_the_length():
     notice = "Access denied. " * 3
     assert residue.judge(notice.strip())[2] == "says" and residue.judge((notice * 40).strip())[2] == "says"
