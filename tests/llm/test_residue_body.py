@@ -314,6 +314,22 @@ def test_bodies_leave_out_blanks_of_every_template(spark, monkeypatch):
     assert {r.content_id for r in mainbody.boilerplate_lines(made(spark, rows)).collect()} == {200, *range(300, 330)}
 
 
+def odd_templates():
+    """Templates whose longest constant text has a number, or is one word, each with blank records; a slot of many characters;
+    and two slots side by side, which a record fills."""
+    forms = ["Dear {{{{ {n} }}}}, your order {k}471 of last week was sent today.", "{{{{ {n} }}}} Donaudampfschifffahrtsgesellschaft @@{n}@@ lädt zu {{{{ {n} }}}} ein", "Dear {{{{ {n} }}}} {{{{ last }}}}, welcome to our archive."]
+    rows = [{"content_id": 10 * t + k, "lang": "en", "text": form.format(n=n, k=k)} for t, form in enumerate(forms) for k, n in enumerate(["aa", "bb", "cc"])]
+    blank = ["Dear , your order 99 of last week was sent today.", "Donaudampfschifffahrtsgesellschaft lädt zu ein", "Dear , your  order 8\u00a0of last week was sent today.", "Dear ,  welcome to our archive."]
+    rows += [{"content_id": 100 + k, "lang": "en", "text": f"{REAL}\n{t}"} for k, t in enumerate(blank)]
+    rows += [{"content_id": 110, "lang": "en", "text": "Hello {{ post.author.display_name | default: reader | truncate: twenty | escape | capitalize }}, we are glad."}]
+    filled = ["Dear Nora, your order 99 of last week was sent today.", "Dear Nora Smith, welcome to our archive."]
+    return rows + [{"content_id": 200 + k, "lang": "en", "text": f"{REAL}\n{t}"} for k, t in enumerate(filled)]
+
+
+def test_languages_leave_out_blanks_of_odd_templates(spark):
+    assert {r.content_id for r in language.languages(made(spark, odd_templates())).collect()} == {200, 201}
+
+
 def test_endings_of_lines_are_counted_over_all_pages(spark, monkeypatch):
     """Three pages train the trees; how lines of each form end, all pages say."""
     sampled, used = mainbody.bounded_sample, []
