@@ -330,6 +330,18 @@ def test_languages_leave_out_blanks_of_odd_templates(spark):
     assert {r.content_id for r in language.languages(made(spark, odd_templates())).collect()} == {200, 201}
 
 
+def test_bodies_leave_out_blanks_of_odd_templates(spark):
+    r = np.random.default_rng(4)
+    rows = odd_templates() + [{"content_id": 300 + k, "lang": "en", "text": own_text(r)} for k in range(30)]
+    rows = [x | {"text": f"Sitemap | Contact | Imprint\n{x['text']}"} for x in rows]
+    assert {r.content_id for r in mainbody.boilerplate_lines(made(spark, rows)).collect()} == {200, 201, *range(300, 330)}
+
+
+def test_all_attribute_tokens_that_recur_have_odds():
+    page = [" ".join(f"w{chr(97 + k % 26)}{'abcdefghij'[k // 26 % 10]}{'klmnopqrst'[k // 260 % 10]}{'abcdefghij'[k // 2600 % 10]}{'klmnopqrst'[k // 26000]}" for k in range(110_000))]
+    assert len(mainbody.token_odds([page] * 3, [np.array([k % 2]) for k in range(3)])) > 110_000
+
+
 def test_endings_of_lines_are_counted_over_all_pages(spark, monkeypatch):
     """Three pages train the trees; how lines of each form end, all pages say."""
     sampled, used = mainbody.bounded_sample, []
