@@ -357,6 +357,43 @@ def test_endings_of_lines_are_counted_over_all_pages(spark, monkeypatch):
     assert want[False, False, 1][1] >= 40 and model.endings == want
 
 
+def test_each_page_is_read_once():
+    """Endings of lines are counted in the pass that classifies; ends are judged by them afterwards."""
+    read = []
+
+    class Body:
+        def read(self, text, platform, title):
+            read.append(text)
+            return mainbody.read_page(text, platform, title, {})
+
+        def boilerplate(self, pages):
+            return [np.zeros(len(p.lines), dtype=bool) for p in pages]
+
+    r = np.random.default_rng(9)
+    texts = ["\n".join([own_text(r), "A short heading", own_text(r)])[: -20 if k % 2 else None] for k in range(40)]
+    ended, places = truncation.Counter(), truncation.Counter()
+    ends = truncation.classified(texts, ["s"] * 40, [None] * 40, Body(), ended, places)
+    assert read == texts and [e[0] for e in ends] == ["whole", "heading"] * 20
+    pages = [mainbody.read_page(t, "s", None, {}) for t in texts]
+    want = mainbody.line_endings(pages, Body().boilerplate(pages), [None] * 40)
+    assert {f: (ended[truncation.form_number(f)], n) for f, (_, n) in want.items()} == want and len(places) == len(want)
+    assert {e[3] for e in ends[1::2]} == {truncation.form_number(mainbody.line_size(t.split("\n")[-1])) for t in texts[1::2]}
+
+
+def test_words_are_counted_as_whole_and_as_closing():
+    attested, closing = truncation.Counter(), truncation.Counter()
+    truncation.count_words("- A heading\nThe tram stops... Wait 3.5 years!\n\nand so the shop 7", False, attested, closing)
+    truncation.count_words("Notes on the tram", True, attested, closing)
+    words = {"A": 1, "heading": 1, "The": 1, "tram": 1, "stops": 1, "Wait": 1, "#": 2, "years": 1, "and": 1, "so": 1, "the": 2, "shop": 1, "Notes": 1, "on": 1, "\nA heading": 1, "\nThe tram stops... Wait 3.5 years!": 1}
+    assert {w: n for w, n in truncation.folded(attested).items() if n} == words
+    assert truncation.folded(closing) == {"stops": 1, "#": 1, "years": 1, "tram": 1}
+
+
+def test_bands_of_columns_are_those_of_each():
+    sig = np.random.default_rng(2).integers(0, 1 << 62, (32, 3)).astype(np.uint64)
+    assert all((truncation.bands(sig, 4)[:, k] == truncation.bands(np.ascontiguousarray(sig[:, k]), 4)).all() for k in range(3))
+
+
 def test_notices_count_by_their_share_whatever_the_length():
     notice = "Access denied. " * 3
     assert residue.judge(notice.strip())[2] == "says" and residue.judge((notice * 40).strip())[2] == "says"
