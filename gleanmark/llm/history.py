@@ -18,6 +18,7 @@ decided in rounds, of which each reads only what the last one left open.
 
 from __future__ import annotations
 
+import itertools
 import math
 import pickle
 import uuid
@@ -25,7 +26,6 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from gleanmark.functions.url import with_page_address
 from gleanmark.llm.mainbody import train
 from gleanmark.llm.residue import residue
-from gleanmark.llm.shingles import Words, bands, shingles, signature
-from gleanmark.llm.smallworld import Graph, unit
+from gleanmark.llm.shingles import WIDTH, Words, bands, runs, signatures
+from gleanmark.llm.smallworld import Graph, Joined, unit
 from gleanmark.session import shared_folder, staged
 
 #: Share of the words of both bodies that makes a repeat.
@@ -59,28 +59,75 @@ SHARD_NODES, HOT_KEY = 600, 600
 #: Bodies that visit a shard in one task.
 VISITORS = 4_000
 MOST_SEGMENTS = 4
+#: Bodies whose words numpy takes at once.
+AT_ONCE = 250
 #: Memberships of a task, which takes many shards one after the other.
 TASK_NODES = 40_000
 MOST_PARTITIONS = 20_000
 
 
-def sketch(*halves: np.ndarray) -> bytes:
-    """Signed sums of the hashes of each set, scaled to its weight, as bytes: inner products estimate shared elements."""
-    out = []
-    for parts, weight in zip(halves, WEIGHTS):
-        bits = np.unpackbits(parts.view(np.uint8).reshape(-1, 8), axis=1)[:, :DIMENSIONS]
-        total = 2.0 * bits.sum(axis=0) - len(parts)
-        out.append(weight * total / (np.sqrt((total**2).sum()) or 1.0))
-    return np.clip(np.round(np.concatenate(out) * 400), -127, 127).astype(np.int8).tobytes()
+#: The eight bits of a byte, most significant first, as eight bytes.
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
 
 
-def units(words: np.ndarray) -> np.ndarray:
-    """Hashes of the words of a body that may be rare; two neighbours stand for Han characters, which are few."""
+def _sums(parts: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """How many of the hashes of each set have each of the first ``DIMENSIONS`` bits."""
+    # As many bytes are added in one word as can't overflow.
+    runs = -(-sizes // 255)
+    at = np.repeat(first - 255 * (np.cumsum(runs) - runs), runs) + 255 * np.arange(runs.sum())
+    bits = _BITS[parts.view(np.uint8).reshape(-1, 8)[:, : DIMENSIONS // 8]]
+    counts = np.add.reduceat(bits, at, axis=0).view(np.uint8)
+    return np.add.reduceat(counts, np.cumsum(runs) - runs, axis=0, dtype=np.int64)
+
+
+def sketches(*halves: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Signed sums of the hashes of each set, scaled to its weight, as bytes: inner products estimate shared elements.
+
+    The sets of a half lie one after the other; its second array has their sizes.
+    """
+    out = []
+    for (parts, sizes), weight in zip(halves, WEIGHTS):
+        total, some = np.zeros((len(sizes), DIMENSIONS)), sizes > 0
+        if some.any():
+            total[some] = 2.0 * _sums(parts, (np.cumsum(sizes) - sizes)[some], sizes[some]) - sizes[some, None]
+        norm = np.sqrt((total**2).sum(axis=1, keepdims=True))
+        out.append(weight * total / np.where(norm > 0, norm, 1.0))
+    return np.clip(np.round(np.concatenate(out, axis=1) * 400), -127, 127).astype(np.int8)
+
+
+def _distinct(values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of each set, sorted, and their numbers; ``values`` holds the sets one after the other."""
+    stop = np.cumsum(sizes)
+    for a, b in zip((stop - sizes).tolist(), stop.tolist()):
+        values[a:b].sort()
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    new[(stop - sizes)[sizes > 0]] = True
+    return values[new], np.diff(np.concatenate([[0], np.cumsum(new)])[np.concatenate([[0], stop])])
+
+
+def _kept(keep: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """How many of each set are kept."""
+    return np.diff(np.concatenate([[0], np.cumsum(keep)])[np.concatenate([[0], np.cumsum(sizes)])])
+
+
+def units_of(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes of the words of each body that may be rare, and their numbers; two neighbours stand for Han
+    characters, which are few."""
     han = words & np.uint64(1) == 1
     if not han.any():
-        return np.unique(words)
-    pairs = (words[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ words[1:]
-    return np.unique(np.concatenate([words[~han], pairs[han[:-1] & han[1:]]]))
+        return _distinct(words.copy(), sizes)
+    pairs, follows = words.copy(), np.zeros(len(words), bool)
+    pairs[:-1] = (words[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ words[1:]
+    follows[:-1] = han[1:]
+    follows[np.cumsum(sizes)[sizes > 0] - 1] = False
+    keep = ~han | follows
+    return _distinct(np.where(han, pairs, words)[keep], _kept(keep, sizes))
+
+
+def units(words: np.ndarray) -> np.ndarray:
+    """The units of one body."""
+    return units_of(words, np.array([len(words)]))[0]
 
 
 def stored(words: np.ndarray) -> np.ndarray:
@@ -98,15 +145,35 @@ def mixed(words: np.ndarray) -> np.ndarray:
     return (spread & ~np.uint64(1)) | (wide & np.uint64(1))
 
 
-def routing(words: np.ndarray, common: np.ndarray) -> tuple[bytes, list[int]]:
-    """Sketch and routing keys of a body, from the hashes of its words, whole or as stored, and the common units (sorted)."""
-    words = mixed(words if words.dtype == np.uint32 else stored(words))
-    rare = units(words)
+def routings(words: np.ndarray, sizes: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sketches and routing keys (one row a body) of bodies, from the hashes of their words as stored, those of one body after
+    the other, and the common units (sorted). A body without rare words repeats a key of its shingles instead."""
+    words = mixed(words)
+    rare, rare_sizes = units_of(words, sizes)
     if len(common):
-        rare = rare[common[np.minimum(np.searchsorted(common, rare), len(common) - 1)] != rare]
-    parts = shingles(words)
-    least = np.concatenate([signature(parts, SHINGLE_KEYS * KEY_ROWS), signature(rare, RARE_KEYS * KEY_ROWS) if len(rare) else parts[:0]])
-    return sketch(rare, parts), np.unique(bands(least, KEY_ROWS)).tolist()
+        keep = common[np.minimum(np.searchsorted(common, rare), len(common) - 1)] != rare
+        rare, rare_sizes = rare[keep], _kept(keep, rare_sizes)
+    # A body that is shorter than a shingle is one.
+    stop, n = np.cumsum(sizes), np.maximum(sizes - WIDTH + 1, 1)
+    every = runs(words) if len(words) >= WIDTH else words
+    parts = every[np.minimum(np.repeat(stop - sizes - (np.cumsum(n) - n), n) + np.arange(n.sum()), len(every) - 1)]
+    for k in np.flatnonzero(sizes < WIDTH).tolist():
+        parts[n[:k].sum()] = runs(words[stop[k] - sizes[k] : stop[k]])[0]
+    parts, part_sizes = _distinct(parts, n)
+    own = signatures(parts, part_sizes, SHINGLE_KEYS * KEY_ROWS)
+    keys = bands(own, KEY_ROWS)
+    out = np.concatenate([keys, np.repeat(keys[:1], RARE_KEYS, axis=0)])
+    some = rare_sizes > 0
+    if some.any():
+        least = np.concatenate([own[:, some], signatures(rare, rare_sizes[some], RARE_KEYS * KEY_ROWS)])
+        out[:, some] = bands(least, KEY_ROWS)
+    return sketches((rare, rare_sizes), (parts, part_sizes)), out.T
+
+
+def routing(words: np.ndarray, common: np.ndarray) -> tuple[bytes, list[int]]:
+    """Sketch and routing keys of one body, from the hashes of its words, whole or as stored, and the common units (sorted)."""
+    vectors, keys = routings(words if words.dtype == np.uint32 else stored(words), np.array([len(words)]), common)
+    return vectors[0].tobytes(), np.unique(keys[0]).tolist()
 
 
 def same_wording(a: np.ndarray, b: np.ndarray) -> bool:
@@ -143,15 +210,24 @@ def _bodies(pages: DataFrame, model) -> DataFrame:
     return pages.mapInArrow(run, f"content_id {kind}, batch_no int, body long, size int, words binary")
 
 
+def _words_of(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Some bodies of a batch at a time: their rows, words one after the other, and numbers of words."""
+    for a in range(0, batch.num_rows, AT_ONCE):
+        part = batch.slice(a, AT_ONCE)
+        words = part.column(column).to_pylist()
+        yield part, np.frombuffer(b"".join(words), np.uint32), np.array(list(map(len, words)), np.int64) // 4
+
+
 def _routed(bodies: DataFrame, common: np.ndarray) -> DataFrame:
     """``body, batch_no, size, vector, keys`` of ``body, batch_no, size, words``."""
     shared = bodies.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [routing(np.frombuffer(w.as_py(), np.uint32), shared.value) for w in batch.column(3)]
-            columns = [batch.column(0), batch.column(1), batch.column(2), pa.array([v for v, _ in found], pa.binary()), pa.array([k for _, k in found], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["body", "batch_no", "size", "vector", "keys"])
+            for part, words, sizes in _words_of(batch, 3):
+                vectors, keys = routings(words, sizes, shared.value)
+                columns = [*part.columns[:3], pa.array([v.tobytes() for v in vectors], pa.binary()), pa.array([sorted(set(k)) for k in keys.tolist()], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["body", "batch_no", "size", "vector", "keys"])
 
     return bodies.select("body", "batch_no", "size", "words").mapInArrow(run, "body long, batch_no int, size int, vector binary, keys array<long>")
 
@@ -166,7 +242,7 @@ def common_units(bodies: DataFrame) -> np.ndarray:
     words = bodies.select("words")
 
     def counts(batch: pa.RecordBatch, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        own = [units(mixed(np.frombuffer(w.as_py(), np.uint32))) for w in batch.column(0)]
+        own = [units_of(mixed(words), sizes)[0] for _, words, sizes in _words_of(batch, 0)]
         every = np.concatenate(own) if own else np.zeros(0, np.uint64)
         if known is not None:
             every = every[known[np.minimum(np.searchsorted(known, every), len(known) - 1)] == every]
@@ -196,41 +272,89 @@ def common_units(bodies: DataFrame) -> np.ndarray:
     return np.sort(np.array([r.unit for r in found], np.int64).view(np.uint64))
 
 
-def _vectors(column: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(column), dtype=np.int8).reshape(len(column), -1)
-
-
-def _built(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One shard from its memberships (``segment, shard, cell, body, size, vector``): each body is one node, whatever keys it has here."""
-    nodes = pdf.sort_values("body").drop_duplicates("body", ignore_index=True)
-    graph = Graph(unit(_vectors(nodes["vector"])), pdf["cell"].to_numpy(), np.searchsorted(nodes["body"].to_numpy(), pdf["body"].to_numpy()))
-    graph.tune(FAR_FLOOR)
-    return pd.DataFrame({"segment": pdf["segment"].iloc[:1], "shard": pdf["shard"].iloc[:1], "bodies": [nodes["body"].to_numpy().astype(np.int64).tobytes()], "sizes": [nodes["size"].to_numpy().astype(np.int32).tobytes()], "graph": [graph.packed()]})
-
-
-def _visited(visitors: pd.DataFrame, shards: pd.DataFrame) -> pd.DataFrame:
-    """``body_a, body_b``: the nodes of one shard that its visitors (``body, size, vector, cell``) find, of a size that may
-    have enough of the wording of both."""
-    none = pd.DataFrame({"body_a": np.zeros(0, np.int64), "body_b": np.zeros(0, np.int64)})
-    if not len(visitors) or not len(shards):
-        return none
-    own = visitors.sort_values("body", ignore_index=True)
-    first = own.drop_duplicates("body")
-    cells = np.split(own["cell"].to_numpy(), first.index.to_numpy()[1:])
-    graph, bodies = Graph.unpacked(shards["graph"].iloc[0]), np.frombuffer(shards["bodies"].iloc[0], np.int64)
-    vectors = unit(_vectors(first["vector"]))
-    q, n = graph.above(vectors, FLOOR, cells)
-    # Below the higher floor a pair must have a key in common.
-    far = np.einsum("ij,ij->i", vectors[q], graph.x[n]) < FAR_FLOOR
-    asking, place = np.unique(q[far], return_inverse=True)
-    mate, node = graph.members([cells[k] for k in asking])
-    near = ~far
-    near[far] = np.isin(place * len(bodies) + n[far], mate * len(bodies) + node)
-    q, n = q[near], n[near]
-    a, b = first["body"].to_numpy()[q], bodies[n]
-    sizes = first["size"].to_numpy()[q], np.frombuffer(shards["sizes"].iloc[0], np.int32)[n]
-    keep = (a != b) & (np.minimum(*sizes) >= WORDING * np.maximum(*sizes))
-    return pd.DataFrame({"body_a": a[keep], "body_b": b[keep]})
+def _whole(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Rows that come sorted by their first ``by`` columns, whole groups of them at a time, and the bounds of these groups."""
+    held: list[pa.RecordBatch] = []
+    last = None
+
+    def grouped() -> tuple[pa.RecordBatch, np.ndarray]:
+        rows = pa.concat_batches(held)
+        keys = np.column_stack([rows.column(k).to_numpy(zero_copy_only=False) for k in range(by)])
+        return rows, np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(keys)]])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.column_stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(by)])
+        new = np.flatnonzero((keys != np.concatenate([keys[:1] if last is None else last[None], keys[:-1]])).any(axis=1))
+        last = keys[-1]
+        if len(new):
+            # The last group may go on in the next batch.
+            held.append(batch.slice(0, int(new[-1])))
+            yield grouped()
+            held.clear()
+            batch = batch.slice(int(new[-1]))
+        held.append(batch)
+    if held:
+        yield grouped()
+
+
+def _vectors(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.int8).reshape(len(column), -1)
+
+
+def _built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shards from their memberships (``segment, shard, cell, body, size, vector``, sorted by shard): each body is one node,
+    whatever keys it has there."""
+    for rows, bounds in _whole(batches, 2):
+        segment, shard, cell, body, size = (rows.column(k).to_numpy() for k in range(5))
+        vectors, out, graphs = unit(_vectors(rows.column(5))), [[], [], [], []], []
+        for a, b in itertools.pairwise(bounds.tolist()):
+            nodes, first, at = np.unique(body[a:b], return_index=True, return_inverse=True)
+            graphs.append(Graph(vectors[a:b][first], cell[a:b], at))
+            for column, x in zip(out, (segment[a], shard[a], nodes.tobytes(), size[a:b][first].astype(np.int32).tobytes())):
+                column.append(x)
+        Joined(graphs).tune(FAR_FLOOR)
+        columns = [pa.array(c, t) for c, t in zip([*out, [g.packed() for g in graphs]], (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["segment", "shard", "bodies", "sizes", "graph"])
+
+
+def _visited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``body_a, body_b``: the nodes of each shard that its visitors find, of a size that may have enough of the wording of both.
+
+    Rows are sorted by ``segment, shard, crowd``; a shard (``bodies, sizes, graph``) comes before its visitors (``body, size,
+    cell, vector``).
+    """
+    for rows, bounds in _whole(batches, 3):
+        visitors, shards = [], []
+        is_shard = rows.column("graph").is_valid().to_numpy(zero_copy_only=False)
+        for a, b in itertools.pairwise(bounds.tolist()):
+            if b - a < 2 or not is_shard[a]:
+                continue
+            body, size, cell = (rows.column(k).slice(a + 1, b - a - 1).to_numpy(zero_copy_only=False) for k in ("body", "size", "cell"))
+            own, first, at = np.unique(body, return_index=True, return_inverse=True)
+            cell = cell[np.argsort(at, kind="stable")]
+            cells = [cell[c:d] for c, d in itertools.pairwise([0, *np.cumsum(np.bincount(at)).tolist()])]
+            vectors = _vectors(rows.column("vector").slice(a + 1, b - a - 1).take(pa.array(first)))
+            visitors.append((own, size[first], unit(vectors), cells))
+            shards.append([rows.column(k)[a].as_py() for k in ("bodies", "sizes", "graph")])
+        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        graphs = [Graph.unpacked(g) for _, _, g in shards]
+        found = Joined(graphs).above([v[2] for v in visitors], FLOOR, [v[3] for v in visitors]) if graphs else []
+        for (body, size, vectors, cells), (bodies, sizes, _), graph, (q, n) in zip(visitors, shards, graphs, found):
+            # Below the higher floor a pair must have a key in common.
+            far = np.einsum("ij,ij->i", vectors[q], graph.x[n]) < FAR_FLOOR
+            asking, place = np.unique(q[far], return_inverse=True)
+            mate, node = graph.members([cells[k] for k in asking])
+            near = ~far
+            near[far] = np.isin(place * len(graph.x) + n[far], mate * len(graph.x) + node)
+            q, n = q[near], n[near]
+            one, other = body[q], np.frombuffer(bodies, np.int64)[n]
+            both = size[q], np.frombuffer(sizes, np.int32)[n]
+            keep = (one != other) & (np.minimum(*both) >= WORDING * np.maximum(*both))
+            out_a.append(one[keep])
+            out_b.append(other[keep])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["body_a", "body_b"])
 
 
 def page_sources(manifest: DataFrame) -> DataFrame:
@@ -376,7 +500,8 @@ class HistoryIndex:
             hot = keys.where("cells > 1").select("segment", "key", "cells")
             placed = routed.join(hot, ["segment", "key"], "left").withColumn("cell", F.xxhash64("key", F.pmod(F.xxhash64("body", F.lit("cell")), F.coalesce("cells", F.lit(1))).cast("int")))
             placed = placed.select("segment", F.pmod("cell", of_segment).cast("int").alias("shard"), "cell", "body", "size", "vector")
-            built = placed.repartition(_parts(shards), "segment", "shard").groupBy("segment", "shard").applyInPandas(_built, "segment int, shard int, bodies binary, sizes binary, graph binary")
+            sorted_rows = placed.repartition(_parts(shards), "segment", "shard").sortWithinPartitions("segment", "shard")
+            built = sorted_rows.mapInArrow(_built, "segment int, shard int, bodies binary, sizes binary, graph binary")
             self._write(built, f"{stem}/graphs")
             self.segments[stem] = (shards, sum(totals.values()))
         return stored
@@ -403,9 +528,8 @@ class HistoryIndex:
             several = crowds.where("groups > 1")
             visits = visits.join(several, ["segment", "shard"], "left").select("segment", "shard", F.pmod(F.xxhash64("body", F.lit("crowd")), F.coalesce("groups", F.lit(1))).cast("int").alias("crowd"), "body", "size", "vector", "cell")
             by = ["segment", "shard", "crowd"]
-            parts = _parts(shards)
-            searched = visits.repartition(parts, *by).groupBy(*by).cogroup(graphs.repartition(parts, *by).groupBy(*by)).applyInPandas(lambda v, g: _visited(v, g), "body_a long, body_b long")
-            found.append(searched)
+            rows = graphs.unionByName(visits, allowMissingColumns=True).select(*by, "body", "size", "cell", "vector", "bodies", "sizes", "graph")
+            found.append(rows.repartition(_parts(shards), *by).sortWithinPartitions(*by, F.col("body").asc_nulls_first()).mapInArrow(_visited, "body_a long, body_b long"))
         pairs = reduce(DataFrame.unionByName, found) if found else none
         # A pair of two new bodies may be found from both sides.
         pairs = staged(pairs.distinct(), "candidates")

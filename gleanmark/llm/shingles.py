@@ -58,6 +58,17 @@ def signature(parts: np.ndarray, size: int) -> np.ndarray:
     return mixed.min(axis=1)
 
 
+def signatures(parts: np.ndarray, sizes: np.ndarray, size: int) -> np.ndarray:
+    """Min-hashes of several sets of shingles, none of them empty, that lie one after the other: one column a set."""
+    first = np.cumsum(sizes) - sizes
+    out = np.empty((size, len(sizes)), dtype=np.uint64)
+    for k in range(size):
+        mixed = parts * _MIX[k]
+        mixed ^= mixed >> np.uint64(31)
+        np.minimum.reduceat(mixed, first, out=out[k])
+    return out
+
+
 def mixers(size: int) -> np.ndarray:
     """Odd factors of the permutations."""
     return _MIX[:size]

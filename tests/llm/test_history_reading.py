@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from gleanmark.llm import history, mainbody, reading, shingles, smallworld
@@ -219,6 +220,65 @@ def test_beams_have_no_cap():
     assert all(len(set(n[q == k].tolist())) == 500 for k in range(3))
 
 
+def test_bodies_are_routed_together_as_each_alone(monkeypatch):
+    """Sketches and keys of a body don't depend on those beside it, and numpy takes many bodies in one step."""
+    r = random.Random(6)
+    w = shingles.Words()
+    texts = [" ".join(r.choice(WORDS) + str(r.randrange(9)) for _ in range(n)) for n in (1, 4, 5, 6, 40, 300, 700, 3, 1)] + ["的一是不了人我在有他这" * 30, "山", "山水 river 山", "same " * 400]
+    bodies = [history.stored(w.hashes(t)) for t in texts]
+    common = np.unique(np.concatenate([history.units(history.mixed(b)) for b in (bodies[3], bodies[8])]))
+
+    def alone(words):
+        words = history.mixed(words)
+        han = words & np.uint64(1) == 1
+        pairs = [int(a) * 0x9E3779B97F4A7C15 % 2**64 ^ int(b) for a, b, x, y in zip(words[:-1], words[1:], han[:-1], han[1:]) if x and y]
+        rare = np.array(sorted({*words[~han].tolist(), *pairs} - set(common.tolist())), np.uint64)
+        parts = shingles.shingles(words)
+        least = np.concatenate([shingles.signature(parts, 14), shingles.signature(rare, 10) if len(rare) else parts[:0]])
+        halves = []
+        for hashes, weight in ((rare, 0.6), (parts, 0.8)):
+            signs = np.array([[1 if byte >> (7 - bit) & 1 else -1 for byte in int(h).to_bytes(8, "little")[:6] for bit in range(8)] for h in hashes]).reshape(-1, 48).sum(axis=0)
+            halves.append(weight * signs / (np.sqrt((signs**2).sum()) or 1.0))
+        return np.clip(np.round(np.concatenate(halves) * 400), -127, 127).astype(np.int8).tolist(), sorted(set(shingles.bands(least, 2).tolist()))
+
+    want = [alone(b) for b in bodies]
+    steps, mixed = [], history.mixed
+    monkeypatch.setattr(history, "mixed", lambda x: steps.append(len(x)) or mixed(x))
+    vectors, keys = history.routings(np.concatenate(bodies), np.array(list(map(len, bodies))), common)
+    assert [(v, sorted(set(k))) for v, k in zip(vectors.tolist(), keys.tolist())] == want
+    assert len(steps) == 1 and any(len(k) == 7 for _, k in want) and any(len(k) == 12 for _, k in want)
+
+
+def test_shards_of_a_task_are_built_and_searched_together(monkeypatch):
+    """Pairs are those that each shard finds alone, wherever Arrow batches are cut; shards of one batch share their steps."""
+    r = np.random.default_rng(7)
+    x = np.clip(np.round(smallworld.unit(r.normal(size=(600, 96))) * 400), -127, 127).astype(np.int8)
+    asking = np.clip(x[::3] + r.integers(-20, 21, (200, 96)), -127, 127).astype(np.int8)
+    rows = sorted((k % 2, k % 12, k // 2, k, 100, x[k].tobytes()) for k in range(600)) + [(2, 0, 0, 5, 100, x[5].tobytes())]
+    members = pa.table([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names="segment shard cell body size vector".split())
+    steps, search = [], smallworld.Joined.search
+    monkeypatch.setattr(smallworld.Joined, "search", lambda self, queries, *more: steps.append(len(queries)) or search(self, queries, *more))
+    answers = []
+    for cut in (10_000, 37):
+        steps.clear()
+        shards = [s for b in history._built(iter(members.to_batches(max_chunksize=cut))) for s in b.to_pylist()]
+        assert [(s["segment"], s["shard"]) for s in shards] == sorted({x[:2] for x in rows})
+        together = []
+        for s in shards:
+            own = {"segment": s["segment"], "shard": s["shard"], "crowd": 0}
+            near = [{**own, "body": 1_000 + k, "size": 100, "cell": 3 * k // 2, "vector": asking[k].tobytes()} for k in range(200) if (3 * k % 2, 3 * k % 12) == (s["segment"], s["shard"])]
+            together += [{**own, **{c: s[c] for c in ("bodies", "sizes", "graph")}}, *(near or [{**own, "body": 5, "size": 100, "cell": 0, "vector": x[5].tobytes()}])]
+        types = {"segment": pa.int32(), "shard": pa.int32(), "crowd": pa.int32(), "body": pa.int64(), "size": pa.int32(), "cell": pa.int64(), "vector": pa.binary(), "bodies": pa.binary(), "sizes": pa.binary(), "graph": pa.binary()}
+        table = pa.Table.from_pylist(together, schema=pa.schema(list(types.items())))
+        answers.append({(a, b) for part in history._visited(iter(table.to_batches(max_chunksize=cut))) for a, b in zip(part.column(0).to_pylist(), part.column(1).to_pylist())})
+        # Building and searching are a step for each width of beam, not for each shard.
+        assert cut < 10_000 or len(steps) < len(shards) == 13
+    assert answers[0] == answers[1] and {(1_000 + k, 3 * k) for k in range(200)} <= answers[0]
+    for s in shards:
+        graph = smallworld.Graph.unpacked(s["graph"])
+        assert graph.near.min() >= -1 and np.frombuffer(s["bodies"], np.int64).tolist() == sorted(k for a, b, _, k, _, _ in rows if (a, b) == (s["segment"], s["shard"]))
+
+
 EASY, PLAIN, HARD = "cat dog sun park big runs goes home egg tea".split(), "ferry bakery follows covers checks survey under number market until".split(), "stoichiometric epistemological jurisprudential multicollinearity substantiates presupposes notwithstanding heteroscedasticity irrespective residual".split()
 
 
